@@ -50,11 +50,3 @@ def accept_urls(frontier: DataFrame, documents: DataFrame) -> DataFrame:
         seen = known.join(F.broadcast(claims.select("url")), "url", "left_semi")
         return claims.join(F.broadcast(seen), "url", "left_anti")
     return claims.join(known, "url", "left_anti")
-
-
-def accepted_rows(accepted: DataFrame, first_id: int = 1) -> DataFrame:
-    """Document rows of newly accepted URLs, ids growing but not gap-free."""
-    return accepted.select(
-        (F.lit(first_id) + F.monotonically_increasing_id()).alias("doc_id"),
-        "seq", "url", F.lit("processing").alias("status"),
-    )

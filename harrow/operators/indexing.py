@@ -62,21 +62,21 @@ def parse_posting_strings(strings: DataFrame) -> DataFrame:
     )
 
 
-def unseen_postings(new: DataFrame, old: DataFrame) -> DataFrame:
+def unseen_postings(new: DataFrame, old: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Rows of `new` whose `(term, doc_id)` the old postings lack.
 
-    Only documents indexed before can collide. When the new batch is small, the
-    old postings are first cut down to its documents, by a range that file
-    statistics understand and then by the ids themselves.
+    Only documents indexed before can collide, so the old postings are first cut
+    down to the batch's documents (`ids`, cheaper to list than `new` if known):
+    by an id range that file statistics understand, then by the ids themselves.
     """
-    ids = new.select("doc_id").distinct()
+    ids = new.select("doc_id").distinct() if ids is None else ids
     if fits_broadcast(ids):
         span = ids.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
         if span["lo"] is None:
             return new
         old = old.filter(F.col("doc_id").between(span["lo"], span["hi"]))
         old = old.join(F.broadcast(ids), "doc_id", "left_semi")
-    return new.join(old, ["term", "doc_id"], "left_anti")
+    return new.join(old.select("term", "doc_id"), ["term", "doc_id"], "left_anti")
 
 
 def merge_postings(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -50,7 +50,9 @@ _MANIFEST_ARROW = pa.schema([
     ("doc_id", pa.int64()), ("url", pa.string()), ("file_path", pa.string()),
     ("offset", pa.int64()), ("length", pa.int64()),
 ])
-_RECORD_ARROW = pa.schema([("doc_id", pa.int64()), ("body", pa.string()), ("reason", pa.string())])
+_RECORD_ARROW = pa.schema([
+    ("doc_id", pa.int64()), ("url", pa.string()), ("body", pa.string()), ("reason", pa.string()),
+])
 
 
 def gunzip(data: bytes) -> tuple[bytes | None, str | None]:
@@ -332,7 +334,9 @@ def _range_reader(base: str, inflate: bool):
                         body, reason = payload(body)
                     if reason is None:
                         body = body.decode("utf-8", "replace")
-                rows.append({"doc_id": row["doc_id"], "body": body, "reason": reason})
+                rows.append({
+                    "doc_id": row["doc_id"], "url": row["url"], "body": body, "reason": reason,
+                })
                 held += len(body or "")
                 if held >= BATCH_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, schema)
@@ -340,7 +344,7 @@ def _range_reader(base: str, inflate: bool):
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = _RECORD_ARROW if inflate else _RECORD_ARROW.set(1, pa.field("body", pa.binary()))
+    schema = _RECORD_ARROW if inflate else _RECORD_ARROW.set(2, pa.field("body", pa.binary()))
     return read
 
 
@@ -364,20 +368,20 @@ def _placed(manifest: DataFrame) -> DataFrame:
     """
     stretch = F.floor(F.col("offset") / F.lit(SPLIT_BYTES))
     return (
-        manifest.select("doc_id", "file_path", "offset", "length")
+        manifest.select("doc_id", "url", "file_path", "offset", "length")
         .repartition("file_path", stretch).sortWithinPartitions("file_path", "offset")
     )
 
 
 def read_ranges(manifest: DataFrame, base: str) -> DataFrame:
-    """`(doc_id, body, reason)`: raw bytes at each position, or why there are none."""
+    """`(doc_id, url, body, reason)`: raw bytes at each position, or why there are none."""
     return _placed(manifest).mapInArrow(
-        _range_reader(base, False), "doc_id long, body binary, reason string"
+        _range_reader(base, False), "doc_id long, url string, body binary, reason string"
     )
 
 
 def read_records(manifest: DataFrame, base: str) -> DataFrame:
-    """`(doc_id, body, reason)`: record bodies; bad items get a reason and no body."""
+    """`(doc_id, url, body, reason)`: record bodies; bad items get a reason and no body."""
     return _placed(manifest).mapInArrow(
-        _range_reader(base, True), "doc_id long, body string, reason string"
+        _range_reader(base, True), "doc_id long, url string, body string, reason string"
     )
