@@ -45,20 +45,30 @@ def count_terms(documents: DataFrame, *carried: str) -> DataFrame:
     )
 
 
-def posting_strings(postings: DataFrame) -> DataFrame:
-    """Export view: one comma-joined id list per term, ids in string order.
+def posting_strings(postings: DataFrame, max_ids: int = 1_000_000) -> DataFrame:
+    """Export view `(term, part, doc_ids)`: comma-joined ids in string order.
 
-    A list is one value by definition of the format, so it is bounded by what a
-    single string can hold; ranking works on the long form and never needs it.
+    A term with at most `max_ids` documents is one row with an empty part. The
+    list of a more frequent term is cut by the leading digits of its ids, which
+    follows string order: its rows joined in `part` order are the whole list, and
+    no row gathers more than about `max_ids` ids.
     """
-    return postings.groupBy("term").agg(
-        F.concat_ws(",", F.array_sort(F.collect_set(F.col("doc_id").cast("string")))).alias("doc_ids")
+    ids = postings.select("term", F.col("doc_id").cast("string").alias("id"))
+    counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    heavy = counted.filter(F.col("df") > max_ids).select("term", F.lit(True).alias("heavy"))
+    largest = postings.agg(F.max("doc_id").alias("id")).first()["id"] or 0
+    leading = max(1, len(str(largest)) - (len(str(max_ids)) - 1))
+    part = F.when(F.col("heavy"), F.substring("id", 1, leading)).otherwise(F.lit(""))
+    return (
+        ids.join(hinted(heavy), "term", "left").withColumn("part", part)
+        .groupBy("term", "part")
+        .agg(F.concat_ws(",", F.array_sort(F.collect_set("id"))).alias("doc_ids"))
     )
 
 
 def parse_posting_strings(strings: DataFrame) -> DataFrame:
     return strings.select(
-        "term", F.posexplode(tx.posting_ids(F.col("doc_ids"))).alias("pos", "doc_id")
+        "term", "part", F.posexplode(tx.posting_ids(F.col("doc_ids"))).alias("pos", "doc_id")
     )
 
 

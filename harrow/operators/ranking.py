@@ -10,6 +10,9 @@ from harrow.functions import text as tx
 from harrow.operators.joins import spread_join
 from harrow.session import stored
 
+# Longest query that is scored with one aggregate column per token.
+MAX_POSITION_COLUMNS = 32
+
 
 def nonblank(queries: DataFrame) -> DataFrame:
     """Queries with anything but white space in them."""
@@ -77,6 +80,22 @@ def scores(contributions: DataFrame) -> DataFrame:
     )
 
 
+def scores_by_position(contributions: DataFrame, positions: list[int]) -> DataFrame:
+    """`scores` for one short query: a column per token position, added up in order.
+
+    Keeps the aggregation on fixed-width buffers, which hash aggregation and code
+    generation handle; an absent token adds an exact zero.
+    """
+    at = [F.max(F.when(F.col("pos") == pos, F.col("c"))).alias(f"at_{pos}") for pos in positions]
+    score = F.lit(0.0)
+    for pos in positions:
+        score = score + F.coalesce(F.col(f"at_{pos}"), F.lit(0.0))
+    return (
+        contributions.groupBy("qid", "doc_id").agg(F.min("pos").alias("first_pos"), *at)
+        .select("qid", "doc_id", score.alias("score"), "first_pos")
+    )
+
+
 def result_order() -> list[Column]:
     """Best score first; ties by first matching token, then by id as a string."""
     return [F.col("score").desc(), F.col("first_pos").asc(), F.col("doc_id").cast("string").asc()]

@@ -510,6 +510,14 @@ def streamed_documents(spark, folder):
     return _streamed(spark, folder).documents(spark).select("doc_id", "url", "doc_length", "title", "snippet")
 
 
+def search_streamed(spark, folder):
+    """Search over the version published from the streamed batches."""
+    index = _once(
+        spark, folder, "published", lambda: _streamed(spark, folder).publish(spark)
+    )
+    return _rounded(plans.search_batch(index, _benchmark(spark, folder)))
+
+
 def not_indexed(spark, folder):
     """Fetched pages that the index of labelled ids lacks."""
     state = docs.document_state(_doc_log(spark, folder))
@@ -602,6 +610,7 @@ QUERIES = {
     "stream_accept_urls": stream_accept_urls,
     "stream_index": streamed_postings,
     "stream_documents": streamed_documents,
+    "search_streamed": search_streamed,
     "not_indexed": not_indexed,
     "index_rejects": index_rejects,
     "exact_duplicates": exact_duplicates,

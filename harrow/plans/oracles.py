@@ -234,7 +234,7 @@ FROM items WHERE TRY_CAST(regexp_extract(item, '^\\s*([+-]?[0-9]+)', 1) AS INTEG
     "doc_lengths": f"{DOCS_INDEX} SELECT doc_id, doc_length FROM lengths",
     "doc_terms": f"{DOCS_INDEX} SELECT term, doc_id FROM postings",
     "posting_strings": (
-        f"{DOCS_INDEX} SELECT term, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) "
+        f"{DOCS_INDEX} SELECT term, '' AS part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) "
         "AS doc_ids FROM postings GROUP BY term"
     ),
     "term_df": f"{DOCS_INDEX} SELECT term, df FROM terms",
@@ -264,7 +264,7 @@ FROM items WHERE TRY_CAST(regexp_extract(item, '^\\s*([+-]?[0-9]+)', 1) AS INTEG
         f"{DOCS_INDEX} SELECT term, df, round(ln((n_docs - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf FROM terms, totals"
     ),
     "parse_postings": (
-        f"{DOCS_INDEX} SELECT term, doc_id, CAST(row_number() OVER (PARTITION BY term "
+        f"{DOCS_INDEX} SELECT term, '' AS part, doc_id, CAST(row_number() OVER (PARTITION BY term "
         "ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS INTEGER) AS pos FROM postings"
     ),
     "warc_dates": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS warc_date FROM events",
@@ -281,6 +281,7 @@ FROM items WHERE TRY_CAST(regexp_extract(item, '^\\s*([+-]?[0-9]+)', 1) AS INTEG
     "stream_documents": (
         f"{PAGES_INDEX} SELECT doc_id, url, doc_length, title, snippet FROM metadata JOIN lengths USING (doc_id)"
     ),
+    "search_streamed": results(PAGES, BENCHMARK),
     "not_indexed": (
         f"{WITH_STATE} SELECT doc_id, 'crawled_not_queued' AS status FROM state "
         "WHERE status = 'crawled' AND doc_id NOT IN (SELECT doc_id FROM labels)"

@@ -24,6 +24,11 @@ from harrow.sources.index_store import SearchIndex, lookup
 RESULT_ROW_BYTES = 64
 # Postings of a query's rarest terms that are scored to find its floor.
 SEED_POSTINGS = 2000
+# Hits up to which scoring everything beats the extra steps of bounding.
+EXHAUSTIVE_HITS = 20_000_000
+# Share of the floor that left-out terms may add up to: more would leave fewer
+# postings to sum but many more documents to score exactly.
+LEFT_OUT_SHARE = 0.1
 # Float sums in another order differ in the last digits only.
 SLACK = 1e-9
 
@@ -52,7 +57,12 @@ def search(
     )
     postings = lookup(index.postings, sorted(known))
     hits = postings.join(F.broadcast(weighted), "term")
-    scored = ranking.scores(ranking.with_contributions(hits, index.avgdl, use_tf))
+    worth = ranking.with_contributions(hits, index.avgdl, use_tf)
+    known_at = [pos for pos, token in enumerate(tokens) if token in known]
+    if len(known_at) <= ranking.MAX_POSITION_COLUMNS:
+        scored = ranking.scores_by_position(worth, known_at)
+    else:
+        scored = ranking.scores(worth)
     best = scored.orderBy(*ranking.result_order()).limit(k)
     order = Window.orderBy(*ranking.result_order())  # k rows
     ranked = best.withColumn("rank", F.row_number().over(order)).drop("first_pos")
@@ -64,10 +74,13 @@ def search_batch(
     queries: DataFrame,
     k: int = scoring.DEFAULT_K,
     use_tf: bool = False,
-    bounded: bool = True,
+    bounded: bool | None = None,
 ) -> DataFrame:
     """`(qid, rank, id, url, title, snippet, score)` for a table `(qid, q)`.
 
+    `bounded` picks the plan; by default it is used where the query terms have
+    more postings than the exhaustive plan scores quickly.
+
     Queries with the same token list are scored once, under their smallest qid.
     """
     spark = index.spark
@@ -87,6 +100,9 @@ def search_batch(
     weighted = stored(
         ranking.weighted_terms(terms, index.term_stats, index.n_docs, fits), "query-terms"
     )
+    if bounded is None:
+        hits = weighted.agg(F.sum("df").alias("n")).first()["n"] or 0
+        bounded = hits > EXHAUSTIVE_HITS
     scored = (bounded_scores if bounded else exhaustive_scores)(index, weighted, k, use_tf, fits)
     ranked = ranking.top_k(scored, k)
     few = fits and size["n"] * k * RESULT_ROW_BYTES <= broadcast_limit(spark)
@@ -147,40 +163,60 @@ def _partial_sums(index: SearchIndex, terms: DataFrame, use_tf: bool, fits: bool
     return worth.groupBy("qid", "doc_id").agg(F.sum(F.col("c") * F.col("times")).alias("partial"))
 
 
+def _floors(partials: DataFrame, k: int) -> DataFrame:
+    """Per query with at least k partial scores, just under the k-th best of them."""
+    best_first = Window.partitionBy("qid").orderBy(F.col("partial").desc())
+    return (
+        partials.withColumn("nth_best", F.row_number().over(best_first))
+        .filter(F.col("nth_best") <= k)
+        .groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("partial").alias("least"))
+        .filter(F.col("n") == k)
+        .select("qid", (F.col("least") * (1 - SLACK)).alias("floor"))
+    )
+
+
 def bounded_scores(
     index: SearchIndex, weighted: DataFrame, k: int, use_tf: bool, fits: bool
 ) -> DataFrame:
-    """Exact scores of a set of documents that contains every query's top k."""
+    """Exact scores of a set of documents that contains every query's top k.
+
+    1. The k-th best sum over a query's rarest terms is a floor for its k-th score.
+    2. Frequent terms that together stay well under the floor cannot lift a document
+       into the top k by themselves: only documents with one of the other terms
+       are summed, over those terms.
+    3. These sums give a higher floor; what cannot reach it even with all the terms
+       left out is dropped, and the few documents left are scored exactly.
+
+    A partial score never exceeds the full one, so every floor is a valid bound.
+    """
+    small = F.broadcast if fits else (lambda df: df)  # one row per query at most
     bounds = stored(term_bounds(weighted, index.avgdl, use_tf), "term-bounds")
     seeds = bounds.filter((F.col("cum_df") <= SEED_POSTINGS) | (F.col("nth") == 1))
-    nth_best = Window.partitionBy("qid").orderBy(F.col("partial").desc())
-    floors = (
-        _partial_sums(index, seeds, use_tf, fits)
-        .withColumn("rank", F.row_number().over(nth_best)).filter(F.col("rank") <= k)
-        .groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("partial").alias("floor"))
-        .filter(F.col("n") == k)
-        .select("qid", (F.col("floor") * (1 - SLACK)).alias("floor"))
-    )
-    # one row per query at most: no larger than the query terms
-    floored = bounds.join(F.broadcast(floors) if fits else floors, "qid", "left")
-    needed = stored(
-        floored.withColumn(
-            "needed", F.col("floor").isNull() | (F.col("rest_cap") >= F.col("floor"))
+    first_floors = _floors(_partial_sums(index, seeds, use_tf, fits), k)
+    terms = stored(
+        bounds.join(small(first_floors), "qid", "left").withColumn(
+            "needed",
+            F.col("floor").isNull() | (F.col("rest_cap") >= F.col("floor") * LEFT_OUT_SHARE),
         ),
         "needed-terms",
     )
-    rest = needed.groupBy("qid").agg(
+    left_out = terms.groupBy("qid").agg(
         F.coalesce(F.max("floor"), F.lit(0.0)).alias("floor"),
         F.coalesce(F.sum(F.when(~F.col("needed"), F.col("cap"))), F.lit(0.0)).alias("rest"),
     )
-    matched = _partial_sums(index, needed.filter("needed").drop("floor"), use_tf, fits)
-    reachable = (
-        matched.join(F.broadcast(rest) if fits else rest, "qid")
-        .filter(F.col("partial") + F.col("rest") >= F.col("floor"))
+    sums = _partial_sums(index, terms.filter("needed").drop("floor"), use_tf, fits)
+    reaching = stored(
+        sums.join(small(left_out), "qid").filter(F.col("partial") + F.col("rest") >= F.col("floor"))
+        .select("qid", "doc_id", "partial", "rest"),
+        "reaching",
+    )
+    final_floors = _floors(reaching, k)
+    contenders = (
+        reaching.join(small(final_floors), "qid", "left")
+        .filter(F.col("floor").isNull() | (F.col("partial") + F.col("rest") >= F.col("floor")))
         .select("qid", "doc_id")
     )
-    reachable = stored(reachable, "reachable")
-    return _score_documents(index, weighted, reachable, use_tf, fits)
+    return _score_documents(index, weighted, stored(contenders, "contenders"), use_tf, fits)
 
 
 def _score_documents(

@@ -65,12 +65,16 @@ def default_buckets(spark: SparkSession) -> int:
 
 
 def build_index(
-    documents: DataFrame, path: str | None = None, buckets: int | None = None
+    documents: DataFrame,
+    path: str | None = None,
+    buckets: int | None = None,
+    postings: DataFrame | None = None,
 ) -> SearchIndex:
     """Index `(doc_id, url, title, text)`; NULL text is a document never fetched.
 
     The only full shuffle moves each text once to its bucket. Tokens, term counts
-    and the postings sort all happen inside the buckets.
+    and the postings sort all happen inside the buckets. `postings`, if given as
+    `(term, doc_id, tf)`, are taken over instead of being derived from the texts.
     """
     spark = documents.sparkSession
     path = path or new_path(spark, "index")
@@ -87,13 +91,20 @@ def build_index(
         f"{tag}_documents", f"{path}/documents", "doc_id", ["doc_id"], buckets,
     )
     stored = spark.table(f"{tag}_documents")
+    if postings is None:
+        rows = indexing.count_terms(stored, "doc_length")
+    else:
+        rows = (
+            postings.select("term", "doc_id", "tf").repartition(buckets, "doc_id")
+            .join(stored.select("doc_id", "doc_length"), "doc_id", "left")
+            .select("term", "doc_id", "tf", "doc_length")
+        )
     _save(
-        indexing.count_terms(stored, "doc_length"),
-        f"{tag}_postings", f"{path}/postings", "doc_id", ["term", "doc_id"], buckets,
+        rows, f"{tag}_postings", f"{path}/postings", "doc_id", ["term", "doc_id"], buckets,
     )
-    postings = spark.table(f"{tag}_postings")
+    indexed = spark.table(f"{tag}_postings")
     _save(
-        term_statistics(postings).repartition(buckets, "term"),
+        term_statistics(indexed).repartition(buckets, "term"),
         f"{tag}_terms", f"{path}/term_stats", "term", ["term"], buckets,
     )
     (

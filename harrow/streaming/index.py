@@ -15,6 +15,7 @@ from harrow.operators import documents as docs
 from harrow.operators import indexing
 from harrow.operators.extract import page_content
 from harrow.sources import warc
+from harrow.sources.index_store import SearchIndex, build_index
 from harrow.streaming import batches
 
 EXTRACTED = T.StructType([
@@ -53,6 +54,24 @@ class StreamedIndex:
     def documents(self, spark: SparkSession) -> DataFrame:
         return docs.document_state(self.doc_log(spark))
 
+    def latest_documents(self, spark: SparkSession) -> DataFrame:
+        """`(doc_id, url, title, text)` as last extracted."""
+        rows = batches.read_table(spark, self.table("extracted"), EXTRACTED)
+        page = F.struct("url", "title", "text")
+        return (
+            rows.filter(F.col("reason").isNull())
+            .groupBy("doc_id").agg(F.max_by(page, "batch_id").alias("page"))
+            .select("doc_id", "page.url", "page.title", "page.text")
+        )
+
+    def publish(self, spark: SparkSession, path: str | None = None) -> SearchIndex:
+        """Turn what has been streamed so far into an index version for searching.
+
+        Postings are taken as merged, so terms of replaced contents stay in.
+        """
+        postings = self.postings(spark).groupBy("term", "doc_id").agg(F.max("tf").alias("tf"))
+        return build_index(self.latest_documents(spark), path, postings=postings)
+
     def rejects(self, spark: SparkSession) -> DataFrame:
         rows = batches.read_table(spark, self.table("extracted"), EXTRACTED)
         return rows.filter(F.col("reason").isNotNull()).select("doc_id", "reason")
