@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrow.functions import text as tx
 from harrow.functions.markup import read_page
@@ -12,7 +13,7 @@ from harrow.functions.markup import read_page
 _PAGE = pa.struct([("text", pa.string()), ("title", pa.string())])
 
 
-@F.arrow_udf("struct<text:string,title:string>")
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("title", T.StringType())]))
 def _read_pages(html: pa.Array) -> pa.Array:
     rows = []
     for page in html.to_pylist():

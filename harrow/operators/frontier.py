@@ -48,5 +48,7 @@ def accept_urls(frontier: DataFrame, documents: DataFrame) -> DataFrame:
     known = documents.select("url")
     if measured_bytes(claims) <= broadcast_limit(frontier.sparkSession):
         seen = known.join(F.broadcast(claims.select("url")), "url", "left_semi")
-        return claims.join(F.broadcast(seen), "url", "left_anti")
-    return claims.join(known, "url", "left_anti")
+        fresh = claims.join(F.broadcast(seen), "url", "left_anti")
+    else:
+        fresh = claims.join(known, "url", "left_anti")
+    return fresh.select("seq", "url")
