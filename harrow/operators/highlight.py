@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions import text as tx
+from harrow.operators.joins import attach
 
 # Fixed values.
 WINDOW = 150
@@ -29,7 +30,7 @@ def highlighted(
         queries.select("qid", pattern.alias("pattern")), "qid"
     )
     texts = documents.select(F.col("doc_id").alias("id"), "text")
-    rows = texts.join(F.broadcast(asked) if fits else asked, "id").withColumn(
+    rows = attach(asked, texts, "id", "qid", fits).withColumn(
         "text", tx.collapse_space(F.col("text"))
     )
     starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(STEP))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from harrow.functions import text as tx
 from harrow.operators.joins import spread_join
-from harrow.session import fits_broadcast, hinted
+from harrow.session import broadcast_limit, hinted
+
+ID_ROW_BYTES = 24
 
 
 def doc_tokens(documents: DataFrame) -> DataFrame:
@@ -80,10 +82,12 @@ def unseen_postings(new: DataFrame, old: DataFrame, ids: DataFrame | None = None
     by an id range that file statistics understand, then by the ids themselves.
     """
     ids = new.select("doc_id").distinct() if ids is None else ids
-    if fits_broadcast(ids):
-        span = ids.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-        if span["lo"] is None:
-            return new
+    span = ids.agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")
+    ).first()
+    if span["lo"] is None:
+        return new
+    if span["n"] * ID_ROW_BYTES <= broadcast_limit(new.sparkSession):
         old = old.filter(F.col("doc_id").between(span["lo"], span["hi"]))
         old = old.join(F.broadcast(ids), "doc_id", "left_semi")
     return new.join(old.select("term", "doc_id"), ["term", "doc_id"], "left_anti")

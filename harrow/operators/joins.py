@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.session import fits_broadcast, hinted
+from harrow.session import fits_broadcast, hinted, stored
 
 ROWS_PER_TASK = 1_000_000
 
@@ -42,3 +42,17 @@ def spread_join(
     last = F.when(F.col(weight) > rows_per_task, parts - 1).otherwise(F.lit(0))
     repeated = small.withColumn("_part", F.explode(F.sequence(F.lit(0), last)))
     return cut.join(repeated, [key, "_part"]).drop("_part")
+
+
+def attach(rows: DataFrame, lookup: DataFrame, key: str, spread_by: str, fits: bool) -> DataFrame:
+    """Join result rows to a lookup table that has one row per `key`.
+
+    `fits`: the rows are known to fit a broadcast, so the lookup is only scanned.
+    Otherwise the rows are written once (they end a long plan and are read twice)
+    and a key that many of them share is spread.
+    """
+    if fits:
+        return lookup.join(F.broadcast(rows), key)
+    rows = stored(rows, "rows")
+    uses = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_uses"))
+    return spread_join(rows, lookup.join(uses, key), key, "_uses", spread_by, fits=False).drop("_uses")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import scoring
 from harrow.functions import text as tx
-from harrow.operators.joins import spread_join
-from harrow.session import stored
+from harrow.operators.joins import attach, spread_join
 
 # Longest query that is scored with one aggregate column per token.
 MAX_POSITION_COLUMNS = 32
@@ -118,16 +117,10 @@ def top_k(scored: DataFrame, k: int = scoring.DEFAULT_K) -> DataFrame:
 def with_metadata(ranked: DataFrame, documents: DataFrame, fits: bool = False) -> DataFrame:
     """Result rows; hits without metadata drop out after the cut, unreplaced.
 
-    `fits`: the ranked rows (k per query) are known to fit a broadcast. Otherwise
-    they are written once, and a document found by many queries is spread.
+    `fits`: the ranked rows (k per query) are known to fit a broadcast.
     """
     meta = documents.select("doc_id", "url", "title", "snippet")
-    if fits:
-        joined = meta.join(F.broadcast(ranked), "doc_id")
-    else:
-        ranked = stored(ranked, "ranked")
-        uses = ranked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("uses"))
-        joined = spread_join(ranked, meta.join(uses, "doc_id"), "doc_id", "uses", "qid", fits=False)
+    joined = attach(ranked, meta, "doc_id", "qid", fits)
     return joined.select(
         "qid", "rank", F.col("doc_id").alias("id"), "url",
         tx.filled(F.col("title"), F.col("url")).alias("title"),

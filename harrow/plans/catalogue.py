@@ -233,9 +233,24 @@ def seed_frontier(spark, folder):
     return full.union(frontier.seed_frontier(none).select(F.lit("empty").alias("queue"), "seq", "url"))
 
 
+RESPONSE = (
+    "query string, results array<struct<id:bigint,url:string,title:string,snippet:string,score:double>>, "
+    "meta struct<count:int,latency_ms:double>"
+)
+
+
 def search_json(spark, folder):
-    queries = _benchmark(spark, folder)
-    return ranking.responses(queries, _page_results(spark, folder))
+    """The JSON responses, read back row by row."""
+    made = ranking.responses(_benchmark(spark, folder), _page_results(spark, folder))
+    read = made.select("qid", F.from_json("response", RESPONSE).alias("r"))
+    rows = read.select(
+        "qid", "r.query", F.col("r.meta.count").alias("result_count"),
+        F.posexplode_outer("r.results").alias("pos", "hit"),
+    )
+    return rows.select(
+        "qid", "query", "result_count", (F.col("pos") + 1).alias("rank"),
+        "hit.id", "hit.url", "hit.title", "hit.snippet", F.round("hit.score", 6).alias("score"),
+    )
 
 
 # --- projections, filters ----------------------------------------------------

@@ -187,6 +187,11 @@ ORACLES = {
         f"WITH {FRONTIER} SELECT 'full' AS queue, seq, url FROM frontier "
         f"UNION ALL SELECT 'empty', 0, '{SEED_URL}'"
     ),
+    "search_json": (
+        f"WITH {PAGES}, {INDEX}, {BENCHMARK}, {QUERY_TERMS}, {scoring()}, found AS ({RESULTS}) "
+        "SELECT qid, lower(q) AS query, CAST(count(id) OVER (PARTITION BY qid) AS INTEGER) AS result_count, "
+        "rank, id, url, title, snippet, score FROM asked LEFT JOIN found USING (qid)"
+    ),
     "valid_urls": f"WITH {FRONTIER} SELECT seq, url FROM frontier WHERE {VALID}",
     "file_basename": (
         "SELECT page_id AS doc_id, regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) AS name, "

@@ -22,6 +22,8 @@ from harrow.session import broadcast_limit, fits_broadcast, measured_bytes, stor
 from harrow.sources.index_store import SearchIndex, lookup
 
 RESULT_ROW_BYTES = 64
+# Result ids of one query that are pushed into the metadata scan as literals.
+MAX_PUSHED_IDS = 1000
 # Postings of a query's rarest terms that are scored to find its floor.
 SEED_POSTINGS = 2000
 # Hits up to which scoring everything beats the extra steps of bounding.
@@ -66,7 +68,14 @@ def search(
     best = scored.orderBy(*ranking.result_order()).limit(k)
     order = Window.orderBy(*ranking.result_order())  # k rows
     ranked = best.withColumn("rank", F.row_number().over(order)).drop("first_pos")
-    return ranking.with_metadata(ranked, index.documents, fits=True).orderBy("rank").drop("qid")
+    documents = index.documents
+    if k <= MAX_PUSHED_IDS:
+        # the k ids become a literal list: it prunes buckets and row groups of the
+        # metadata, which a join would scan in full
+        rows = ranked.collect()
+        ranked = spark.createDataFrame(rows, ranked.schema)
+        documents = documents.filter(F.col("doc_id").isin([r["doc_id"] for r in rows]))
+    return ranking.with_metadata(ranked, documents, fits=True).orderBy("rank").drop("qid")
 
 
 def search_batch(

@@ -25,6 +25,9 @@ from harrow.operators.stats import corpus_stats, term_statistics
 from harrow.session import new_path
 
 
+BUCKET_TEXT_BYTES = 256 * 1024 * 1024
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     path: str
@@ -60,8 +63,9 @@ def _save(df: DataFrame, name: str, path: str, key: str, sort: list[str], bucket
     )
 
 
-def default_buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def default_buckets(spark: SparkSession, text_bytes: int = 0) -> int:
+    """A bucket per core, or more so that one holds some 256 MB of text."""
+    return max(spark.sparkContext.defaultParallelism, -(-text_bytes // BUCKET_TEXT_BYTES))
 
 
 def build_index(
@@ -69,16 +73,18 @@ def build_index(
     path: str | None = None,
     buckets: int | None = None,
     postings: DataFrame | None = None,
+    text_bytes: int = 0,
 ) -> SearchIndex:
     """Index `(doc_id, url, title, text)`; NULL text is a document never fetched.
 
     The only full shuffle moves each text once to its bucket. Tokens, term counts
-    and the postings sort all happen inside the buckets. `postings`, if given as
+    and the postings sort all happen inside the buckets. Give `text_bytes` (or
+    `buckets`) for a large corpus: it sets how much one task sorts. `postings`, if given as
     `(term, doc_id, tf)`, are taken over instead of being derived from the texts.
     """
     spark = documents.sparkSession
     path = path or new_path(spark, "index")
-    buckets = buckets or default_buckets(spark)
+    buckets = buckets or default_buckets(spark, text_bytes)
     tag = "harrow_" + uuid.uuid4().hex[:12]
 
     placed = documents.select("doc_id", "url", "title", "text").repartition(buckets, "doc_id")
