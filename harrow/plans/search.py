@@ -42,10 +42,8 @@ _WEIGHTED = T.StructType([
 ])
 
 
-def search(
-    index: SearchIndex, q: str, k: int = scoring.DEFAULT_K, use_tf: bool = False
-) -> DataFrame:
-    """Top-k result rows of one query, ordered by rank."""
+def best_documents(index: SearchIndex, q: str, k: int, use_tf: bool = False) -> DataFrame:
+    """`(qid, doc_id, score, rank)` of one query; the frame itself is lazy."""
     spark = index.spark
     tokens = spark.range(1).select(tx.query_tokens(F.lit(q)).alias("t")).first()["t"]
     known = {
@@ -67,13 +65,20 @@ def search(
         scored = ranking.scores(worth)
     best = scored.orderBy(*ranking.result_order()).limit(k)
     order = Window.orderBy(*ranking.result_order())  # k rows
-    ranked = best.withColumn("rank", F.row_number().over(order)).drop("first_pos")
+    return best.withColumn("rank", F.row_number().over(order)).drop("first_pos")
+
+
+def search(
+    index: SearchIndex, q: str, k: int = scoring.DEFAULT_K, use_tf: bool = False
+) -> DataFrame:
+    """Top-k result rows of one query, ordered by rank."""
+    ranked = best_documents(index, q, k, use_tf)
     documents = index.documents
     if k <= MAX_PUSHED_IDS:
         # the k ids become a literal list: it prunes buckets and row groups of the
         # metadata, which a join would scan in full
         rows = ranked.collect()
-        ranked = spark.createDataFrame(rows, ranked.schema)
+        ranked = index.spark.createDataFrame(rows, ranked.schema)
         documents = documents.filter(F.col("doc_id").isin([r["doc_id"] for r in rows]))
     return ranking.with_metadata(ranked, documents, fits=True).orderBy("rank").drop("qid")
 

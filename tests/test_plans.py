@@ -40,7 +40,14 @@ def test_top_k_is_limited_before_its_exchange(index, weighted):
 
 
 def test_single_search_takes_ordered(index):
-    assert "TakeOrderedAndProject" in plan_of(plans.search(index, "the and tion"))
+    plan = plan_of(plans.best_documents(index, "the and tion", 10))
+    assert "TakeOrderedAndProject" in plan
+    assert "Exchange" not in plan[plan.index("TakeOrderedAndProject"):plan.index("BroadcastHashJoin")]
+
+
+def test_single_search_reads_metadata_of_its_results_only(index):
+    plan = plan_of(plans.search(index, "the and tion", 5))
+    assert "doc_id" in plan and "PushedFilters: [In(doc_id" in plan
 
 
 def test_postings_are_counted_inside_buckets(index):
