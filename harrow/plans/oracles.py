@@ -31,10 +31,13 @@ def collapse(column: str) -> str:
 
 
 def decode(column: str) -> str:
-    return (
-        f"replace(replace(replace(replace({column}, '&quot;', '\"'), '&copy;', '©'), "
-        "'&middot;', '·'), '&amp;', '&')"
-    )
+    """The entities found in the pages, `&amp` last so that nothing is decoded twice.
+
+    The HTML standard decodes these four without their semicolon as well.
+    """
+    for name, character in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        column = f"regexp_replace({column}, '&{name};?', '{character}', 'g')"
+    return column
 
 
 _BLOCKS = r"(?is)<(script|style)[^>]*>.*?</(script|style)\s*>"

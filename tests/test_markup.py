@@ -23,6 +23,7 @@ def words(html):
     ("foo</p>bar", ["foo", "bar"]),
     ("foo</br>bar", ["foo", "bar"]),
     ("one &amp; two", ["one", "two"]),
+    ("cut off here&amp", ["cut", "off", "here"]),
     ("caf&eacute;s", ["caf", "s"]),
     ("<SCRIPT src=x>if (a</b>c) {}</Script >kept", ["kept"]),
     ("<script>never closed", []),
