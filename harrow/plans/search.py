@@ -75,8 +75,8 @@ def search(
     ranked = best_documents(index, q, k, use_tf)
     documents = index.documents
     if k <= MAX_PUSHED_IDS:
-        # the k ids become a literal list: it prunes buckets and row groups of the
-        # metadata, which a join would scan in full
+        # the k ids become a literal list: pushed to Parquet it skips row groups
+        # of the metadata, which a join would scan in full
         rows = ranked.collect()
         ranked = index.spark.createDataFrame(rows, ranked.schema)
         documents = documents.filter(F.col("doc_id").isin([r["doc_id"] for r in rows]))
