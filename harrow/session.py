@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +65,33 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors, once per application.
+
+    A zip of the sources goes to the shared folder, from which Spark hands it out.
+    """
+    from harrow.sources.storage import located
+
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, f"{root.name}/{source.relative_to(root)}")
+    folder = new_path(spark, "package")
+    fs, place = located(folder)
+    fs.create_dir(place, recursive=True)
+    with fs.open_output_stream(f"{place}/{root.name}.zip", compression=None) as out:
+        out.write(packed.getvalue())
+    context.addPyFile(f"{folder}/{root.name}.zip")
+    _shipped.add(context.applicationId)
+
+
 def _row_bytes(df: DataFrame):
     """Approximate bytes one row takes in a broadcast relation."""
     parts = [F.lit(16)]
