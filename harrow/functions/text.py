@@ -34,7 +34,7 @@ def index_tokens(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    return F.coalesce(F.size(raw_tokens(text)), F.lit(0)).cast("int")
+    return F.when(text.isNull(), F.lit(0)).otherwise(F.size(raw_tokens(text))).cast("int")
 
 
 def query_tokens(query: Column) -> Column:

@@ -20,6 +20,11 @@ def log_rows(rows: DataFrame) -> DataFrame:
     ])
 
 
+def crawled_rows(manifest: DataFrame, seq: int) -> DataFrame:
+    """Log rows that say where a fetched page was stored."""
+    return log_rows(manifest.withColumns({"seq": F.lit(seq), "status": F.lit("crawled")}))
+
+
 def document_state(doc_log: DataFrame) -> DataFrame:
     """Last non-NULL value per column and document."""
     return doc_log.groupBy("doc_id").agg(*[

@@ -26,11 +26,11 @@ def _read_pages(html: pa.Array) -> pa.Array:
 
 
 def page_content(html: Column) -> Column:
-    """`struct<text,title>`; text after a NUL character is not part of the page.
+    """`struct<text,title>`; a NUL character counts as white space.
 
     Only the html column crosses to Python, in Arrow batches.
     """
-    return _read_pages(F.substring_index(html, "\u0000", 1))
+    return _read_pages(F.translate(html, "\u0000", " "))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -40,6 +40,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def extract_all(pages: DataFrame) -> DataFrame:
+    """The same for every page; a failed or empty download keeps its row, without text and title."""
+    return extract_pages(pages.withColumn("html", F.nullif("html", F.lit(""))))
+
+
 def nonempty_pages(pages: DataFrame) -> DataFrame:
     """Failed or empty downloads carry no page."""
     return pages.filter(F.col("html") != "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import text as tx
 from harrow.functions.urls import SEED_URL, is_valid_url
-from harrow.session import broadcast_limit, measured_bytes
+from harrow.session import broadcast_limit, measured_bytes, stored
 
 
 def clean_queue(queue: DataFrame, item: str = "url") -> DataFrame:
@@ -44,10 +44,10 @@ def accept_urls(frontier: DataFrame, documents: DataFrame) -> DataFrame:
     (no more than the batch) are broadcast back, so documents are not shuffled.
     A large batch is anti-joined on the URL; it has one row per URL by then.
     """
-    claims = first_claims(valid_urls(clean_queue(frontier)))
+    claims = stored(first_claims(valid_urls(clean_queue(frontier))), "claims")
     known = documents.select("url")
     if measured_bytes(claims) <= broadcast_limit(frontier.sparkSession):
-        seen = known.join(F.broadcast(claims.select("url")), "url", "left_semi")
+        seen = known.join(F.broadcast(claims.select("url")), "url", "left_semi").distinct()
         fresh = claims.join(F.broadcast(seen), "url", "left_anti")
     else:
         fresh = claims.join(known, "url", "left_anti")

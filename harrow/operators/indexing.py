@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from harrow.functions import text as tx
 from harrow.operators.joins import spread_join
-from harrow.session import broadcast_limit, hinted
+from harrow.operators.order import numbered
+from harrow.session import broadcast_limit, fits_broadcast, hinted, stored
 
 ID_ROW_BYTES = 24
 
@@ -48,30 +49,41 @@ def count_terms(documents: DataFrame, *carried: str) -> DataFrame:
 
 
 def posting_strings(postings: DataFrame, max_ids: int = 1_000_000) -> DataFrame:
-    """Export view `(term, part, doc_ids)`: comma-joined ids in string order.
+    """Export view `(term, part, first_pos, doc_ids)`: comma-joined ids in string order.
 
-    A term with at most `max_ids` documents is one row with an empty part. The
-    list of a more frequent term is cut by the leading digits of its ids, which
-    follows string order: its rows joined in `part` order are the whole list, and
-    no row gathers more than about `max_ids` ids.
+    A list longer than `max_ids` is cut into parts of that many ids, the last one
+    shorter; `first_pos` is the place of a part's first id in the whole list. Long
+    lists are numbered over ranges of ids, so no task gathers one of them.
     """
     ids = postings.select("term", F.col("doc_id").cast("string").alias("id"))
     counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    heavy = counted.filter(F.col("df") > max_ids).select("term", F.lit(True).alias("heavy"))
-    largest = postings.agg(F.max("doc_id").alias("id")).first()["id"] or 0
-    leading = max(1, len(str(largest)) - (len(str(max_ids)) - 1))
-    part = F.when(F.col("heavy"), F.substring("id", 1, leading)).otherwise(F.lit(""))
-    return (
-        ids.join(hinted(heavy), "term", "left").withColumn("part", part)
-        .groupBy("term", "part")
-        .agg(F.concat_ws(",", F.array_sort(F.collect_set("id"))).alias("doc_ids"))
+    heavy = stored(counted.filter(F.col("df") > max_ids).select("term"), "long-lists")
+    if fits_broadcast(heavy):
+        heavy = F.broadcast(heavy)
+    light = (
+        ids.join(heavy, "term", "left_anti").groupBy("term")
+        .agg(F.concat_ws(",", F.array_sort(F.collect_list("id"))).alias("doc_ids"))
+        .select("term", F.lit(0).alias("part"), F.lit(0).cast("long").alias("first_pos"), "doc_ids")
+    )
+    placed = numbered(ids.join(heavy, "term", "left_semi"), [F.col("term"), F.col("id")], "_at")
+    starts = placed.groupBy("term").agg(F.min("_at").alias("_start"))
+    if fits_broadcast(starts):
+        starts = F.broadcast(starts)
+    part = F.floor((F.col("_at") - F.col("_start")) / F.lit(max_ids)).cast("int")
+    cut = (
+        placed.join(starts, "term").groupBy("term", part.alias("part"))
+        .agg(F.concat_ws(",", F.array_sort(F.collect_list("id"))).alias("doc_ids"))
+        .select("term", "part", (F.col("part").cast("long") * max_ids).alias("first_pos"), "doc_ids")
     )
+    return light.unionByName(cut)
 
 
 def parse_posting_strings(strings: DataFrame) -> DataFrame:
-    return strings.select(
-        "term", "part", F.posexplode(tx.posting_ids(F.col("doc_ids"))).alias("pos", "doc_id")
+    """`(term, part, pos, doc_id)`; positions run through all parts of a list."""
+    rows = strings.select(
+        "term", "part", "first_pos", F.posexplode(tx.posting_ids(F.col("doc_ids"))).alias("at", "doc_id")
     )
+    return rows.select("term", "part", (F.col("first_pos") + F.col("at")).alias("pos"), "doc_id")
 
 
 def unseen_postings(new: DataFrame, old: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -105,11 +117,13 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
     The first id per hash is a map-side combined minimum, and joining it back
     spreads a text that fills much of the corpus over many tasks.
     """
-    hashed = documents.select("doc_id", F.sha2(F.col("text"), 256).alias("content_hash"))
+    hashed = stored(
+        documents.select("doc_id", F.sha2(F.col("text"), 256).alias("content_hash")), "content-hashes"
+    )
     first = hashed.groupBy("content_hash").agg(
         F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies")
     )
-    shared = first.filter("copies > 1")
+    shared = stored(first.filter("copies > 1"), "shared-hashes")
     return spread_join(hashed, shared, "content_hash", "copies", "doc_id").select(
         "doc_id", "content_hash", "keep_id"
     )

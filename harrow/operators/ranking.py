@@ -26,7 +26,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def weighted_terms(
     terms: DataFrame, term_stats: DataFrame, n_docs: int, fits: bool = False
 ) -> DataFrame:
-    """`(qid, pos, term, df, min_length, idf)` for query terms that the index holds.
+    """`(qid, pos, term, df, min_length, length_unknown, idf)` for query terms that the index holds.
 
     `fits`: the query terms are known to fit a broadcast.
     """
@@ -35,7 +35,7 @@ def weighted_terms(
     return (
         spread_join(terms, known, "term", "uses", "qid", fits=fits)
         .withColumn("idf", scoring.idf(F.lit(n_docs), F.col("df")))
-        .select("qid", "pos", "term", "df", "min_length", "idf")
+        .select("qid", "pos", "term", "df", "min_length", "length_unknown", "idf")
     )
 
 

@@ -19,14 +19,16 @@ def corpus_stats(documents: DataFrame) -> DataFrame:
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
-    """Document frequency and shortest document per term.
+    """Per term its document frequency, its shortest document with a known length,
+    and whether any of its documents lacks one (it counts as an average document then).
 
-    `count` and `min` combine on the map side, so a term that sits in most
-    documents reaches the shuffle as one row per task.
+    All of it combines on the map side, so a term that sits in most documents reaches
+    the shuffle as one row per task.
     """
     return postings.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"),
-        F.min("doc_length").alias("min_length"),
+        F.min(F.when(F.col("doc_length") > 0, F.col("doc_length"))).alias("min_length"),
+        F.bool_or(F.coalesce("doc_length", F.lit(0)) == 0).alias("length_unknown"),
     )
 
 

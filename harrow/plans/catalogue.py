@@ -5,8 +5,12 @@ Index versions and archives made from a folder are built once per session.
 
 from __future__ import annotations
 
+import gzip
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrow import schemas
 from harrow.functions import scoring
@@ -60,10 +64,20 @@ def _conversations(spark, folder) -> DataFrame:
 
 def _extracted(spark, folder) -> DataFrame:
     return _once(spark, folder, "extracted", lambda: stored(
-        extract.extract_pages(extract.nonempty_pages(_pages(spark, folder))), "extracted"
+        extract.extract_all(_pages(spark, folder)), "extracted"
     ))
 
 
+def _half_fetched(spark, folder) -> DataFrame:
+    """The pages with a seventh of the downloads failed and a seventh cut by NUL characters."""
+    html = (
+        F.when(F.col("doc_id") % 7 == 3, "")
+        .when(F.col("doc_id") % 7 == 5, F.regexp_replace("html", "</p>", "\u0000"))
+        .otherwise(F.col("html"))
+    )
+    return _pages(spark, folder).withColumn("html", html)
+
+
 def documents_index(spark, folder) -> SearchIndex:
     """Index version over the `documents` table; it has no titles."""
     return _once(spark, folder, "documents-index", lambda: build_index(
@@ -80,6 +94,12 @@ def pages_index(spark, folder) -> SearchIndex:
     return _once(spark, folder, "pages-index", lambda: build_index(_extracted(spark, folder)))
 
 
+def half_fetched_index(spark, folder) -> SearchIndex:
+    return _once(spark, folder, "half-fetched-index", lambda: build_index(
+        extract.extract_all(_half_fetched(spark, folder))
+    ))
+
+
 def _archive(spark, folder) -> str:
     def make():
         path = new_path(spark, "warc")
@@ -121,25 +141,41 @@ def _known(spark, folder) -> DataFrame:
     )
 
 
+def _fetched(spark, folder) -> DataFrame:
+    """Pages whose download worked: those not under /fr/."""
+    return _pages(spark, folder).filter(~F.col("url").contains("/fr/"))
+
+
+def _crawl(spark, folder) -> str:
+    """Archive of the fetched pages."""
+    def make():
+        path = new_path(spark, "warc")
+        warc.write_archive(_fetched(spark, folder).repartition("doc_id"), path)
+        return path
+    return _once(spark, folder, "crawl", make)
+
+
+def _indexed(spark, folder) -> DataFrame:
+    """What an index of the longer pages holds, read by position from the archive."""
+    def make():
+        long = _fetched(spark, folder).filter(F.octet_length("html") >= 3000)
+        wanted = docs.documents_by_ids(warc.read_manifest(spark, _crawl(spark, folder)), long)
+        records = warc.read_records(wanted, _crawl(spark, folder)).filter(F.col("reason").isNull())
+        return stored(extract.index_metadata(extract.extract_pages(
+            records.select("doc_id", "url", F.col("body").alias("html")))), "indexed")
+    return _once(spark, folder, "indexed", make)
+
+
 def _doc_log(spark, folder) -> DataFrame:
     """Life of the pages: accepted; fetched unless under /fr/; indexed or not queued."""
     pages = _pages(spark, folder)
-    fetched = pages.filter(~F.col("url").contains("/fr/"))
-    long = F.octet_length("html") >= 3000
+    manifest = warc.read_manifest(spark, _crawl(spark, folder))
+    indexed = _indexed(spark, folder)
     rows = [
         pages.select("doc_id", F.lit(1).alias("seq"), "url", F.lit("processing").alias("status")),
-        fetched.select(
-            "doc_id", F.lit(2).alias("seq"), F.lit("crawled").alias("status"),
-            F.lit("pages.warc.gz").alias("file_path"), (F.col("doc_id") * 100000).alias("offset"),
-            F.octet_length("html").alias("length"),
-        ),
-        fetched.filter(~long).select(
-            "doc_id", F.lit(3).alias("seq"), F.lit("crawled_not_queued").alias("status")
-        ),
-        fetched.filter(long).select(
-            "doc_id", F.lit(3).alias("seq"), tx.token_count(F.col("html")).alias("doc_length"),
-            F.upper("url").alias("title"),
-        ),
+        docs.crawled_rows(manifest, seq=2),
+        indexed.withColumn("seq", F.lit(3)),
+        docs.not_indexed(manifest.withColumn("status", F.lit("crawled")), indexed).withColumn("seq", F.lit(4)),
     ]
     log = docs.log_rows(rows[0])
     for part in rows[1:]:
@@ -191,13 +227,20 @@ def warc_write_manifest(spark, folder):
 
 
 def warc_point_read(spark, folder):
-    manifest = _manifest(spark, folder)
-    read = warc.read_ranges(manifest, _archive(spark, folder))
-    return read.join(manifest.select("doc_id", "length"), "doc_id").select(
-        "doc_id", (F.octet_length("body") == F.col("length")).alias("complete")
+    """The bytes at each position, inflated here: header fields and a hash of the body."""
+    read = warc.read_ranges(_manifest(spark, folder), _archive(spark, folder))
+    return read.select("doc_id", _inflate(F.col("body")).alias("record")).select(
+        "doc_id",
+        F.regexp_extract("record", "WARC-Target-URI: ([^\r]*)", 1).alias("url"),
+        F.md5(F.encode(F.regexp_extract("record", f"(?s)^.*?{wf.BLANK_LINE}(.*)$", 1), "UTF-8")).alias("body_md5"),
     )
 
 
+@F.arrow_udf(T.StringType())
+def _inflate(members: pa.Array) -> pa.Array:
+    return pa.array([gzip.decompress(member).decode() for member in members.to_pylist()])
+
+
 def warc_payload(spark, folder):
     records = warc.read_records(_manifest(spark, folder), _archive(spark, folder))
     return records.select("doc_id", "url", F.md5(F.encode("body", "UTF-8")).alias("body_md5"))
@@ -316,16 +359,26 @@ def first_documents(spark, folder):
 # --- joins -------------------------------------------------------------------
 
 
+def _digest(rows: DataFrame, *sums) -> DataFrame:
+    """Per query: pairs, the sum of their ids, and sums of values; pairs stay where they are made."""
+    return rows.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("pairs"), F.sum("doc_id").alias("id_sum"), *sums
+    )
+
+
 def candidates(spark, folder):
-    return _hits(spark, folder)[1].select("qid", "pos", "term", "doc_id")
+    hits = _hits(spark, folder)[1]
+    weighed = (F.col("pos") + 1) * F.col("doc_id")
+    return _digest(hits, F.sum(weighed).alias("pos_sum"), F.sum(F.length("term")).alias("letters"))
 
 
 def candidate_lengths(spark, folder):
     index, hits = _hits(spark, folder)
     found = ranking.with_lengths(ranking.candidate_set(hits), index.documents)
-    return found.select("qid", "doc_id", "doc_length", F.round(
-        scoring.length_or_average(F.col("doc_length"), F.lit(index.avgdl)), 6
-    ).alias("effective_length"))
+    effective = scoring.length_or_average(F.col("doc_length"), F.lit(index.avgdl))
+    return _digest(
+        found, F.sum("doc_length").alias("length_sum"), F.round(F.sum(effective), 3).alias("effective_sum")
+    )
 
 
 def topk_metadata(spark, folder):
@@ -366,6 +419,11 @@ def posting_strings(spark, folder):
     return indexing.posting_strings(documents_index(spark, folder).postings)
 
 
+def posting_string_parts(spark, folder):
+    """Lists cut after 50 ids."""
+    return indexing.posting_strings(documents_index(spark, folder).postings, max_ids=50)
+
+
 def term_df(spark, folder):
     terms = indexing.doc_terms(_documents(spark, folder))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -373,19 +431,21 @@ def term_df(spark, folder):
 
 def bm25_contrib(spark, folder):
     index, hits = _hits(spark, folder)
-    return ranking.with_contributions(hits, index.avgdl).select(
-        "qid", "pos", "term", "doc_id", F.round("c", 6).alias("contribution")
-    )
+    worth = ranking.with_contributions(hits, index.avgdl)
+    return _digest(worth, F.round(F.sum(F.col("c") * (F.col("pos") + 1)), 5).alias("contribution_sum"))
 
 
 def bm25_scores(spark, folder):
     index, hits = _hits(spark, folder)
     scored = ranking.scores(ranking.with_contributions(hits, index.avgdl))
-    return scored.withColumn("score", F.round("score", 6))
+    return _digest(
+        scored, F.round(F.sum("score"), 5).alias("score_sum"), F.round(F.max("score"), 6).alias("best"),
+        F.sum(F.col("first_pos") * F.col("doc_id")).alias("first_sum"),
+    )
 
 
 def candidate_set(spark, folder):
-    return ranking.candidate_set(_hits(spark, folder)[1])
+    return _digest(ranking.candidate_set(_hits(spark, folder)[1]))
 
 
 def result_counts(spark, folder):
@@ -393,7 +453,12 @@ def result_counts(spark, folder):
 
 
 def document_state(spark, folder):
-    return docs.document_state(_doc_log(spark, folder))
+    """Positions differ from run to run; what is read at them does not."""
+    state = stored(docs.document_state(_doc_log(spark, folder)), "state")
+    records = warc.read_records(state.filter("file_path IS NOT NULL"), _crawl(spark, folder))
+    bodies = records.select("doc_id", F.md5(F.encode("body", "UTF-8")).alias("body_md5"))
+    return state.join(bodies, "doc_id", "left").select(
+        "doc_id", "url", "status", "doc_length", "title", "snippet", "body_md5")
 
 
 # --- ranking -----------------------------------------------------------------
@@ -407,6 +472,16 @@ def search_topk(spark, folder):
     return _rounded(plans.search(pages_index(spark, folder), QUERY))
 
 
+def search_failed_downloads(spark, folder):
+    """Failed downloads have no text but count as documents."""
+    return _rounded(plans.search_batch(half_fetched_index(spark, folder), _benchmark(spark, folder)))
+
+
+def search_deep(spark, folder):
+    """Many results of one query: every document that matches, ranked over ranges."""
+    return _rounded(plans.search(documents_index(spark, folder), QUERY, k=10 ** 6))
+
+
 def search_documents(spark, folder):
     """The flagship query over the text corpus."""
     return _rounded(plans.search(documents_index(spark, folder), QUERY))
@@ -435,8 +510,11 @@ def search_topk_tf(spark, folder):
 
 
 def merge_postings(spark, folder):
+    """Old postings of documents that had other texts then: these terms stay."""
+    documents = _documents(spark, folder)
+    before = documents.withColumn("text", F.concat("lang", F.lit("lang "), "text")).filter(F.col("doc_id") % 3 == 0)
     return indexing.merge_postings(
-        _old_postings(spark, folder), indexing.doc_terms(_documents(spark, folder))
+        indexing.doc_terms(before), indexing.doc_terms(documents.filter(F.col("doc_id") % 4 > 0))
     )
 
 
@@ -476,6 +554,10 @@ def parse_postings(spark, folder):
     return indexing.parse_posting_strings(strings)
 
 
+def parse_posting_parts(spark, folder):
+    return indexing.parse_posting_strings(posting_string_parts(spark, folder))
+
+
 def warc_dates(spark, folder):
     events = read_table(spark, folder, "events")
     return events.select("event_id", wf.record_date(F.col("ts")).alias("warc_date"))
@@ -492,14 +574,17 @@ def warc_headers(spark, folder):
 
 def stream_accept_urls(spark, folder):
     queue, table = new_path(spark, "queue"), new_path(spark, "accepted")
-    _frontier(spark, folder).repartition(4).write.parquet(queue)
+    # files in the order of `seq`, read in the order they were written
+    parts = _frontier(spark, folder).repartitionByRange(6, "seq").withColumn("part", F.spark_partition_id())
+    for number in range(6):
+        parts.filter(F.col("part") == number).drop("part").coalesce(1).write.mode("append").parquet(queue)
     source = (
         spark.readStream.schema("seq long, url string").option("maxFilesPerTrigger", 2).parquet(queue)
     )
     crawl.accept_stream(
         source, table, new_path(spark, "stream"), _known(spark, folder)
     ).awaitTermination()
-    return spark.read.schema(crawl.ACCEPTED).parquet(table).select("url")
+    return spark.read.schema(crawl.ACCEPTED).parquet(table).select("doc_id", "url", "status")
 
 
 def _streamed(spark, folder) -> stream_index.StreamedIndex:
@@ -517,6 +602,50 @@ def _streamed(spark, folder) -> stream_index.StreamedIndex:
     return _once(spark, folder, "streamed", make)
 
 
+def _recrawled(spark, folder) -> stream_index.StreamedIndex:
+    """The pages fetched three times over: as they are, a third of them empty or with other
+    text, and a fifth twice in one batch, of which the later download counts."""
+    def make():
+        path = new_path(spark, "warc")
+        pages = _pages(spark, folder)
+        id3, id5 = F.col("doc_id") % 3, F.col("doc_id") % 5
+        changed = F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("<p>anew thing</p>"), "html"))
+        rounds = [
+            [pages],
+            [pages.filter(id3 == 0).withColumn("html", changed)],
+            [pages.filter(id5 == 0).withColumn("html", F.lit("<p>first of two</p>")),
+             pages.filter(id5 == 0).withColumn("html", F.concat(F.lit("<p>second of two</p>"), "html"))],
+        ]
+        index = stream_index.StreamedIndex(new_path(spark, "recrawled"))
+        index.prepare(spark)
+        seen = spark.createDataFrame([], "file_path string")
+        for number, downloads in enumerate(rounds):
+            handed = None
+            for seq, download in enumerate(downloads):
+                warc.write_archive(download.repartition("doc_id"), path)
+                rows = stored(warc.read_manifest(spark, path).join(seen, "file_path", "left_anti"), "handed-over")
+                seen = stored(seen.union(rows.select("file_path")).distinct(), "seen-files")
+                rows = rows.withColumn("seq", F.lit(seq))
+                handed = rows if handed is None else handed.unionByName(rows)
+            stream_index.index_batch(handed, path, index, number)
+        return index
+    return _once(spark, folder, "recrawled", make)
+
+
+def recrawled_postings(spark, folder):
+    return _recrawled(spark, folder).postings(spark)
+
+
+def recrawled_documents(spark, folder):
+    return _recrawled(spark, folder).documents(spark).select("doc_id", "url", "doc_length", "title", "snippet")
+
+
+def search_recrawled(spark, folder):
+    """Bounded search where postings outlive the texts they came from."""
+    index = _once(spark, folder, "recrawled-index", lambda: _recrawled(spark, folder).publish(spark))
+    return _rounded(plans.search_batch(index, _benchmark(spark, folder), bounded=True, use_tf=True))
+
+
 def streamed_postings(spark, folder):
     return _streamed(spark, folder).postings(spark).select("term", "doc_id")
 
@@ -534,9 +663,19 @@ def search_streamed(spark, folder):
 
 
 def not_indexed(spark, folder):
-    """Fetched pages that the index of labelled ids lacks."""
-    state = docs.document_state(_doc_log(spark, folder))
-    return docs.not_indexed(state, read_table(spark, folder, "labels").select("doc_id"))
+    """Fetched pages that the index lacks."""
+    manifest = warc.read_manifest(spark, _crawl(spark, folder))
+    state = docs.document_state(docs.crawled_rows(manifest, seq=2))
+    return docs.not_indexed(state, _indexed(spark, folder))
+
+
+def index_from_ids(spark, folder):
+    """Queue items name ids; positions are looked up, records read and indexed."""
+    state = docs.document_state(docs.crawled_rows(warc.read_manifest(spark, _crawl(spark, folder)), seq=2))
+    items = _documents(spark, folder).select(F.concat_ws(" ", F.lit(" "), "doc_id", "source").alias("item"))
+    wanted = docs.documents_by_ids(state, frontier.parse_doc_ids(items))
+    records = warc.read_records(wanted, _crawl(spark, folder)).filter(F.col("reason").isNull())
+    return extract.index_metadata(extract.extract_pages(records.select("doc_id", "url", F.col("body").alias("html"))))
 
 
 def index_rejects(spark, folder):
@@ -566,8 +705,9 @@ def fold_and_stop(spark, folder):
 
 def highlighted(spark, folder):
     queries = _benchmark(spark, folder)
+    results = stored(_page_results(spark, folder), "results")
     return highlight.highlighted(
-        _page_results(spark, folder), queries, pages_index(spark, folder).documents
+        results, queries, pages_index(spark, folder).documents, fits=fits_broadcast(results)
     )
 
 
@@ -600,6 +740,7 @@ QUERIES = {
     "doc_lengths": doc_lengths,
     "doc_terms": doc_terms,
     "posting_strings": posting_strings,
+    "posting_string_parts": posting_string_parts,
     "term_df": term_df,
     "bm25_contrib": bm25_contrib,
     "bm25_scores": bm25_scores,
@@ -607,6 +748,8 @@ QUERIES = {
     "result_counts": result_counts,
     "document_state": document_state,
     "search_topk": search_topk,
+    "search_failed_downloads": search_failed_downloads,
+    "search_deep": search_deep,
     "search_documents": search_documents,
     "search_batch": search_batch,
     "search_batch_exhaustive": search_batch_exhaustive,
@@ -620,13 +763,18 @@ QUERIES = {
     "snippets": snippets,
     "term_idf": term_idf,
     "parse_postings": parse_postings,
+    "parse_posting_parts": parse_posting_parts,
     "warc_dates": warc_dates,
     "warc_headers": warc_headers,
     "stream_accept_urls": stream_accept_urls,
     "stream_index": streamed_postings,
     "stream_documents": streamed_documents,
     "search_streamed": search_streamed,
+    "recrawled_postings": recrawled_postings,
+    "recrawled_documents": recrawled_documents,
+    "search_recrawled": search_recrawled,
     "not_indexed": not_indexed,
+    "index_from_ids": index_from_ids,
     "index_rejects": index_rejects,
     "exact_duplicates": exact_duplicates,
     "fold_and_stop": fold_and_stop,

@@ -55,11 +55,26 @@ docs AS (
 PAGES = f"""
 docs AS (
   SELECT page_id AS doc_id, url, {PAGE_TITLE} AS title, {PAGE_TEXT} AS text
-  FROM pages WHERE html <> ''
+  FROM pages
 )"""
+HALF_FETCHED = f"""
+changed AS (
+  SELECT page_id, url, CASE page_id % 7 WHEN 3 THEN NULL WHEN 5 THEN replace(html, '</p>', ' ') ELSE html END AS html
+  FROM pages
+),
+docs AS (SELECT page_id AS doc_id, url, {PAGE_TITLE} AS title, {PAGE_TEXT} AS text FROM changed)"""
+LATEST = f"""
+downloads AS (
+  SELECT page_id AS doc_id, url, html, 0 AS batch FROM pages
+  UNION ALL SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN '' ELSE '<p>anew thing</p>' || html END, 1
+  FROM pages WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id, url, '<p>second of two</p>' || html, 2 FROM pages WHERE page_id % 5 = 0
+),
+texts AS (SELECT doc_id, url, batch, {PAGE_TITLE} AS title, {PAGE_TEXT} AS text FROM downloads),
+docs AS (SELECT doc_id, url, title, text FROM texts QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY batch DESC) = 1)"""
 INDEX = f"""
 toks AS (SELECT doc_id, {index_tokens('text')} AS t FROM docs),
-lengths AS (SELECT doc_id, CAST(len(t) AS INTEGER) AS doc_length FROM toks),
+lengths AS (SELECT doc_id, CAST(coalesce(len(t), 0) AS INTEGER) AS doc_length FROM toks),
 words AS (SELECT doc_id, unnest(t) AS term FROM toks),
 postings AS (SELECT term, doc_id, CAST(count(*) AS INTEGER) AS tf FROM words GROUP BY ALL),
 terms AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
@@ -69,6 +84,15 @@ totals AS (
   FROM lengths
 ),
 metadata AS (SELECT doc_id, url, title, substring({collapse('text')}, 1, 200) AS snippet FROM docs)"""
+# postings of every download; the count is that of the last one that has the term
+RECRAWLED = f"{LATEST}, {INDEX}".replace(
+    "words AS (SELECT doc_id, unnest(t) AS term FROM toks)",
+    f"words AS (SELECT doc_id, batch, unnest({index_tokens('text')}) AS term FROM texts), "
+    "counted AS (SELECT term, doc_id, batch, CAST(count(*) AS INTEGER) AS n FROM words GROUP BY ALL)",
+).replace(
+    "SELECT term, doc_id, CAST(count(*) AS INTEGER) AS tf FROM words GROUP BY ALL",
+    "SELECT term, doc_id, arg_max(n, batch) AS tf FROM counted GROUP BY term, doc_id",
+)
 BENCHMARK = "asked AS (SELECT item_id AS qid, text AS q FROM benchmark)"
 CONVERSATIONS = "asked AS (SELECT conv_id * 1000 + turn AS qid, text AS q FROM conversations)"
 QUERY_TERMS = f"""
@@ -135,32 +159,57 @@ SELECT min(seq) AS seq, url FROM frontier
 WHERE {VALID} AND url NOT IN (SELECT url FROM pages WHERE contains(url, '/fr/'))
 GROUP BY url"""
 
-DOC_LOG = f"""
-fetched AS (SELECT * FROM pages WHERE NOT contains(url, '/fr/')),
-doc_log AS (
-  SELECT page_id AS doc_id, 1 AS seq, url, 'processing' AS status, NULL AS file_path,
-         NULL AS "offset", NULL AS length, NULL AS doc_length, NULL AS title, NULL AS snippet FROM pages
-  UNION ALL SELECT page_id, 2, NULL, 'crawled', 'pages.warc.gz', page_id * 100000, strlen(html),
-         NULL, NULL, NULL FROM fetched
-  UNION ALL SELECT page_id, 3, NULL, 'crawled_not_queued', NULL, NULL, NULL, NULL, NULL, NULL
-         FROM fetched WHERE strlen(html) < 3000
-  UNION ALL SELECT page_id, 3, NULL, NULL, NULL, NULL, NULL,
-         len(regexp_extract_all(html, '{tx.INDEX_TOKEN}')), upper(url), NULL
-         FROM fetched WHERE strlen(html) >= 3000
+BODY_MD5 = "md5(html || chr(13) || chr(10) || chr(13) || chr(10))"
+WITH_STATE = f"""
+WITH pages_read AS (
+  SELECT page_id AS doc_id, url, html, NOT contains(url, '/fr/') AS fetched, strlen(html) >= 3000 AS long,
+         {PAGE_TITLE} AS title, {PAGE_TEXT} AS text FROM pages
+),
+metadata AS (
+  SELECT doc_id, CAST(len({index_tokens('text')}) AS INTEGER) AS doc_length, title,
+         substring({collapse('text')}, 1, 200) AS snippet FROM pages_read
+),
+state AS (
+  SELECT doc_id, url,
+         CASE WHEN NOT fetched THEN 'processing' WHEN long THEN 'crawled' ELSE 'crawled_not_queued' END AS status,
+         m.doc_length, m.title, m.snippet, CASE WHEN fetched THEN {BODY_MD5} END AS body_md5
+  FROM pages_read p LEFT JOIN (SELECT doc_id, fetched AND long AS indexed FROM pages_read) USING (doc_id)
+  LEFT JOIN metadata m ON m.doc_id = p.doc_id AND indexed
 )"""
 
-
-def _last(column: str, kind: str) -> str:
-    return f'CAST(arg_max("{column}", seq) FILTER (WHERE "{column}" IS NOT NULL) AS {kind}) AS "{column}"'
-
-
-STATE = "state AS (SELECT doc_id, " + ", ".join(
-    _last(column, kind) for column, kind in [
-        ("url", "VARCHAR"), ("status", "VARCHAR"), ("file_path", "VARCHAR"), ("offset", "BIGINT"),
-        ("length", "BIGINT"), ("doc_length", "INTEGER"), ("title", "VARCHAR"), ("snippet", "VARCHAR"),
-    ]
-) + " FROM doc_log GROUP BY doc_id)"
-WITH_STATE = f"WITH {DOC_LOG}, {STATE}"
+HIGHLIGHT = f"""
+WITH {PAGES}, {INDEX}, {BENCHMARK}, {QUERY_TERMS}, {scoring()}, found AS ({RESULTS}),
+shown AS (
+  SELECT f.qid, f.rank, f.id, coalesce({collapse('text')}, '') AS text, t AS words
+  FROM found f JOIN docs ON doc_id = f.id JOIN q_list USING (qid)
+),
+pieces AS (
+  SELECT qid, rank, words, unnest(parts) AS piece, generate_subscripts(parts, 1) AS n
+  FROM (SELECT *, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS parts FROM shown)
+),
+placed AS (
+  SELECT qid, rank, n, piece, length(piece) AS size, list_contains(words, lower(piece)) AS hit,
+         1 + coalesce(sum(length(piece)) OVER (
+           PARTITION BY qid, rank ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM pieces
+),
+starts AS (SELECT qid, rank, unnest(generate_series(1, greatest(length(text), 1), 75)) AS start FROM shown),
+counted AS (
+  SELECT s.qid, s.rank, start, count(n) AS hits FROM starts s LEFT JOIN placed p
+    ON p.qid = s.qid AND p.rank = s.rank AND hit AND place >= start AND place + size <= start + 150
+  GROUP BY ALL
+),
+best AS (
+  SELECT qid, rank, start FROM counted QUALIFY row_number() OVER (PARTITION BY qid, rank ORDER BY hits DESC, start) = 1
+)
+SELECT qid, rank, id, coalesce(string_agg(
+  CASE WHEN hit AND place >= start AND place + size <= start + 150 THEN '<b>' || piece || '</b>'
+       ELSE substring(piece, CAST(greatest(1, start - place + 1) AS BIGINT),
+                      CAST(least(size, start + 149 - place + 1) - greatest(1, start - place + 1) + 1 AS BIGINT)) END,
+  '' ORDER BY n), '') AS preview
+FROM shown JOIN best USING (qid, rank) LEFT JOIN placed USING (qid, rank)
+WHERE n IS NULL OR (place < start + 150 AND place + size > start)
+GROUP BY qid, rank, id"""
 
 _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
@@ -170,10 +219,16 @@ def _listed(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
+PAIRS = "count(*) AS pairs, CAST(sum(doc_id) AS BIGINT) AS id_sum"
+BY_ID_TEXT = f"""{DOCS_INDEX}, listed AS (
+  SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS pos,
+         count(*) OVER (PARTITION BY term) AS df FROM postings
+), parted AS (SELECT *, CAST(pos // 50 AS INTEGER) AS part FROM listed)"""
+
 ORACLES = {
     "scan_documents": "SELECT doc_id, lang, source, n_chars, strlen(text) AS bytes FROM documents",
-    "warc_point_read": "SELECT page_id AS doc_id, TRUE AS complete FROM pages",
-    "warc_payload": "SELECT page_id AS doc_id, url, md5(html || chr(13) || chr(10) || chr(13) || chr(10)) AS body_md5 FROM pages",
+    "warc_point_read": f"SELECT page_id AS doc_id, url, {BODY_MD5} AS body_md5 FROM pages",
+    "warc_payload": f"SELECT page_id AS doc_id, url, {BODY_MD5} AS body_md5 FROM pages",
     "warc_write_manifest": (
         "SELECT page_id AS doc_id, url, TRUE AS follows_previous, TRUE AS has_bytes FROM pages"
     ),
@@ -223,12 +278,11 @@ FROM items WHERE TRY_CAST(regexp_extract(item, '^\\s*([+-]?[0-9]+)', 1) AS INTEG
     ),
     "docs_by_status": f"{WITH_STATE} SELECT doc_id, url, status FROM state WHERE status = 'crawled'",
     "first_documents": f"{WITH_STATE} SELECT doc_id, url, title, status FROM state ORDER BY doc_id LIMIT 10",
-    "candidates": f"{BENCHMARK_HITS} SELECT qid, pos, term, doc_id FROM hits",
-    "candidate_lengths": (
-        f"{BENCHMARK_HITS} SELECT qid, doc_id, doc_length, round(CAST(CASE WHEN coalesce(doc_length, 0) = 0 "
-        "THEN avgdl ELSE doc_length END AS DOUBLE), 6) AS effective_length "
-        "FROM (SELECT DISTINCT qid, doc_id FROM hits) LEFT JOIN lengths USING (doc_id), totals"
-    ),
+    "candidates": f"""{BENCHMARK_HITS} SELECT qid, {PAIRS}, CAST(sum((pos + 1) * doc_id) AS BIGINT) AS pos_sum,
+CAST(sum(length(term)) AS BIGINT) AS letters FROM hits GROUP BY qid""",
+    "candidate_lengths": f"""{BENCHMARK_HITS} SELECT qid, {PAIRS}, CAST(sum(doc_length) AS BIGINT) AS length_sum,
+round(sum(CAST(CASE WHEN coalesce(doc_length, 0) = 0 THEN avgdl ELSE doc_length END AS DOUBLE)), 3) AS effective_sum
+FROM (SELECT DISTINCT qid, doc_id FROM hits) LEFT JOIN lengths USING (doc_id), totals GROUP BY qid""",
     "topk_metadata": (
         f"{BENCHMARK_HITS}, page_docs AS (SELECT page_id AS doc_id, url, {PAGE_TITLE} AS title, "
         f"substring({collapse(PAGE_TEXT)}, 1, 200) AS snippet FROM pages) "
@@ -242,25 +296,35 @@ FROM items WHERE TRY_CAST(regexp_extract(item, '^\\s*([+-]?[0-9]+)', 1) AS INTEG
     "doc_lengths": f"{DOCS_INDEX} SELECT doc_id, doc_length FROM lengths",
     "doc_terms": f"{DOCS_INDEX} SELECT term, doc_id FROM postings",
     "posting_strings": (
-        f"{DOCS_INDEX} SELECT term, '' AS part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) "
-        "AS doc_ids FROM postings GROUP BY term"
+        f"{DOCS_INDEX} SELECT term, 0 AS part, CAST(0 AS BIGINT) AS first_pos, "
+        "string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS doc_ids FROM postings GROUP BY term"
     ),
+    "posting_string_parts": f"""{BY_ID_TEXT} SELECT term, part, CAST(part AS BIGINT) * 50 AS first_pos,
+string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY pos) AS doc_ids FROM parted GROUP BY term, part""",
     "term_df": f"{DOCS_INDEX} SELECT term, df FROM terms",
-    "bm25_contrib": f"{BENCHMARK_HITS} SELECT qid, pos, term, doc_id, round(c, 6) AS contribution FROM weighed",
-    "bm25_scores": f"{BENCHMARK_HITS} SELECT qid, doc_id, round(score, 6) AS score, first_pos FROM scored",
-    "candidate_set": f"{BENCHMARK_HITS} SELECT DISTINCT qid, doc_id FROM hits",
+    "bm25_contrib": (
+        f"{BENCHMARK_HITS} SELECT qid, {PAIRS}, round(sum(c * (pos + 1)), 5) AS contribution_sum FROM weighed GROUP BY qid"
+    ),
+    "bm25_scores": f"""{BENCHMARK_HITS} SELECT qid, {PAIRS}, round(sum(score), 5) AS score_sum, round(max(score), 6) AS best,
+CAST(sum(first_pos * doc_id) AS BIGINT) AS first_sum FROM scored GROUP BY qid""",
+    "candidate_set": f"{BENCHMARK_HITS} SELECT qid, {PAIRS} FROM (SELECT DISTINCT qid, doc_id FROM hits) GROUP BY qid",
     "result_counts": (
         f"WITH {PAGES}, {INDEX}, {BENCHMARK}, {QUERY_TERMS}, {scoring()} SELECT qid, count(doc_id) AS result_count "
         "FROM asked LEFT JOIN (SELECT qid, doc_id FROM ranked JOIN metadata USING (doc_id)) USING (qid) GROUP BY qid"
     ),
     "document_state": f"{WITH_STATE} SELECT * FROM state",
     "search_topk": one_result(PAGES),
+    "search_failed_downloads": results(HALF_FETCHED, BENCHMARK),
+    "search_deep": one_result(DOCUMENTS).replace(f"rank <= {DEFAULT_K}", f"rank <= {10 ** 6}"),
     "search_documents": one_result(DOCUMENTS),
     "search_batch": results(DOCUMENTS, CONVERSATIONS),
     "search_batch_exhaustive": results(PAGES, BENCHMARK),
     "search_batch_bounded": results(PAGES, BENCHMARK),
     "search_topk_tf": results(PAGES, BENCHMARK, tf="tf"),
-    "merge_postings": f"{DOCS_INDEX} SELECT term, doc_id FROM postings",
+    "merge_postings": f"""WITH before AS (
+  SELECT doc_id, unnest({index_tokens("lang || 'lang ' || text")}) AS term FROM documents WHERE doc_id % 3 = 0
+), now AS (SELECT doc_id, unnest({index_tokens('text')}) AS term FROM documents WHERE doc_id % 4 > 0)
+SELECT term, doc_id FROM before UNION SELECT term, doc_id FROM now""",
     "tokenize_documents": (
         f"{DOCS_INDEX} SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token FROM toks"
     ),
@@ -271,10 +335,8 @@ FROM items WHERE TRY_CAST(regexp_extract(item, '^\\s*([+-]?[0-9]+)', 1) AS INTEG
     "term_idf": (
         f"{DOCS_INDEX} SELECT term, df, round(ln((n_docs - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf FROM terms, totals"
     ),
-    "parse_postings": (
-        f"{DOCS_INDEX} SELECT term, '' AS part, doc_id, CAST(row_number() OVER (PARTITION BY term "
-        "ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS INTEGER) AS pos FROM postings"
-    ),
+    "parse_postings": f"{BY_ID_TEXT} SELECT term, 0 AS part, pos, doc_id FROM parted",
+    "parse_posting_parts": f"{BY_ID_TEXT} SELECT term, part, pos, doc_id FROM parted",
     "warc_dates": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS warc_date FROM events",
     "warc_headers": (
         "SELECT page_id AS doc_id, array_to_string(['WARC/1.0', 'WARC-Type: response', 'WARC-Target-URI: ' || url, "
@@ -283,22 +345,28 @@ FROM items WHERE TRY_CAST(regexp_extract(item, '^\\s*([+-]?[0-9]+)', 1) AS INTEG
         "chr(13) || chr(10)) AS header FROM pages"
     ),
     "stream_accept_urls": (
-        f"WITH {FRONTIER} SELECT url FROM ({ACCEPTED}) UNION ALL SELECT url FROM pages WHERE contains(url, '/fr/')"
+        f"WITH {FRONTIER} SELECT seq AS doc_id, url, 'processing' AS status FROM ({ACCEPTED}) "
+        "UNION ALL SELECT page_id, url, 'crawled' FROM pages WHERE contains(url, '/fr/')"
     ),
     "stream_index": f"{PAGES_INDEX} SELECT term, doc_id FROM postings",
     "stream_documents": (
         f"{PAGES_INDEX} SELECT doc_id, url, doc_length, title, snippet FROM metadata JOIN lengths USING (doc_id)"
     ),
     "search_streamed": results(PAGES, BENCHMARK),
-    "not_indexed": (
-        f"{WITH_STATE} SELECT doc_id, 'crawled_not_queued' AS status FROM state "
-        "WHERE status = 'crawled' AND doc_id NOT IN (SELECT doc_id FROM labels)"
+    "recrawled_postings": f"WITH {RECRAWLED} SELECT term, doc_id, tf FROM postings",
+    "recrawled_documents": (
+        f"WITH {RECRAWLED} SELECT doc_id, url, doc_length, title, snippet FROM metadata JOIN lengths USING (doc_id)"
     ),
+    "search_recrawled": f"WITH {RECRAWLED}, {BENCHMARK}, {QUERY_TERMS}, {scoring('tf')} {RESULTS}",
+    "not_indexed": f"{WITH_STATE} SELECT doc_id, status FROM state WHERE status = 'crawled_not_queued'",
+    "index_from_ids": f"""{WITH_STATE} SELECT doc_id, doc_length, title, snippet FROM metadata
+WHERE doc_id IN (SELECT doc_id FROM pages_read WHERE fetched) AND doc_id IN (SELECT doc_id FROM documents)""",
     "index_rejects": """
 SELECT page_id AS doc_id, unnest(['bad gzip', 'short read', 'no file']) AS reason FROM pages""",
     "exact_duplicates": """
 SELECT doc_id, sha256(text) AS content_hash, min(doc_id) OVER (PARTITION BY text) AS keep_id
 FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1""",
+    "highlight": HIGHLIGHT,
     "fold_and_stop": f"""
 WITH folded AS (SELECT doc_id, translate(text, '{_MARKED}', '{_PLAIN}') AS text FROM documents)
 SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({index_tokens('text')}) AS term FROM folded)

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from harrow.functions import scoring
 from harrow.functions import text as tx
 from harrow.operators import ranking
+from harrow.operators.joins import spread_join
+from harrow.operators.order import numbered
 from harrow.session import broadcast_limit, fits_broadcast, measured_bytes, stored
 from harrow.sources.index_store import SearchIndex, lookup
 
@@ -63,8 +65,11 @@ def best_documents(index: SearchIndex, q: str, k: int, use_tf: bool = False) ->
         scored = ranking.scores_by_position(worth, known_at)
     else:
         scored = ranking.scores(worth)
+    if k > MAX_PUSHED_IDS:
+        ranked = numbered(scored, ranking.result_order(), "rank").filter(F.col("rank") <= k)
+        return ranked.withColumn("rank", F.col("rank").cast("int")).drop("first_pos")
     best = scored.orderBy(*ranking.result_order()).limit(k)
-    order = Window.orderBy(*ranking.result_order())  # k rows
+    order = Window.orderBy(*ranking.result_order())  # MAX_PUSHED_IDS rows at most
     return best.withColumn("rank", F.row_number().over(order)).drop("first_pos")
 
 
@@ -74,13 +79,14 @@ def search(
     """Top-k result rows of one query, ordered by rank."""
     ranked = best_documents(index, q, k, use_tf)
     documents = index.documents
+    fits = k * RESULT_ROW_BYTES <= broadcast_limit(index.spark)
     if k <= MAX_PUSHED_IDS:
         # the k ids become a literal list: pushed to Parquet it skips row groups
         # of the metadata, which a join would scan in full
         rows = ranked.collect()
         ranked = index.spark.createDataFrame(rows, ranked.schema)
         documents = documents.filter(F.col("doc_id").isin([r["doc_id"] for r in rows]))
-    return ranking.with_metadata(ranked, documents, fits=True).orderBy("rank").drop("qid")
+    return ranking.with_metadata(ranked, documents, fits=fits).orderBy("rank").drop("qid")
 
 
 def search_batch(
@@ -128,12 +134,13 @@ def search_batch(
 
 
 def _per_query(parsed: DataFrame, lists: DataFrame, results: DataFrame) -> DataFrame:
-    if fits_broadcast(lists):
-        lists = F.broadcast(lists)
-    owners = parsed.join(lists, "words").select("qid", "list_id")
-    return (
-        results.withColumnRenamed("qid", "list_id").join(owners, "list_id")
-        .select("qid", "rank", "id", "url", "title", "snippet", "score")
+    """Both joins spread a token list that very many queries share."""
+    owners = spread_join(parsed, lists, "words", "copies", "qid").select("qid", "list_id")
+    weights = lists.select(F.col("list_id").alias("qid"), "copies")
+    rows = results.join(F.broadcast(weights) if fits_broadcast(weights) else weights, "qid")
+    rows = stored(rows.withColumnRenamed("qid", "list_id"), "list-results")
+    return spread_join(owners, rows, "list_id", "copies", "qid").select(
+        "qid", "rank", "id", "url", "title", "snippet", "score"
     )
 
 
@@ -151,7 +158,8 @@ def term_bounds(weighted: DataFrame, avgdl: float, use_tf: bool) -> DataFrame:
     all more frequent ones can add together, `cum_df` the postings up to the term.
     A window partition holds one query's terms.
     """
-    shortest = scoring.length_or_average(F.col("min_length"), F.lit(avgdl))
+    # a document without a length scores as an average one
+    shortest = F.least(F.col("min_length").cast("double"), F.when(F.col("length_unknown"), F.lit(avgdl)))
     most = (
         F.col("idf") * F.lit(scoring.K1 + 1.0) if use_tf
         else scoring.contribution(F.col("idf"), F.lit(1), shortest, F.lit(avgdl))
@@ -236,7 +244,11 @@ def bounded_scores(
 def _score_documents(
     index: SearchIndex, weighted: DataFrame, pairs: DataFrame, use_tf: bool, fits: bool
 ) -> DataFrame:
-    """Scores of given `(qid, doc_id)` pairs over all terms of the query."""
+    """Scores of given `(qid, doc_id)` pairs over all terms of the query.
+
+    The pairs carry their query's terms to the documents' buckets; the join is on
+    `doc_id` alone, so the postings stay in the buckets they are stored in.
+    """
     words = weighted.select("term").distinct()
     documents = pairs.select("doc_id").distinct()
     if fits_broadcast(documents):
@@ -246,7 +258,8 @@ def _score_documents(
         .join(documents, "doc_id", "left_semi")
         .join(F.broadcast(words) if fits else words, "term", "left_semi")
     )
-    terms = weighted.select("qid", "pos", "term", "idf")
+    terms = weighted.groupBy("qid").agg(F.collect_list(F.struct("term", "pos", "idf")).alias("asked"))
     wanted = pairs.join(F.broadcast(terms) if fits else terms, "qid")
-    hits = wanted.join(own, ["doc_id", "term"])
+    met = own.join(wanted, "doc_id").withColumn("a", F.explode(F.filter("asked", lambda a: a["term"] == F.col("term"))))
+    hits = met.select("qid", "doc_id", "term", "tf", "doc_length", "a.pos", "a.idf")
     return ranking.scores(ranking.with_contributions(hits, index.avgdl, use_tf))

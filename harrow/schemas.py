@@ -57,6 +57,7 @@ TERM_STATS = T.StructType([
     T.StructField("term", T.StringType()),
     T.StructField("df", T.LongType()),
     T.StructField("min_length", T.IntegerType()),
+    T.StructField("length_unknown", T.BooleanType()),
 ])
 
 STATS = T.StructType([

@@ -26,6 +26,8 @@ from harrow.session import new_path
 
 
 BUCKET_TEXT_BYTES = 256 * 1024 * 1024
+# A vocabulary grows far slower than its corpus.
+TERM_BUCKETS = 2000
 
 
 @dataclass(frozen=True)
@@ -79,12 +81,16 @@ def build_index(
 
     The only full shuffle moves each text once to its bucket. Tokens, term counts
     and the postings sort all happen inside the buckets. Give `text_bytes` (or
-    `buckets`) for a large corpus: it sets how much one task sorts. `postings`, if given as
-    `(term, doc_id, tf)`, are taken over instead of being derived from the texts.
+    `buckets`) for a large corpus that is costly to measure: it sets how much one task
+    sorts. `postings(term, doc_id, tf[, batch_id])`, if given, are taken over instead of
+    being derived from the texts; of repeated ones the latest batch counts. They are
+    shuffled once, to the buckets of their documents.
     """
     spark = documents.sparkSession
     path = path or new_path(spark, "index")
-    buckets = buckets or default_buckets(spark, text_bytes)
+    if not buckets:
+        text_bytes = text_bytes or documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = default_buckets(spark, text_bytes)
     tag = "harrow_" + uuid.uuid4().hex[:12]
 
     placed = documents.select("doc_id", "url", "title", "text").repartition(buckets, "doc_id")
@@ -100,8 +106,9 @@ def build_index(
     if postings is None:
         rows = indexing.count_terms(stored, "doc_length")
     else:
+        latest = F.max_by("tf", "batch_id") if "batch_id" in postings.columns else F.max("tf")
         rows = (
-            postings.select("term", "doc_id", "tf").repartition(buckets, "doc_id")
+            postings.repartition(buckets, "doc_id").groupBy("term", "doc_id").agg(latest.alias("tf"))
             .join(stored.select("doc_id", "doc_length"), "doc_id", "left")
             .select("term", "doc_id", "tf", "doc_length")
         )
@@ -109,10 +116,9 @@ def build_index(
         rows, f"{tag}_postings", f"{path}/postings", "doc_id", ["term", "doc_id"], buckets,
     )
     indexed = spark.table(f"{tag}_postings")
-    _save(
-        term_statistics(indexed).repartition(buckets, "term"),
-        f"{tag}_terms", f"{path}/term_stats", "term", ["term"], buckets,
-    )
+    terms = term_statistics(indexed)
+    few = min(buckets, TERM_BUCKETS)
+    _save(terms.repartition(few, "term"), f"{tag}_terms", f"{path}/term_stats", "term", ["term"], few)
     (
         corpus_stats(stored).withColumn("buckets", F.lit(buckets))
         .coalesce(1).write.parquet(f"{path}/stats")
@@ -135,7 +141,7 @@ def _opened(spark: SparkSession, path: str, tag: str) -> SearchIndex:
         postings=_attach(spark, f"{tag}_postings", schemas.POSTINGS,
                          f"{path}/postings", "doc_id", "term, doc_id", n),
         term_stats=_attach(spark, f"{tag}_terms", schemas.TERM_STATS,
-                           f"{path}/term_stats", "term", "term", n),
+                           f"{path}/term_stats", "term", "term", min(n, TERM_BUCKETS)),
         n_docs=stats["n_docs"],
         avgdl=stats["avgdl"],
         buckets=n,

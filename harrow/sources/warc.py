@@ -3,7 +3,8 @@
 * `write_archive`  pages -> archive plus manifest `(doc_id, url, file_path, offset, length)`
 * `read_manifest`  manifest rows of every finished write
 * `read_records`   positioned reads for a manifest, whole bodies or a reject reason
-* `scan_archive`   full scan without a manifest, large files split between tasks
+* `scan_archive`   full scan without a manifest, large files split between tasks; a
+  member that gives no record comes back as a row with the reason
 
 A task writes files of its own and reports them when done; the driver publishes
 reported files only, so a lost or repeated attempt leaves unlisted files behind
@@ -28,10 +29,10 @@ from pyspark.sql.datasource import (
 
 from harrow import schemas
 from harrow.functions import warc_format as wf
+from harrow.session import hinted
 from harrow.sources.storage import list_files, located
 
 # Fixed values.
-MAX_RECORD_BYTES = 100 * 1024 * 1024
 ROLL_BYTES = 1024 * 1024 * 1024
 GZIP = 31  # zlib window setting for the gzip container
 MAGIC = b"\x1f\x8b\x08"
@@ -40,11 +41,14 @@ HEADER_END = b"\r\n\r\n"
 SPLIT_BYTES = 128 * 1024 * 1024
 BATCH_BYTES = 32 * 1024 * 1024
 READ_BYTES = 1024 * 1024
+FEED_BYTES = 64 * 1024
 
-SCAN_SCHEMA = "file_path string, offset long, length long, headers map<string,string>, body string"
+SCAN_SCHEMA = (
+    "file_path string, offset long, length long, headers map<string,string>, body string, reason string"
+)
 _SCAN_ARROW = pa.schema([
     ("file_path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
-    ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.string()),
+    ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.string()), ("reason", pa.string()),
 ])
 _MANIFEST_ARROW = pa.schema([
     ("doc_id", pa.int64()), ("url", pa.string()), ("file_path", pa.string()),
@@ -55,14 +59,14 @@ _RECORD_ARROW = pa.schema([
 ])
 
 
-def gunzip(data: bytes) -> tuple[bytes | None, str | None]:
-    """One member's content, or the reason it is refused."""
+def gunzip(data: bytes, most: int | None = None) -> tuple[bytes | None, str | None]:
+    """One member's content, or the reason it is refused; `most`: bytes of the largest one taken."""
     member = zlib.decompressobj(GZIP)
     try:
-        content = member.decompress(data, MAX_RECORD_BYTES + 1)
+        content = member.decompress(data, most + 1 if most else 0)
     except zlib.error:
         return None, "bad gzip"
-    if len(content) > MAX_RECORD_BYTES:
+    if most and len(content) > most:
         return None, "too large"
     return (content, None) if member.eof else (None, "bad gzip")
 
@@ -144,62 +148,92 @@ class FileSplit(InputPartition):
     stop: int
 
 
-def _next_magic(source, at: int, size: int) -> int | None:
-    while at < size:
+class _Forward:
+    """A file read once from a place on, with the bytes that are still needed."""
+
+    def __init__(self, source, at: int):
         source.seek(at)
-        window = source.read(READ_BYTES)
-        found = window.find(MAGIC)
-        if found >= 0:
-            return at + found
-        if at + len(window) >= size:
-            return None
-        at += len(window) - len(MAGIC) + 1
-    return None
-
-
-def _member_at(source, at: int) -> tuple[int | None, bytes | None]:
-    """`(length, content)` of the member at an offset; content None if over the limit."""
-    source.seek(at)
-    member = zlib.decompressobj(GZIP)
-    kept: list[bytes] = []
-    consumed = inflated = 0
-    pending = b""
-    try:
-        while not member.eof:
-            if not pending:
-                pending = source.read(READ_BYTES)
+        self.source = source
+        self.held = b""
+        self.base = at  # file offset of the first byte held
+        self.pos = 0
+
+    @property
+    def at(self) -> int:
+        return self.base + self.pos
+
+    def more(self) -> bool:
+        data = self.source.read(READ_BYTES)
+        self.held = self.held[self.pos:] + data
+        self.base += self.pos
+        self.pos = 0
+        return bool(data)
+
+    def to_magic(self, stop: int) -> bool:
+        """Move to the next possible member that starts before `stop`."""
+        while self.at < stop:
+            found = self.held.find(MAGIC, self.pos)
+            if found >= 0:
+                self.pos = found
+                return self.at < stop
+            self.pos = max(self.pos, len(self.held) - len(MAGIC) + 1)
+            if not self.more():
+                return False
+        return False
+
+    def member(self, most: int | None) -> tuple[int | None, bytes | None]:
+        """`(length, content)` of the member at the place; content None if over the limit."""
+        inflater = zlib.decompressobj(GZIP)
+        kept: list[bytes] = []
+        fed = inflated = 0
+        try:
+            while not inflater.eof:
+                pending = inflater.unconsumed_tail
                 if not pending:
-                    return None, None
-                consumed += len(pending)
-            piece = member.decompress(pending, READ_BYTES)
-            pending = member.unconsumed_tail
-            inflated += len(piece)
-            if inflated <= MAX_RECORD_BYTES:
-                kept.append(piece)
-            else:
-                kept.clear()
-    except zlib.error:
-        return None, None
-    length = consumed - len(member.unused_data)
-    return length, b"".join(kept) if inflated <= MAX_RECORD_BYTES else None
-
-
-def _records(source, split: FileSplit, size: int):
-    """Records starting inside a split. A split may open in the middle of a member:
-    positions that do not inflate to a WARC record are stepped over."""
-    at = split.start
-    while True:
-        found = _next_magic(source, at, size)
-        if found is None or found >= split.stop:
-            return
-        length, content = _member_at(source, found)
+                    if self.pos + fed == len(self.held) and not self.more():
+                        return None, None
+                    pending = self.held[self.pos + fed:self.pos + fed + FEED_BYTES]
+                    fed += len(pending)
+                piece = inflater.decompress(pending, READ_BYTES)
+                inflated += len(piece)
+                if most is None or inflated <= most:
+                    kept.append(piece)
+                else:
+                    kept.clear()
+        except zlib.error:
+            return None, None
+        length = fed - len(inflater.unused_data)
+        return length, b"".join(kept) if most is None or inflated <= most else None
+
+
+def _records(source, split: FileSplit, most: int | None):
+    """`(offset, length, head, body, reason)` of the members starting inside a split.
+
+    The file is read forward once. A split may open in the middle of a member: until
+    the first record, positions that do not inflate to one are stepped over, and so
+    are those inside damage, which is reported where it starts.
+    """
+    forward = _Forward(source, split.start)
+    at_start = split.start == 0  # known to be where a member begins
+    while forward.to_magic(split.stop):
+        found = forward.at
+        length, content = forward.member(most)
+        known, at_start = at_start, length is not None
         if length is None or (content is not None and not content.startswith(b"WARC/")):
-            at = found + 1
+            if known:
+                yield found, length, None, None, "bad gzip" if length is None else "no record"
+            at_start = known and length is not None
+            forward.pos += length if at_start else 1
+            continue
+        forward.pos += length
+        if content is None:
+            yield found, length, None, None, "too large"
             continue
-        at = found + length
-        cut = -1 if content is None else content.find(HEADER_END)
-        if cut >= 0:
-            yield found, length, content[:cut], content[cut + len(HEADER_END):]
+        cut = content.find(HEADER_END)
+        if cut < 0:
+            yield found, length, None, None, "no header end"
+        else:
+            yield found, length, content[:cut], content[cut + len(HEADER_END):], None
 
 
 def _headers(raw: bytes) -> list[tuple[str, str]]:
@@ -212,9 +246,10 @@ def _headers(raw: bytes) -> list[tuple[str, str]]:
 
 
 class _ArchiveReader(DataSourceReader):
-    def __init__(self, path: str, split_bytes: int):
+    def __init__(self, path: str, split_bytes: int, most: int | None):
         self.path = path
         self.split_bytes = split_bytes
+        self.most = most
 
     def partitions(self):
         files = list_files(self.path, ".warc.gz")
@@ -240,12 +275,13 @@ class _ArchiveReader(DataSourceReader):
         fs, root = located(self.path)
         with fs.open_input_file(f"{root}/{split.name}") as source:
             rows, held = [], 0
-            for offset, length, head, body in _records(source, split, source.size()):
+            for offset, length, head, body, reason in _records(source, split, self.most):
                 rows.append({
                     "file_path": split.name, "offset": offset, "length": length,
-                    "headers": _headers(head), "body": body.decode("utf-8", "replace"),
+                    "headers": None if head is None else _headers(head),
+                    "body": None if body is None else body.decode("utf-8", "replace"), "reason": reason,
                 })
-                held += len(body)
+                held += len(body or b"")
                 if held >= BATCH_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, _SCAN_ARROW)
                     rows, held = [], 0
@@ -264,8 +300,9 @@ class WarcDataSource(DataSource):
         return SCAN_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
+        most = self.options.get("maxrecordbytes")
         return _ArchiveReader(
-            self.options["path"], int(self.options.get("splitbytes", SPLIT_BYTES))
+            self.options["path"], int(self.options.get("splitbytes", SPLIT_BYTES)), int(most) if most else None
         )
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
@@ -300,19 +337,28 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES) ->
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest rows of finished writes (the list read here has one entry per task)."""
-    parts = [r["manifest"] for r in spark.read.schema("manifest string").json(f"{path}/commits").collect()]
-    if not parts:
+    """Manifest rows of finished writes; those of unfinished ones are left out by file name."""
+    finished = spark.read.schema("manifest string").json(f"{path}/commits")
+    if finished.isEmpty():
         return spark.createDataFrame([], schemas.MANIFEST)
-    return spark.read.schema(schemas.MANIFEST).parquet(*[f"{path}/manifest/{p}" for p in parts])
+    rows = spark.read.schema(schemas.MANIFEST).parquet(f"{path}/manifest")
+    named = rows.withColumn("manifest", F.col("_metadata.file_name"))
+    names = hinted(finished.filter("manifest IS NOT NULL"))
+    return named.join(names, "manifest", "left_semi").drop("manifest")
 
 
-def scan_archive(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def scan_archive(
+    spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, max_record_bytes: int | None = None
+) -> DataFrame:
+    """Every record of the archive; `max_record_bytes` refuses larger ones with a reason."""
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("splitBytes", split_bytes).load(path)
+    reader = spark.read.format("warc").option("splitBytes", split_bytes)
+    if max_record_bytes:
+        reader = reader.option("maxRecordBytes", max_record_bytes)
+    return reader.load(path)
 
 
-def _range_reader(base: str, inflate: bool):
+def _range_reader(base: str, inflate: bool, most: int | None = None):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = located(base)
         name, source = None, None
@@ -329,7 +375,7 @@ def _range_reader(base: str, inflate: bool):
                         source = None
                 body, reason = _read_range(source, row["offset"], row["length"])
                 if reason is None and inflate:
-                    body, reason = gunzip(body)
+                    body, reason = gunzip(body, most)
                     if reason is None:
                         body, reason = payload(body)
                     if reason is None:
@@ -380,8 +426,8 @@ def read_ranges(manifest: DataFrame, base: str) -> DataFrame:
     )
 
 
-def read_records(manifest: DataFrame, base: str) -> DataFrame:
+def read_records(manifest: DataFrame, base: str, max_record_bytes: int | None = None) -> DataFrame:
     """`(doc_id, url, body, reason)`: record bodies; bad items get a reason and no body."""
     return _placed(manifest).mapInArrow(
-        _range_reader(base, True), "doc_id long, url string, body string, reason string"
+        _range_reader(base, True, max_record_bytes), "doc_id long, url string, body string, reason string"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from harrow.operators.frontier import accept_urls, clean_queue, valid_urls
+from harrow.operators.frontier import accept_urls
 from harrow.streaming import batches
 
 ACCEPTED = T.StructType([
@@ -43,17 +43,3 @@ def accept_stream(
         frontier.writeStream.foreachBatch(one_batch)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-
-
-def accept_stream_stateful(frontier: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """The same accepted URLs with the memory in the state store, split by URL.
-
-    A batch costs its own size instead of a scan of all URLs; use the RocksDB
-    state store for large frontiers. URLs accepted elsewhere are not known to it.
-    """
-    accepted = valid_urls(clean_queue(frontier)).dropDuplicates(["url"])
-    return (
-        accepted.select(F.col("seq").alias("doc_id"), "url", F.lit("processing").alias("status"))
-        .writeStream.format("parquet").option("path", table)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )

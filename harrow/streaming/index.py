@@ -14,6 +14,7 @@ from harrow.functions import text as tx
 from harrow.operators import documents as docs
 from harrow.operators import indexing
 from harrow.operators.extract import page_content
+from harrow.session import hinted
 from harrow.sources import warc
 from harrow.sources.index_store import SearchIndex, build_index
 from harrow.streaming import batches
@@ -45,8 +46,13 @@ class StreamedIndex:
         batches.start_table(spark, self.table("postings"), TERMS)
         batches.start_table(spark, self.table("doc_log"), schemas.DOC_LOG)
 
-    def postings(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        return batches.read_table(spark, self.table("postings"), TERMS, before)
+    def all_postings(self, spark: SparkSession) -> DataFrame:
+        """Postings batch by batch, `(term, doc_id, tf, batch_id)`."""
+        return batches.read_table(spark, self.table("postings"), TERMS)
+
+    def postings(self, spark: SparkSession) -> DataFrame:
+        """Each `(term, doc_id)` once, with its latest `tf`."""
+        return self.all_postings(spark).groupBy("term", "doc_id").agg(F.max_by("tf", "batch_id").alias("tf"))
 
     def doc_log(self, spark: SparkSession) -> DataFrame:
         return batches.read_table(spark, self.table("doc_log"), schemas.DOC_LOG)
@@ -55,31 +61,42 @@ class StreamedIndex:
         return docs.document_state(self.doc_log(spark))
 
     def latest_documents(self, spark: SparkSession) -> DataFrame:
-        """`(doc_id, url, title, text)` as last extracted."""
+        """`(doc_id, url, title, text)` as last extracted; a batch has one row per document.
+
+        Only ids and batch numbers are grouped, texts are not moved for it.
+        """
         rows = batches.read_table(spark, self.table("extracted"), EXTRACTED)
-        page = F.struct("url", "title", "text")
-        return (
-            rows.filter(F.col("reason").isNull())
-            .groupBy("doc_id").agg(F.max_by(page, "batch_id").alias("page"))
-            .select("doc_id", "page.url", "page.title", "page.text")
-        )
+        good = rows.filter(F.col("reason").isNull())
+        newest = good.groupBy("doc_id").agg(F.max("batch_id").alias("batch_id"))
+        return good.join(hinted(newest), ["doc_id", "batch_id"]).select("doc_id", "url", "title", "text")
 
     def publish(self, spark: SparkSession, path: str | None = None) -> SearchIndex:
         """Turn what has been streamed so far into an index version for searching.
 
-        Postings are taken as merged, so terms of replaced contents stay in.
+        Postings are the union over all batches, so terms of replaced contents stay in;
+        `tf` is that of the last batch that had the term in the document.
         """
-        postings = self.postings(spark).groupBy("term", "doc_id").agg(F.max("tf").alias("tf"))
-        return build_index(self.latest_documents(spark), path, postings=postings)
+        documents = self.latest_documents(spark)
+        size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        return build_index(documents, path, postings=self.all_postings(spark), text_bytes=size)
 
     def rejects(self, spark: SparkSession) -> DataFrame:
         rows = batches.read_table(spark, self.table("extracted"), EXTRACTED)
         return rows.filter(F.col("reason").isNotNull()).select("doc_id", "reason")
 
 
+def last_handed_over(manifest: DataFrame) -> DataFrame:
+    """One row per document of a batch: the one with the largest `seq` if the manifest has
+    it, and among equals the last by file and offset."""
+    fields = [f.name for f in schemas.MANIFEST.fields if f.name != "doc_id"]
+    order = (["seq"] if "seq" in manifest.columns else []) + ["file_path", "offset", "length", "url"]
+    last = manifest.groupBy("doc_id").agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("row"))
+    return last.select("doc_id", *[F.col("row")[name].alias(name) for name in fields])
+
+
 def extract_batch(manifest: DataFrame, archive: str) -> DataFrame:
     """Manifest rows to extracted documents; unreadable ones carry a reason only."""
-    items = manifest.dropDuplicates()  # the same hand-off delivered twice
+    items = last_handed_over(manifest)
     pages = warc.read_records(items, archive).withColumn("page", page_content(F.col("body")))
     text = F.col("page.text")
     return pages.select(
@@ -92,19 +109,19 @@ def extract_batch(manifest: DataFrame, archive: str) -> DataFrame:
 def index_batch(
     manifest: DataFrame, archive: str, index: StreamedIndex, batch_id: int
 ) -> None:
-    """Index one batch of manifest rows; doing it again gives the same folders."""
+    """Index one batch of manifest rows; doing it again gives the same folders.
+
+    No earlier batch is read: a document met again adds its postings anew, and readers
+    take each posting once. A batch costs its own size, however many came before.
+    """
     spark = manifest.sparkSession
     batches.write_batch(
         extract_batch(manifest, archive), index.table("extracted"), batch_id
     )
     extracted = batches.read_batch(spark, index.table("extracted"), EXTRACTED, batch_id)
     good = extracted.filter(F.col("reason").isNull())
-    new = indexing.count_terms(good)
-    earlier = index.postings(spark, before=batch_id)
     batches.write_batch(
-        indexing.unseen_postings(new, earlier, ids=good.select("doc_id").distinct())
-        .select("term", "doc_id", "tf"),
-        index.table("postings"), batch_id,
+        indexing.count_terms(good).select("term", "doc_id", "tf"), index.table("postings"), batch_id
     )
     batches.write_batch(
         docs.log_rows(good.select(

@@ -1,6 +1,6 @@
 import gzip
+import io
 import os
-import zlib
 
 from pyspark.sql import functions as F
 
@@ -21,15 +21,15 @@ def archive(spark, pages, **options):
 
 
 def test_gunzip():
-    text = b"This is a test string for gzip compression."
-    assert warc.gunzip(gzip.compress(text)) == (text, None)
+    text = "mixed “bytes” \0 and\r\n lines".encode() * 7
+    packed = gzip.compress(text)
+    assert warc.gunzip(packed) == (text, None)
+    assert warc.gunzip(packed + b"next member") == (text, None)
     assert warc.gunzip(gzip.compress(b"")) == (b"", None)
-    assert warc.gunzip(gzip.compress(text)[:-3]) == (None, "bad gzip")
-    assert warc.gunzip(b"plain") == (None, "bad gzip")
-    assert warc.gunzip(b"") == (None, "bad gzip")
-    bomb = zlib.compressobj(wbits=31)
-    data = bomb.compress(b"\0" * (warc.MAX_RECORD_BYTES + 1)) + bomb.flush()
-    assert warc.gunzip(data) == (None, "too large")
+    for broken in (packed[:-3], packed[4:], packed[:20] + b"?" + packed[21:], b""):
+        assert warc.gunzip(broken) == (None, "bad gzip")
+    assert warc.gunzip(packed, most=len(text)) == (text, None)
+    assert warc.gunzip(packed, most=len(text) - 1) == (None, "too large")
 
 
 def test_payload():
@@ -38,17 +38,18 @@ def test_payload():
 
 
 def test_single_record(spark):
-    html = "<html><body>Integration Test</body></html>"
-    path, manifest = archive(spark, pages_of(spark, [(1, "http://example.com", html)]).coalesce(1))
+    html = "<title>Größe</title><p>line one\r\n\r\nline two"
+    path, manifest = archive(spark, pages_of(spark, [(31, "https://host.example/a?b=1", html)]).coalesce(1))
     row = manifest.first()
-    assert row["offset"] == 0 and row["length"] > 0
+    assert (row["doc_id"], row["offset"]) == (31, 0)
     with open(f"{path}/{row['file_path']}", "rb") as f:
         data = f.read()
     assert len(data) == row["length"]
-    content = gzip.decompress(data).decode()
-    assert "WARC-Target-URI: http://example.com\r\n" in content and html in content
-    assert content.startswith("WARC/1.0\r\nWARC-Type: response\r\n")
-    assert f"Content-Length: {len(html)}\r\n\r\n" in content and content.endswith("\r\n\r\n")
+    head, body = gzip.decompress(data).split(b"\r\n\r\n", 1)
+    assert body == html.encode() + b"\r\n\r\n"
+    lines = head.decode().split("\r\n")
+    assert lines[:3] == ["WARC/1.0", "WARC-Type: response", "WARC-Target-URI: https://host.example/a?b=1"]
+    assert lines[-1] == f"Content-Length: {len(html.encode())}"
     assert warc.read_records(manifest, path).first()["body"] == html + "\r\n\r\n"
 
 
@@ -111,13 +112,47 @@ def test_rejects(spark):
     }
 
 
-def test_scan_steps_over_damage(spark, tmp_path):
-    def member(n):
-        return gzip.compress(f"WARC/1.0\r\nWARC-Target-URI: u{n}\r\n\r\nbody{n}".encode())
+def record(n, size=0):
+    head = f"WARC/1.0\r\nWARC-Target-URI: u{n}\r\n\r\n".encode()
+    return gzip.compress(head + f"body{n}".encode() + os.urandom(size))
 
-    (tmp_path / "x.warc.gz").write_bytes(member(1) + b"\x1f\x8b\x08garbage" + member(2) + member(3)[:-5])
-    got = warc.scan_archive(spark, str(tmp_path)).collect()
-    assert [(r["headers"]["WARC-Target-URI"], r["body"]) for r in got] == [("u1", "body1"), ("u2", "body2")]
+
+def test_scan_reports_what_is_no_record(spark, tmp_path):
+    parts = [record(1), b"\x1f\x8b\x08garbage", record(2), gzip.compress(b"other"), gzip.compress(b"WARC/1.0 cut"), record(3, 900), record(4)[:-5]]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(parts))
+    got = warc.scan_archive(spark, str(tmp_path), max_record_bytes=500).orderBy("offset").collect()
+    assert [(r["headers"] and r["headers"]["WARC-Target-URI"], r["reason"]) for r in got] == [
+        ("u1", None), (None, "bad gzip"), ("u2", None), (None, "no record"), (None, "no header end"), (None, "too large"), (None, "bad gzip")]
+    assert [r["offset"] for r in got] == [sum(map(len, parts[:n])) for n in range(len(parts))]
+    whole = warc.scan_archive(spark, str(tmp_path)).filter("reason IS NULL")
+    assert whole.count() == 3
+
+
+class Counted:
+    def __init__(self, data):
+        self.file, self.read_bytes = io.BytesIO(data), 0
+
+    def seek(self, at):
+        self.file.seek(at)
+
+    def read(self, size):
+        data = self.file.read(size)
+        self.read_bytes += len(data)
+        return data
+
+
+def test_a_scan_reads_the_file_once(monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 4096)
+    data = b"".join(record(n, 200 * (n % 9)) for n in range(600))
+    source = Counted(data)
+    found = list(warc._records(source, warc.FileSplit("x", 0, len(data)), None))
+    assert len(found) == 600 and source.read_bytes == len(data)
+    total = records = 0
+    for start in range(0, len(data), 60_000):
+        source = Counted(data)
+        records += len(list(warc._records(source, warc.FileSplit("x", start, start + 60_000), None)))
+        total += source.read_bytes
+    assert records == 600 and total <= 1.1 * len(data)
 
 
 def test_record_date(spark):
