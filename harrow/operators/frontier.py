@@ -15,6 +15,13 @@ def clean_queue(queue: DataFrame, item: str = "url") -> DataFrame:
     return queue.filter(F.col(item).isNotNull())
 
 
+def queue_items(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """Queue replies (JSON, `["queue", "item"]`) to `item`; replies that are missing, of
+    another type, or too short carry no item and are skipped."""
+    pair = F.when(F.json_array_length(reply) >= 2, F.get_json_object(reply, "$[1]"))
+    return replies.withColumn("item", pair).filter("item IS NOT NULL")
+
+
 def valid_urls(frontier: DataFrame) -> DataFrame:
     return frontier.filter(is_valid_url(F.col("url")))
 

@@ -328,6 +328,18 @@ def clean_queue(spark, folder):
     return frontier.clean_queue(_frontier(spark, folder))
 
 
+def queue_replies(spark, folder):
+    """User turns as whole replies; other turns as replies of wrong form, or none."""
+    asked = _conversations(spark, folder)
+    reply = (
+        F.when(F.col("role") == "user", F.to_json(F.array("role", "q")))
+        .when(F.col("qid") % 4 == 0, F.to_json(F.array("role")))
+        .when(F.col("qid") % 4 == 1, F.to_json(F.struct("role", "q")))
+        .when(F.col("qid") % 4 == 2, F.col("role"))
+    )
+    return frontier.queue_items(asked.select("qid", reply.alias("reply"))).select("qid", "item")
+
+
 def nonempty_pages(spark, folder):
     pages = _pages(spark, folder)
     fetched = F.when(F.col("url").contains("/fr/"), "").otherwise(F.col("html"))
@@ -726,6 +738,7 @@ QUERIES = {
     "file_basename": file_basename,
     "parse_doc_ids": parse_doc_ids,
     "clean_queue": clean_queue,
+    "queue_replies": queue_replies,
     "nonempty_pages": nonempty_pages,
     "docs_by_ids": docs_by_ids,
     "nonblank_queries": nonblank_queries,

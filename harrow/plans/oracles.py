@@ -265,6 +265,7 @@ WITH items AS (
 SELECT item, TRY_CAST(regexp_extract(item, '^\\s*([+-]?[0-9]+)', 1) AS INTEGER) AS doc_id
 FROM items WHERE TRY_CAST(regexp_extract(item, '^\\s*([+-]?[0-9]+)', 1) AS INTEGER) IS NOT NULL""",
     "clean_queue": f"WITH {FRONTIER} SELECT seq, url FROM frontier WHERE url IS NOT NULL",
+    "queue_replies": "SELECT conv_id * 1000 + turn AS qid, text AS item FROM conversations WHERE role = 'user'",
     "nonempty_pages": (
         "SELECT page_id AS doc_id, url FROM pages WHERE html <> '' AND NOT contains(url, '/fr/')"
     ),

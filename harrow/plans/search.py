@@ -185,11 +185,14 @@ def _partial_sums(index: SearchIndex, terms: DataFrame, use_tf: bool, fits: bool
     return worth.groupBy("qid", "doc_id").agg(F.sum(F.col("c") * F.col("times")).alias("partial"))
 
 
-def _floors(partials: DataFrame, k: int) -> DataFrame:
-    """Per query with at least k partial scores, just under the k-th best of them."""
+def _floors(partials: DataFrame, k: int, signed: DataFrame) -> DataFrame:
+    """Per query with at least k partial scores, just under the k-th best of them.
+
+    `signed`: queries whose scores may sink as terms are added; they get none.
+    """
     best_first = Window.partitionBy("qid").orderBy(F.col("partial").desc())
     return (
-        partials.withColumn("nth_best", F.row_number().over(best_first))
+        partials.join(signed, "qid", "left_anti").withColumn("nth_best", F.row_number().over(best_first))
         .filter(F.col("nth_best") <= k)
         .groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("partial").alias("least"))
         .filter(F.col("n") == k)
@@ -209,12 +212,15 @@ def bounded_scores(
     3. These sums give a higher floor; what cannot reach it even with all the terms
        left out is dropped, and the few documents left are scored exactly.
 
-    A partial score never exceeds the full one, so every floor is a valid bound.
+    A partial score never exceeds the full one, so every floor is a valid bound. The
+    exception is a term with more postings than the corpus has documents (postings that
+    outlived their documents): its weight is negative, and its queries get no floor.
     """
     small = F.broadcast if fits else (lambda df: df)  # one row per query at most
     bounds = stored(term_bounds(weighted, index.avgdl, use_tf), "term-bounds")
     seeds = bounds.filter((F.col("cum_df") <= SEED_POSTINGS) | (F.col("nth") == 1))
-    first_floors = _floors(_partial_sums(index, seeds, use_tf, fits), k)
+    signed = stored(bounds.filter("idf < 0").select("qid").distinct(), "signed-queries")
+    first_floors = _floors(_partial_sums(index, seeds, use_tf, fits), k, small(signed))
     terms = stored(
         bounds.join(small(first_floors), "qid", "left").withColumn(
             "needed",
@@ -223,7 +229,7 @@ def bounded_scores(
         "needed-terms",
     )
     left_out = terms.groupBy("qid").agg(
-        F.coalesce(F.max("floor"), F.lit(0.0)).alias("floor"),
+        F.coalesce(F.max("floor"), F.lit(float("-inf"))).alias("floor"),
         F.coalesce(F.sum(F.when(~F.col("needed"), F.col("cap"))), F.lit(0.0)).alias("rest"),
     )
     sums = _partial_sums(index, terms.filter("needed").drop("floor"), use_tf, fits)
@@ -232,7 +238,7 @@ def bounded_scores(
         .select("qid", "doc_id", "partial", "rest"),
         "reaching",
     )
-    final_floors = _floors(reaching, k)
+    final_floors = _floors(reaching, k, small(signed))
     contenders = (
         reaching.join(small(final_floors), "qid", "left")
         .filter(F.col("floor").isNull() | (F.col("partial") + F.col("rest") >= F.col("floor")))

@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("spark")
     session = build_session(
-        "harrow-tests", "local[8]", **{
+        "harrow-tests", os.environ.get("HARROW_TEST_MASTER", "local[8]"), **{
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

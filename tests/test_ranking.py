@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harrow.operators import indexing, ranking, stats
 from harrow.operators.highlight import highlighted
 from harrow.operators.joins import spread_join
+from harrow.operators.order import numbered
 from harrow.plans import search as plans
 from harrow.session import fits_broadcast
 from harrow.sources.index_store import build_index, open_index
@@ -227,14 +228,63 @@ def test_spread_join_cuts_heavy_keys(spark, no_broadcast):
 
 
 def test_long_posting_lists_come_in_parts(spark):
-    ids = [i * 7 % 5000 for i in range(1, 1200)]
+    ids = [i * 7919 ** 3 % 10 ** 15 for i in range(1, 1200)]  # sparse ids of many lengths
     postings = spark.createDataFrame([("hot", i) for i in ids] + [("rare", 10), ("rare", 2), ("rare", 1)],
                                      "term string, doc_id long")
-    rows = indexing.posting_strings(postings, max_ids=100).collect()
-    hot = sorted((r["part"], r["doc_ids"]) for r in rows if r["term"] == "hot")
-    assert len(hot) > 5 and all(len(s.split(",")) <= 111 for _, s in hot)
-    assert ",".join(s for _, s in hot) == ",".join(sorted(map(str, set(ids))))
+    strings = indexing.posting_strings(postings, max_ids=100)
+    rows = strings.collect()
+    hot = sorted((r["part"], r["first_pos"], r["doc_ids"]) for r in rows if r["term"] == "hot")
+    assert [len(s.split(",")) for _, _, s in hot] == [100] * 11 + [99]
+    assert [first for _, first, _ in hot] == list(range(0, 1200, 100))
+    assert ",".join(s for _, _, s in hot) == ",".join(sorted(map(str, ids)))
     assert [r["doc_ids"] for r in rows if r["term"] == "rare"] == ["1,10,2"]
+    parsed = [(r["pos"], r["doc_id"]) for r in indexing.parse_posting_strings(strings).collect() if r["term"] == "hot"]
+    assert sorted(parsed) == list(enumerate(sorted(ids, key=str)))
+
+
+def test_numbered_rows_over_ranges(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"))
+    got = numbered(rows, [F.col("v").desc()], "nth").collect()
+    assert [r["v"] for r in sorted(got, key=lambda r: r["nth"])] == sorted((r["v"] for r in got), reverse=True)
+    assert sorted(r["nth"] for r in got) == list(range(1, 5001))
+    assert numbered(rows.limit(0), [F.col("v")], "nth").count() == 0
+
+
+def test_bounds_hold_where_lengths_are_missing(spark):
+    """Postings of a document that lost its text, and of one without a row, count as average."""
+    rng = random.Random(11)
+    rows, postings = [], []
+    for n in range(300):
+        length = rng.choice([5, 9, 30, 200])
+        rows.append((n, f"http://h.example/{n}", "", " ".join(["freq0", f"rare{n % 3}", *["fill"] * length]) if n else None))
+        postings += [("freq0", n, 1), (f"rare{n % 3}", n, 1)]
+    rows.append((301, "http://h.example/301", "", "rare0 freq0"))
+    postings += [("rare0", 301, 1), ("freq0", 301, 1), ("rare0", 999, 1), ("freq0", 999, 1)]
+    index = build_index(spark.createDataFrame(rows, "doc_id long, url string, title string, text string"),
+                        postings=spark.createDataFrame(postings, "term string, doc_id long, tf int"))
+    asked = spark.createDataFrame([(1, "rare0 freq0"), (2, "freq0 rare1"), (3, "rare2")], "qid long, q string")
+    for seeds in (1, 50, 2000):
+        for k in (1, 3, 40):
+            plans.SEED_POSTINGS, kept = seeds, plans.SEED_POSTINGS
+            try:
+                both = [sorted(map(tuple, plans.search_batch(index, asked, k=k, bounded=b).collect())) for b in (True, False)]
+            finally:
+                plans.SEED_POSTINGS = kept
+            assert both[0] == both[1]
+    assert plans.search(index, "rare0 freq0", k=1).first()["id"] == 301
+
+
+def test_search_of_any_depth(index, monkeypatch):
+    shallow = [tuple(r) for r in plans.search(index, "the and ing tion", k=40).collect()]
+    monkeypatch.setattr(plans, "MAX_PUSHED_IDS", 3)
+    assert [tuple(r) for r in plans.search(index, "the and ing tion", k=40).collect()] == shallow
+
+
+def test_many_copies_of_a_query(spark, index, no_broadcast):
+    asked = spark.createDataFrame([(n, "the and tion tion") for n in range(50)] + [(99, "gamma the")], "qid long, q string")
+    rows = plans.search_batch(index, asked, k=3).collect()
+    assert len(rows) == 51 * 3
+    assert len({tuple(r)[1:] for r in rows if r["qid"] < 50}) == 3
 
 
 def test_highlight(spark):
@@ -246,3 +296,13 @@ def test_highlight(spark):
         preview = highlighted(results, queries, documents, fits).first()["preview"]
         assert "<b>Apple</b> pie and <b>apple</b> <b>tart</b> stand by grapple" in preview
         assert len(re.sub("</?b>", "", preview)) <= 150
+
+
+def test_cut_words_are_not_marked(spark):
+    text = "x" * 146 + " nation " + "y" * 66 + " then the end"
+    documents = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    results = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 2)], "qid long, rank int, id long")
+    queries = spark.createDataFrame([(1, "tion nat"), (2, "the"), (3, "?"), (4, "the")], "qid long, q string")
+    got = {r["qid"]: r["preview"] for r in highlighted(results, queries, documents).collect()}
+    assert "<b>" not in got[1] and got[1] == text[:150] and got[3] == text[:150] and got[4] == ""
+    assert "then <b>the</b> end" in got[2]

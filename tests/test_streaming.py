@@ -33,15 +33,6 @@ def test_accepted_once_over_batches(spark):
     assert spark.read.schema(crawl.ACCEPTED).parquet(table).count() == 7
 
 
-def test_stateful_form_accepts_the_same_urls(spark):
-    table = new_path(spark, "accepted")
-    crawl.accept_stream_stateful(
-        queue_of(spark, frontier(spark), 5), table, new_path(spark, "stream")
-    ).awaitTermination()
-    urls = [r["url"] for r in spark.read.schema(crawl.ACCEPTED).parquet(table).collect()]
-    assert sorted(urls) == sorted(f"http://host.example/{i}" for i in range(7))
-
-
 def archived(spark, folder):
     pages = read_table(spark, folder, "pages").withColumnRenamed("page_id", "doc_id")
     path = new_path(spark, "warc")
@@ -60,7 +51,7 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, folder):
     extracted = extract.extract_pages(pages)
     assert rows_of(index.postings(spark)) == rows_of(indexing.count_terms(extracted))
 
-    last = index.postings(spark).agg(F.max("batch_id")).first()[0]
+    last = index.all_postings(spark).agg(F.max("batch_id")).first()[0]
     assert last >= 2
     ids = index.doc_log(spark).filter(F.col("seq") == last).select("doc_id")
     index_batch(manifest.join(ids, "doc_id"), path, index, last)
@@ -104,3 +95,37 @@ def test_rejects_do_not_stop_the_stream(spark, folder):
     assert [tuple(r) for r in index.rejects(spark).collect()] == [(3, "bad gzip")]
     assert index.documents(spark).count() == manifest.count() - 1
     assert index.postings(spark).filter("doc_id = 3").count() == 0
+
+
+def handed(spark, path, htmls, seqs):
+    """Archive one download per html of document 1; manifest rows with their `seq`."""
+    rows = None
+    for html, seq in zip(htmls, seqs):
+        before = {r["file_path"] for r in warc.read_manifest(spark, path).collect()} if rows is not None else set()
+        warc.write_archive(spark.createDataFrame([(1, "http://a.example", html)], "doc_id long, url string, html string"), path)
+        new = warc.read_manifest(spark, path).filter(~F.col("file_path").isin([*before, ""])).withColumn("seq", F.lit(seq))
+        rows = new if rows is None else rows.unionByName(new)
+    return rows
+
+
+def test_one_download_of_a_document_counts_in_a_batch(spark):
+    path = new_path(spark, "warc")
+    manifest = handed(spark, path, ["<p>early words words", "<p>late words", "<p>middle words"], [1, 3, 2])
+    index = StreamedIndex(new_path(spark, "streamed"))
+    index.prepare(spark)
+    index_batch(manifest.union(manifest), path, index, 0)
+    assert rows_of(index.postings(spark)) == [("late", 1, 1), ("words", 1, 1)]
+    assert index.doc_log(spark).count() == 1
+    assert index.documents(spark).first()["snippet"] == "late words"
+
+
+def test_latest_counts_win_and_old_terms_stay(spark):
+    index = StreamedIndex(new_path(spark, "streamed"))
+    index.prepare(spark)
+    for batch, html in enumerate(["<p>word word gone", "<p>word other", ""]):
+        path = new_path(spark, "warc")
+        index_batch(handed(spark, path, [html], [0]), path, index, batch)
+    assert rows_of(index.postings(spark)) == [("gone", 1, 1), ("other", 1, 1), ("word", 1, 1)]
+    published = index.publish(spark)
+    assert published.documents.first()["doc_length"] == 0 and published.postings.count() == 3
+    assert index.publish(spark).term_stats.filter("length_unknown").count() == 3
