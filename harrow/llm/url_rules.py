@@ -32,8 +32,6 @@ PATTERNS = [
     ("block", "/ads/"),
     ("block", "/adserver/*"),
     ("block", "/banners/"),
-    ("block", "ads.*"),
-    ("block", "tracker.*"),
     ("block", "/tracking/*"),
 ]
 OTHERWISE = "allow"
