@@ -13,9 +13,9 @@
    components whose bits allow the similarity (by 4.5 standard deviations) are
    confirmed, too, so no link is lost to the star shape, and few pairs are made.
 
-Rows without a doc_id are groups of their own. Texts without words are linked with
-nothing. A doc_id that repeats is one document per text; its rows get the smallest
-component_id of their own text.
+Rows without a doc_id are groups of their own (component NULL, kept). Texts without
+words are linked with nothing. A doc_id names one text: rows that repeat it get one
+component and one decision.
 """
 
 from __future__ import annotations

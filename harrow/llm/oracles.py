@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from harrow.llm.decontamination import (
+    CLOSE, LEAST_TOKENS, LEAST_WINDOWS, NAME, NAMES, NUMBER, OPEN, TOKENS, UNIT, UNITS, WINDOW,
+)
 from harrow.llm.url_rules import PATTERNS, RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -73,7 +76,57 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_PLACEHOLDERS = f"('{NUMBER}', '{NAME}', '{UNIT}')"
+
+
+def _templates(table: str, key: str) -> str:
+    units = ", ".join(f"'{unit}'" for unit in UNITS)
+    marked = f"regexp_replace(text, '{NAMES}', '\\1 {OPEN}\\2{CLOSE}', 'g')"
+    return f"""
+  SELECT {key}, raw, list_transform(raw, lambda t: CASE WHEN starts_with(t, '{OPEN}') THEN '{NAME}'
+    WHEN t[1] BETWEEN '0' AND '9' THEN '{NUMBER}' WHEN lower(t) IN ({units}) THEN '{UNIT}' ELSE lower(t) END) AS t
+  FROM (SELECT {key}, regexp_extract_all({marked}, '{TOKENS}') AS raw
+        FROM (SELECT DISTINCT {key}, text FROM {table} WHERE text IS NOT NULL))"""
+
+
+BENCHMARK_LEAKS = f"""
+WITH docs AS ({_templates("documents", "doc_id")}),
+items AS (SELECT *, least(len(t), {WINDOW}) AS size FROM ({_templates("benchmark", "item_id")})),
+item_windows AS (
+  SELECT item_id, size, place, w FROM (
+    SELECT item_id, size, place, t[place:place + size - 1] AS w
+    FROM (SELECT *, unnest(range(1, len(t) - size + 2)) AS place FROM items WHERE size >= {LEAST_TOKENS}))
+  WHERE 2 * len(list_filter(w, lambda x: x NOT IN {_PLACEHOLDERS})) >= size
+), sizes AS (SELECT item_id, count(*) AS n_windows FROM item_windows GROUP BY item_id),
+lengths AS (SELECT DISTINCT size FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, size, place, t[place:place + size - 1] AS w
+  FROM (SELECT *, unnest(range(1, len(t) - size + 2)) AS place FROM docs, lengths WHERE len(t) >= size)
+), matched AS (
+  SELECT doc_id, item_id, size, i.place AS place, d.place - i.place AS line
+  FROM doc_windows d JOIN item_windows i USING (size, w)
+), lines AS (
+  SELECT doc_id, item_id, size, line, list(DISTINCT place) AS places FROM matched GROUP BY ALL
+), strong AS (
+  SELECT lines.*, n_windows, list_filter(list_distinct(flatten(list_transform(places, lambda p: range(p, p + lines.size)))),
+    lambda n: items.t[n] IN {_PLACEHOLDERS}) AS slots, items.raw AS item_raw, docs.raw AS doc_raw
+  FROM lines JOIN sizes USING (item_id) JOIN items USING (item_id) JOIN docs USING (doc_id)
+  WHERE len(places) >= least(n_windows, {LEAST_WINDOWS})
+), paired AS (
+  SELECT *, list_transform(slots, lambda n: {{'asked': lower(item_raw[n]), 'found': lower(doc_raw[n + line])}}) AS pairs
+  FROM strong
+), agreeing AS (
+  SELECT doc_id, item_id, len(places) AS n_matched, n_windows, len(slots) AS n_slots,
+    len(list_filter(pairs, lambda p: p.asked <> p.found)) AS n_changed
+  FROM paired WHERE len(list_distinct(pairs)) = len(list_distinct(list_transform(pairs, lambda p: p.asked)))
+)
+SELECT doc_id, item_id, n_matched::INTEGER AS n_matched, n_windows, n_slots::INTEGER AS n_slots, n_changed::INTEGER AS n_changed
+FROM agreeing QUALIFY row_number() OVER (
+  PARTITION BY doc_id, item_id ORDER BY n_matched DESC, n_changed, n_windows DESC, n_slots DESC) = 1
+"""
+
 ORACLES = {
+    "op10_benchmark_leaks": BENCHMARK_LEAKS,
     "op3_near_duplicates": NEAR_DUPLICATES,
     "op4_url_rules": _url_rules(),
     "op5_warc_records": WARC_RECORDS,
