@@ -17,6 +17,7 @@ repeated rows are packed like any other.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,47 +29,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import Memo
 from harrow.session import stored
 
 SEQUENCE_TOKENS = 2048
 GROUP_PIECES = 20_000
 WEIGHTS = (1.0, 0.01, 0.01)
-MEMO_CHUNKS = 250_000
 MEMO_WORDS = 400_000
 _CLOSING = np.uint32(0).tobytes()
 
-# What the tokenizer makes of plain Latin text: lower case, then these words. A blank-free
-# chunk of other characters, or with a special token's opening, goes to it as it is.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*\Z")
+# What the tokenizer makes of plain Latin text: lower case, then these words. The blank-free
+# chunks of a text with other characters, or a special token's opening, go to it as they are.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*\Z")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
-class ChunkTokens:
-    """Ids, as little-endian bytes, of the chunks between blanks; repeated ones are remembered."""
+class WordTokens:
+    """Ids, as little-endian bytes, of a text; words that come again are remembered."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism here
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Memo(self._encode, MEMO_WORDS)
-        self.chunks = Memo(self._chunk, MEMO_CHUNKS)
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        if _PLAIN.match(chunk) and "<|" not in chunk:
-            return b"".join(map(self.words.__getitem__, _WORDS.findall(chunk.lower())))
-        return self._encode(chunk)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.known) > MEMO_WORDS:
+            self.older, self.known = self.known, {}
+        new = []
+        for word in set(words).difference(self.known):
+            ids = self.older.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self.known[word] = ids
+        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[word] = np.array(found.ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        if _PLAIN.match(text) and "<|" not in text:
+            words = _WORDS.findall(text.lower())
+        else:
+            words = text.replace("\n", " ").split(" ")
+        self.learn(words)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
-def _tokens(path: str) -> ChunkTokens:
-    return ChunkTokens(path)
+def _tokens(path: str) -> WordTokens:
+    return WordTokens(path)
 
 
 def _cutter(path: str, most: int):
