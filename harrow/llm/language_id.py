@@ -34,6 +34,7 @@ STEPS = 700
 BATCH = 256
 RATE = 0.01
 MEMO_WORDS = 300_000
+HELD_CHARS = 2_000_000
 _RUN = re.compile(r"[^\W\d_]+")
 _NET_WORDS = 4096
 
@@ -243,21 +244,32 @@ class _Words:
 
 
 def judged(memo: _Words, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Language and score of each text."""
+    """Language and score of each text; the words of a few texts at a time are held."""
+    langs, scores = [], []
+    start = 0
+    while start < len(texts):
+        stop, size = start, 0
+        while stop < len(texts) and size < HELD_CHARS:
+            size += len(texts[stop] or "")
+            stop += 1
+        for lang, score in _judged_together(memo, texts[start:stop]):
+            langs.append(lang)
+            scores.append(score)
+        start = stop
+    return langs, scores
+
+
+def _judged_together(memo: _Words, texts: list[str | None]) -> Iterator[tuple[str, float]]:
     found = [letter_runs(text or "") for text in texts]
     memo.learn(set().union(*found))
-    langs, scores = [], []
     for words in found:
         if not words or not memo.net.languages:
-            langs.append(UNKNOWN)
-            scores.append(0.0)
+            yield UNKNOWN, 0.0
             continue
         total = memo.sums[[memo.rows[word] for word in words]].sum(axis=0, dtype=np.float64)
         pooled = total[:-1] / total[-1]
         best = int(np.argmax(pooled))
-        langs.append(memo.net.languages[best])
-        scores.append(float(min(1.0, pooled[best])))
-    return langs, scores
+        yield memo.net.languages[best], float(min(1.0, pooled[best]))
 
 
 def _predictor(net: Network):

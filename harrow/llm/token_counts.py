@@ -115,11 +115,13 @@ def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _memo(path)
         for batch in batches:
-            words = [text.decode("utf-8", "replace") if text else "" for text in batch.column(1).cast(pa.binary()).to_pylist()]
-            words = [_words(text) for text in words]
+            sizes, tokens = [], []
+            for text in batch.column(1).to_pylist():
+                words = _words(text or "")
+                sizes.append(len(words))
+                tokens.append(sum(map(lengths.__getitem__, words)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(one) for one in words], pa.int64()),
-                 pa.array([sum(map(lengths.__getitem__, one)) for one in words], pa.int64())],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())],
                 names=["doc_id", "n_words", "n_tokens"],
             )
     return count
