@@ -103,7 +103,9 @@ def handed(spark, path, htmls, seqs):
     for html, seq in zip(htmls, seqs):
         before = {r["file_path"] for r in warc.read_manifest(spark, path).collect()} if rows is not None else set()
         warc.write_archive(spark.createDataFrame([(1, "http://a.example", html)], "doc_id long, url string, html string"), path)
-        new = warc.read_manifest(spark, path).filter(~F.col("file_path").isin([*before, ""])).withColumn("seq", F.lit(seq))
+        manifest = warc.read_manifest(spark, path)
+        new = [r for r in manifest.collect() if r["file_path"] not in before]
+        new = spark.createDataFrame(new, manifest.schema).withColumn("seq", F.lit(seq))
         rows = new if rows is None else rows.unionByName(new)
     return rows
 
