@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrow.llm.common import in_slices
+
 UNKNOWN = "und"
 FOLDS = 5
 SAMPLE_DOCUMENTS = 300
@@ -33,8 +35,8 @@ WINDOW = 24
 STEPS = 700
 BATCH = 256
 RATE = 0.01
-MEMO_WORDS = 300_000
-HELD_CHARS = 2_000_000
+MEMO_WORDS = 150_000
+HELD_CHARS = 1_000_000
 _RUN = re.compile(r"[^\W\d_]+")
 _NET_WORDS = 4096
 
@@ -275,7 +277,7 @@ def _judged_together(memo: _Words, texts: list[str | None]) -> Iterator[tuple[st
 def _predictor(net: Network):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words(net)
-        for batch in batches:
+        for batch in in_slices(batches):
             langs, scores = judged(memo, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
@@ -305,7 +307,7 @@ def with_language(documents: DataFrame, least_score: float = 0.0) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words(net)
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             if net.languages:
                 langs, scores = judged(memo, texts)

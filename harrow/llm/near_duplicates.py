@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import folded, mixed, only, utf8, without
+from harrow.llm.common import folded, in_slices, mixed, only, utf8, without
 from harrow.operators.joins import spread_join
 from harrow.session import fits_broadcast, stored
 
@@ -107,7 +107,7 @@ def minimum_bits(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         sizes, keys, bands = [], [], []
         for text in utf8(batch.column(1)):
             shingles = shingle_set(text)
@@ -122,7 +122,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         sets = [shingle_set(text).view(np.int64) for text in utf8(batch.column(1))]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"]
@@ -130,7 +130,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         sets = [shingle_set(text) for text in utf8(batch.column(1))]
         bits = np.array([minimum_bits(one) for one in sets]).reshape(len(sets), BIT_WORDS)
         yield pa.RecordBatch.from_arrays(
