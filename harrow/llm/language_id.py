@@ -11,13 +11,21 @@ with crc32(doc_id) mod 5 other than 0 are learned from.
 
 `lang_pred` is `und`, with score 0, where text is NULL or has no letter, or where
 nothing was learned. A NULL doc_id is not held out. Rows keep their number.
+
+Rejection goes by certainty: the mean over all bytes of the probability of each word's
+own best language, so that texts in two learned languages are as certain as others. Bytes
+of letters that no training word has count as undecided (one over the number of
+languages). A text goes if most of its letters are of that kind, or if its certainty is
+under the floor of its language: the `FLOOR_SHARE` quantile of the training documents
+(by words), less what a mean of so few words may stray (Hoeffding's bound for that share).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.common import in_slices
+from harrow.session import stored
 
 UNKNOWN = "und"
 FOLDS = 5
@@ -37,6 +46,7 @@ BATCH = 256
 RATE = 0.01
 MEMO_WORDS = 150_000
 HELD_CHARS = 1_000_000
+FLOOR_SHARE = 0.01
 _RUN = re.compile(r"[^\W\d_]+")
 _NET_WORDS = 4096
 
@@ -204,8 +214,8 @@ def _split_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], names=["lang", "word"])
 
 
-def training_words(documents: DataFrame) -> DataFrame:
-    """`(lang, word, n)`: at most `SAMPLE_WORDS` words of a language, from at most `SAMPLE_DOCUMENTS`."""
+def training_documents(documents: DataFrame) -> DataFrame:
+    """`(lang, text)` of at most `SAMPLE_DOCUMENTS` labelled documents of a language, none held out."""
     own = documents.select(
         F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")
     ).filter("lang IS NOT NULL AND text IS NOT NULL").filter(~held_out(F.col("doc_id")))
@@ -213,16 +223,31 @@ def training_words(documents: DataFrame) -> DataFrame:
     chosen = own.select("lang", "doc_id").withColumn("nth", F.row_number().over(by_hash)).filter(
         F.col("nth") <= SAMPLE_DOCUMENTS)
     ids = chosen.select("doc_id").distinct()  # SAMPLE_DOCUMENTS per language
-    sampled = own.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    return own.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+
+
+def words_of(sampled: DataFrame) -> DataFrame:
+    """`(lang, word, n)`: at most `SAMPLE_WORDS` words of a language."""
     counted = sampled.mapInArrow(_split_words, "lang string, word string").groupBy("lang", "word").agg(
         F.count(F.lit(1)).alias("n"))
     frequent = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.xxhash64("word"), "word")
     return counted.withColumn("nth", F.row_number().over(frequent)).filter(F.col("nth") <= SAMPLE_WORDS).drop("nth")
 
 
+def training_words(documents: DataFrame) -> DataFrame:
+    """`(lang, word, n)`: at most `SAMPLE_WORDS` words of a language, from at most `SAMPLE_DOCUMENTS`."""
+    return words_of(training_documents(documents))
+
+
+def _fitted(words: DataFrame, seed: int) -> tuple[Network, frozenset[str]]:
+    """The network and the letters of its training words."""
+    rows = sorted((r["lang"], r["word"], r["n"]) for r in words.collect())
+    net = fit([word.encode() for _, word, _ in rows], [lang for lang, _, _ in rows], [n for _, _, n in rows], seed)
+    return net, frozenset().union(*(word for _, word, _ in rows))
+
+
 def train(documents: DataFrame, seed: int = 0) -> Network:
-    rows = sorted((r["lang"], r["word"], r["n"]) for r in training_words(documents).collect())
-    return fit([word.encode() for _, word, _ in rows], [lang for lang, _, _ in rows], [n for _, _, n in rows], seed)
+    return _fitted(training_words(documents), seed)[0]
 
 
 class _Words:
@@ -298,12 +323,76 @@ def identify(documents: DataFrame) -> DataFrame:
     return predict(documents, train(documents))
 
 
-def with_language(documents: DataFrame, least_score: float = 0.0) -> DataFrame:
+@dataclass
+class Rejection:
+    """What the certainty of texts is held against."""
+
+    net: Network
+    letters: frozenset[str]
+    floors: dict[str, float] = field(default_factory=dict)
+
+    def certainties(self, memo: _Words, texts: list[str | None]) -> Iterator[tuple[str, float, int, bool]]:
+        """Per text language, certainty, words, and whether most of its letters were learned."""
+        undecided = 1 / len(self.net.languages)
+        for text in texts:
+            words = letter_runs(text or "")
+            if not words:
+                yield UNKNOWN, 0.0, 0, False
+                continue
+            memo.learn(set(words))
+            sums = memo.sums[[memo.rows[word] for word in words]].astype(np.float64)
+            sizes = sums[:, -1]
+            strange = [[c for c in word if c not in self.letters] for word in words]
+            missing = np.array([len("".join(some).encode("utf-8", "surrogatepass")) for some in strange])
+            best = sums[:, :-1].max(axis=1) * (1 - missing / sizes) + missing * undecided
+            lang = self.net.languages[int(np.argmax(sums[:, :-1].sum(axis=0)))]
+            learned = 2 * sum(map(len, strange)) <= sum(map(len, words))
+            yield lang, float(best.sum() / sizes.sum()), len(words), learned
+
+    def keeps(self, memo: _Words, texts: list[str | None]) -> list[bool]:
+        spread = (1 - 1 / len(self.net.languages)) * math.sqrt(math.log(1 / FLOOR_SHARE) / 2)
+        return [
+            learned and (len(self.net.languages) < 2 or certainty >= self.floors[lang] - spread / math.sqrt(words))
+            for lang, certainty, words, learned in self.certainties(memo, texts)
+        ]
+
+
+def _certain(rule: Rejection):
+    def certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Words(rule.net)
+        for batch in in_slices(batches):
+            found = list(rule.certainties(memo, batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.int64())],
+                names=["lang", "certainty", "words"])
+    return certain
+
+
+def learned_rejection(documents: DataFrame, seed: int = 0) -> Rejection:
+    """Network and floors; the floors are of the training documents, held out ones are not looked at."""
+    sampled = stored(training_documents(documents), "language-sample")
+    rule = Rejection(*_fitted(words_of(sampled), seed))
+    if not rule.net.languages:
+        return rule
+    judged_rows = sampled.mapInArrow(_certain(rule), "lang string, certainty double, words long").filter("words > 0")
+    by_lang: dict[str, list[tuple[float, int]]] = {}
+    for row in judged_rows.collect():  # SAMPLE_DOCUMENTS per language
+        by_lang.setdefault(row["lang"], []).append((row["certainty"], row["words"]))
+    for lang, found in by_lang.items():
+        found.sort()
+        share = np.cumsum([words for _, words in found])
+        rule.floors[lang] = found[int(np.searchsorted(share, FLOOR_SHARE * share[-1]))][0]
+    return rule
+
+
+def with_language(documents: DataFrame, least_score: float = 0.0, by_certainty: bool = False) -> DataFrame:
     """The rows that have a language, scored `least_score` or more; same columns.
 
+    `by_certainty` also rejects what no learned language explains (see the module).
     If nothing could be learned, rows with a letter stay.
     """
-    net = train(documents)
+    rule = learned_rejection(documents) if by_certainty else None
+    net = rule.net if rule else train(documents)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words(net)
@@ -312,6 +401,8 @@ def with_language(documents: DataFrame, least_score: float = 0.0) -> DataFrame:
             if net.languages:
                 langs, scores = judged(memo, texts)
                 good = [lang != UNKNOWN and score >= least_score for lang, score in zip(langs, scores)]
+                if rule:
+                    good = [one and sure for one, sure in zip(good, rule.keeps(memo, texts))]
             else:
                 good = [bool(letter_runs(text or "")) for text in texts]
             yield batch.filter(pa.array(good, pa.bool_()))
