@@ -13,6 +13,15 @@ line at least 6 windows match (all, of an item with fewer) and the slots agree.
 with less than half literal words are too common to prove anything and are left out;
 items shorter than a window are one window of their own length, from 5 tokens on.
 
+Texts are read in three ways, and a document leaks an item that it leaks in any of them
+(the row is of the first way that finds the pair):
+
+* `TYPED`   names are capitalised words behind a lower-case letter, digit, comma or semicolon;
+* `NAMED`   every run of capitalised words is a name, wherever it stands and however lines
+            break, so that a question with other names at sentence starts has one template;
+* `PLAIN`   lower-case words and numbers as they are, without slots: verbatim copies, in any
+            case and behind any words. No share of literal words is asked for.
+
 NULL texts match nothing. Rows without doc_id and repeated rows are judged by their
 own text; equal rows give one result row.
 """
@@ -37,12 +46,17 @@ UNITS = (
 ).split()
 OPEN, CLOSE = "\ue000", "\ue001"
 NAMES = r"([\p{Ll}0-9,;]) (\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
+ALL_NAMES = r"(?<![\p{L}\p{M}])(\p{Lu}[\p{Ll}\p{M}]+(?: \p{Lu}[\p{Ll}\p{M}]+)*)(?![\p{L}\p{M}])"
+TYPED, NAMED, PLAIN = 0, 1, 2
 TOKENS = f"{OPEN}[^{CLOSE}]*{CLOSE}|[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*|[%$€£°]"
 
 
-def raw_tokens(text: Column) -> Column:
-    marked = F.regexp_replace(text, NAMES, f"$1 {OPEN}$2{CLOSE}")
-    return F.regexp_extract_all(marked, F.lit(TOKENS), F.lit(0))
+def raw_tokens(text: Column, way: int = TYPED) -> Column:
+    if way == TYPED:
+        text = F.regexp_replace(text, NAMES, f"$1 {OPEN}$2{CLOSE}")
+    elif way == NAMED:
+        text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), ALL_NAMES, f"{OPEN}$1{CLOSE}")
+    return F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
 
 
 def template_token(token: Column) -> Column:
@@ -54,10 +68,10 @@ def template_token(token: Column) -> Column:
     )
 
 
-def with_templates(rows: DataFrame) -> DataFrame:
+def with_templates(rows: DataFrame, way: int = TYPED) -> DataFrame:
     """Adds `raw` and `template`, token by token."""
-    return rows.withColumn("raw", raw_tokens(F.col("text"))).withColumn(
-        "template", F.transform("raw", template_token))
+    return rows.withColumn("raw", raw_tokens(F.col("text"), way)).withColumn(
+        "template", F.transform("raw", F.lower if way == PLAIN else template_token))
 
 
 def window_hashes(template: Column, length: int) -> Column:
@@ -70,14 +84,15 @@ def is_literal(token: Column) -> Column:
     return ~token.isin(NUMBER, NAME, UNIT)
 
 
-def item_windows(items: DataFrame) -> DataFrame:
+def item_windows(items: DataFrame, way: int = TYPED) -> DataFrame:
     """`(item_id, item_key, length, item_at, hash)` of the benchmark's provable windows."""
     sized = items.withColumn("length", F.least(F.size("template"), F.lit(WINDOW))).filter(
         F.col("length") >= LEAST_TOKENS)
     placed = sized.withColumn("item_at", F.explode(F.sequence(F.lit(1), F.size("template") - F.col("length") + 1)))
     window = placed.withColumn("_w", F.slice("template", F.col("item_at"), F.col("length")))
-    literal = F.size(F.filter("_w", is_literal))
-    return window.filter(literal * 2 >= F.col("length")).select(
+    if way != PLAIN:
+        window = window.filter(F.size(F.filter("_w", is_literal)) * 2 >= F.col("length"))
+    return window.select(
         "item_id", "item_key", "length", "item_at", F.xxhash64("_w").alias("hash"))
 
 
@@ -106,30 +121,47 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     `n_matched` of the item's `n_windows` windows match on the best line; `n_changed` of
     its `n_slots` slot values there are other ones.
     """
-    items = stored(with_templates(
-        benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL").distinct()
-    ).withColumn("item_key", F.xxhash64("text")), "items")
-    index = stored(item_windows(items), "item-windows")
+    asked = stored(
+        benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL")
+        .distinct().withColumn("item_key", F.xxhash64("text")), "items")
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL")
+    found = None
+    for way in (TYPED, NAMED, PLAIN):
+        own = leaks_read(texts, asked, way).withColumn("way", F.lit(way))
+        found = own if found is None else found.unionByName(own)
+    pair = ["doc_id", "doc_key", "item_id"]
+    counts = [name for name in found.columns if name not in (*pair, "way")]
+    return found.groupBy(*pair).agg(F.min_by(F.struct(*counts), "way").alias("b")).select(
+        *pair, *[F.col(f"b.{name}") for name in counts])
+
+
+def leaks_read(texts: DataFrame, asked: DataFrame, way: int) -> DataFrame:
+    """The rows of `leaks` that one way of reading finds."""
+    items = stored(with_templates(asked, way), "item-templates")
+    index = stored(item_windows(items, way), "item-windows")
     sizes = index.groupBy("item_id", "item_key", "length").agg(F.count(F.lit(1)).alias("n_windows"))
     lengths = sorted(row["length"] for row in index.select("length").distinct().collect())  # WINDOW values at most
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL")
     pair = ["doc_id", "doc_key", "item_id", "item_key"]
-    matches = window_matches(with_templates(texts), index, lengths or [WINDOW])
+    matches = window_matches(with_templates(texts, way), index, lengths or [WINDOW])
     lines = matches.groupBy(*pair, "line").agg(F.collect_set("item_at").alias("places"))
     if fits_broadcast(sizes):
         sizes = F.broadcast(sizes)
     strong = lines.join(sizes, ["item_id", "item_key"]).withColumn("n_matched", F.size("places"))
-    return slots_agree(
-        stored(strong.filter(F.col("n_matched") >= F.least("n_windows", F.lit(LEAST_WINDOWS))), "lines"), texts, items)
+    strong = stored(strong.filter(F.col("n_matched") >= F.least("n_windows", F.lit(LEAST_WINDOWS))), "lines")
+    if way != PLAIN:
+        return slots_agree(strong, texts, items, way)
+    best = strong.groupBy("doc_id", "doc_key", "item_id").agg(F.max(F.struct("n_matched", "n_windows")).alias("b"))
+    return best.select("doc_id", "doc_key", "item_id", "b.n_matched", "b.n_windows",
+                       F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed"))
 
 
-def slots_agree(lines: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
+def slots_agree(lines: DataFrame, texts: DataFrame, items: DataFrame, way: int = TYPED) -> DataFrame:
     """The lines on which no slot value of the item has two replacements, best line per pair."""
     keyed = texts.select(F.xxhash64("text").alias("doc_key"), "text")
     uses = stored(lines.groupBy("doc_key").agg(F.count(F.lit(1)).alias("uses")), "leaking-texts")
     own = only(keyed, uses, "doc_key").dropDuplicates(["doc_key"]).join(uses, "doc_key")
     rows = spread_join(
-        lines, stored(own.select("doc_key", "uses", raw_tokens(F.col("text")).alias("doc_raw")), "leaking-tokens"),
+        lines, stored(own.select("doc_key", "uses", raw_tokens(F.col("text"), way).alias("doc_raw")), "leaking-tokens"),
         "doc_key", "uses", "line",
     )
     asked = items.select("item_id", "item_key", F.col("raw").alias("item_raw"), "template")
