@@ -11,7 +11,8 @@ replacements refutes the match.
 All of it is column functions, explodes and joins. A document leaks an item if on one
 line at least 6 windows match (all, of an item with fewer) and the slots agree. Windows
 with less than half literal words are too common to prove anything and are left out;
-items shorter than a window are one window of their own length, from 5 tokens on.
+items shorter than a window are one window of their own length, from 5 tokens on (of
+plain tokens from 3 on).
 
 Texts are read in three ways, and a document leaks an item that it leaks in any of them
 (the row is of the first way that finds the pair):
@@ -20,7 +21,9 @@ Texts are read in three ways, and a document leaks an item that it leaks in any
 * `NAMED`   every run of capitalised words is a name, wherever it stands and however lines
             break, so that a question with other names at sentence starts has one template;
 * `PLAIN`   lower-case words and numbers as they are, without slots: verbatim copies, in any
-            case and behind any words. No share of literal words is asked for.
+            case and behind any words. No share of literal words is asked for, operators
+            are tokens, too, and scripts without spaces are read by character; items from
+            3 such tokens on are matched.
 
 NULL texts match nothing. Rows without doc_id and repeated rows are judged by their
 own text; equal rows give one result row.
@@ -38,6 +41,7 @@ from harrow.session import fits_broadcast, stored
 WINDOW = 8
 LEAST_WINDOWS = 6
 LEAST_TOKENS = 5
+LEAST_PLAIN = 3
 # Placeholders, unit words, and the shape of tokens and names.
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 UNITS = (
@@ -50,13 +54,19 @@ ALL_NAMES = r"(?<![\p{L}\p{M}])(\p{Lu}[\p{Ll}\p{M}]+(?: \p{Lu}[\p{Ll}\p{M}]+)*)(
 TYPED, NAMED, PLAIN = 0, 1, 2
 TOKENS = f"{OPEN}[^{CLOSE}]*{CLOSE}|[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*|[%$€£°]"
 
+# Read by character: scripts that put no spaces between words.
+UNSPACED = "".join(f"\\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+PLAIN_TOKENS = (
+    f"[{UNSPACED}&&[\\p{{L}}\\p{{N}}]]\\p{{M}}*|[\\p{{L}}\\p{{M}}&&[^{UNSPACED}]]+|[0-9]+(?:[.,][0-9]+)*|\\p{{Nd}}+|[-%*/^]|\\p{{Sm}}|\\p{{Sc}}|°"
+)
+
 
 def raw_tokens(text: Column, way: int = TYPED) -> Column:
     if way == TYPED:
         text = F.regexp_replace(text, NAMES, f"$1 {OPEN}$2{CLOSE}")
     elif way == NAMED:
         text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), ALL_NAMES, f"{OPEN}$1{CLOSE}")
-    return F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(PLAIN_TOKENS if way == PLAIN else TOKENS), F.lit(0))
 
 
 def template_token(token: Column) -> Column:
@@ -87,7 +97,7 @@ def is_literal(token: Column) -> Column:
 def item_windows(items: DataFrame, way: int = TYPED) -> DataFrame:
     """`(item_id, item_key, length, item_at, hash)` of the benchmark's provable windows."""
     sized = items.withColumn("length", F.least(F.size("template"), F.lit(WINDOW))).filter(
-        F.col("length") >= LEAST_TOKENS)
+        F.col("length") >= (LEAST_PLAIN if way == PLAIN else LEAST_TOKENS))
     placed = sized.withColumn("item_at", F.explode(F.sequence(F.lit(1), F.size("template") - F.col("length") + 1)))
     window = placed.withColumn("_w", F.slice("template", F.col("item_at"), F.col("length")))
     if way != PLAIN:

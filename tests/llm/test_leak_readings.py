@@ -31,3 +31,20 @@ def found(spark, texts, items):
 
 def test_names_case_and_lines(spark):
     assert found(spark, TEXTS, ITEMS) == {(doc_id, item) for doc_id, _, item in TEXTS if item}
+
+
+SHORT = [
+    (10, "What is 12 + 5 * 3 - 8 / 2?"), (11, "请问中华人民共和国的首都是哪座城市"), (12, "ประเทศไทยมีเมืองหลวงชื่ออะไร"),
+    (13, "Who wrote Hamlet?"), (14, "3 | 14 | 15 | 92 | 65 | 35 | 89 | 79 | 32 | 38 | 46 | 26 | 43 | 38"),
+]
+SHORT_TEXTS = [
+    (20, "homework: What is 12 + 5 * 3 - 8 / 2? Answer below", 10),
+    (21, "homework: What is 12 + 5 * 3 + 8 / 2? Answer below", None),
+    (22, "今天的问题是请问中华人民共和国的首都是哪座城市谢谢", 11), (23, "中华人民共和国的首都", None),
+    (24, "คำถามประเทศไทยมีเมืองหลวงชื่ออะไรครับ", 12), (25, "tell me who wrote hamlet and why", 13),
+    (26, "who wrote a hamlet", None), (27, f"row {SHORT[4][1]} end", 14), (28, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", None),
+]
+
+
+def test_numbers_and_scripts_without_spaces(spark):
+    assert found(spark, SHORT_TEXTS, SHORT) == {(doc_id, item) for doc_id, _, item in SHORT_TEXTS if item}
