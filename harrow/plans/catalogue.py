@@ -491,7 +491,7 @@ def search_failed_downloads(spark, folder):
 
 def search_deep(spark, folder):
     """Many results of one query: every document that matches, ranked over ranges."""
-    return _rounded(plans.search(documents_index(spark, folder), QUERY, k=10 ** 6))
+    return _rounded(plans.search(documents_index(spark, folder), QUERY, k=None))
 
 
 def search_documents(spark, folder):

@@ -44,8 +44,8 @@ _WEIGHTED = T.StructType([
 ])
 
 
-def best_documents(index: SearchIndex, q: str, k: int, use_tf: bool = False) -> DataFrame:
-    """`(qid, doc_id, score, rank)` of one query; the frame itself is lazy."""
+def best_documents(index: SearchIndex, q: str, k: int | None, use_tf: bool = False) -> DataFrame:
+    """`(qid, doc_id, score, rank)` of one query, all that match if `k` is None; the frame itself is lazy."""
     spark = index.spark
     tokens = spark.range(1).select(tx.query_tokens(F.lit(q)).alias("t")).first()["t"]
     known = {
@@ -65,8 +65,10 @@ def best_documents(index: SearchIndex, q: str, k: int, use_tf: bool = False) ->
         scored = ranking.scores_by_position(worth, known_at)
     else:
         scored = ranking.scores(worth)
-    if k > MAX_PUSHED_IDS:
-        ranked = numbered(scored, ranking.result_order(), "rank").filter(F.col("rank") <= k)
+    if k is None or k > MAX_PUSHED_IDS:
+        ranked = numbered(scored, ranking.result_order(), "rank")
+        if k is not None:
+            ranked = ranked.filter(F.col("rank") <= k)
         return ranked.withColumn("rank", F.col("rank").cast("int")).drop("first_pos")
     best = scored.orderBy(*ranking.result_order()).limit(k)
     order = Window.orderBy(*ranking.result_order())  # MAX_PUSHED_IDS rows at most
@@ -74,13 +76,13 @@ def best_documents(index: SearchIndex, q: str, k: int, use_tf: bool = False) ->
 
 
 def search(
-    index: SearchIndex, q: str, k: int = scoring.DEFAULT_K, use_tf: bool = False
+    index: SearchIndex, q: str, k: int | None = scoring.DEFAULT_K, use_tf: bool = False
 ) -> DataFrame:
-    """Top-k result rows of one query, ordered by rank."""
+    """Top-k result rows of one query, ordered by rank; `k=None` is every match."""
     ranked = best_documents(index, q, k, use_tf)
     documents = index.documents
-    fits = k * RESULT_ROW_BYTES <= broadcast_limit(index.spark)
-    if k <= MAX_PUSHED_IDS:
+    fits = k is not None and k * RESULT_ROW_BYTES <= broadcast_limit(index.spark)
+    if k is not None and k <= MAX_PUSHED_IDS:
         # the k ids become a literal list: pushed to Parquet it skips row groups
         # of the metadata, which a join would scan in full
         rows = ranked.collect()
