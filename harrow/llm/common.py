@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,19 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa
             yield batch.slice(start, rows)
 
 
+def in_byte_slices(
+    batches: Iterator[pa.RecordBatch], text: int, limit: int = 2_000_000
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `limit` bytes of column `text` and one value that passes the limit."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
+        groups = np.cumsum(sizes) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            if stop > start:
+                yield batch.slice(start, stop - start)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values so that every output bit depends on every input bit."""
     values = values ^ (values >> np.uint64(31))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from harrow.llm.decontamination import (
     CLOSE, LEAST_TOKENS, LEAST_WINDOWS, NAME, NAMES, NUMBER, OPEN, TOKENS, UNIT, UNITS, WINDOW,
 )
+from harrow.llm.shards import SHARDS, TOLERANCE
 from harrow.llm.url_rules import PATTERNS, RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -125,8 +126,111 @@ FROM agreeing QUALIFY row_number() OVER (
   PARTITION BY doc_id, item_id ORDER BY n_matched DESC, n_changed, n_windows DESC, n_slots DESC) = 1
 """
 
+# CRC-32 by its table: needs `crc_table` in FROM
+CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY i) AS crc_t FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))
+)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL of the CRC-32 of a VARCHAR expression, of its UTF-8 bytes."""
+    coded = f"hex(encode({text}))"
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length({coded}) // 2),
+    lambda i: ('0x' || {coded}[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda c, x: xor(crc_t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)"""
+
+
+# A run shows as a stretch of places whose five words stand there q words before, too.
+PERIODIC_RUNS = f"""
+WITH {CRC_TABLE}, split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o, {_crc32("doc_id::VARCHAR")} AS h
+  FROM documents, crc_table
+), turned AS (
+  SELECT doc_id, o, len(o) AS n, h, h // 10 AS g, (h // 10) % greatest(len(o), 1) AS a FROM split
+), docs AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n),
+    lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE o END AS w
+  FROM turned
+), grams AS (
+  SELECT doc_id, i, w[i + 1:i + 5] AS gram FROM (SELECT doc_id, w, unnest(range(0, n - 4)) AS i FROM docs WHERE n >= 6)
+), pairs AS (
+  SELECT a.doc_id, a.i, a.i - b.i AS q FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.gram = b.gram AND a.i > b.i
+), stretches AS (
+  SELECT doc_id, q, min(i) - q AS start, count(*) + 4 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs)
+  GROUP BY doc_id, q, island HAVING count(*) + 4 + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length
+), listed AS (
+  SELECT doc_id, list(struct_pack(s := start, n := length, q := period) ORDER BY start, period) AS by_start,
+    first(struct_pack(s := start, n := length, q := period) ORDER BY length DESC, start, period) AS best
+  FROM runs GROUP BY doc_id
+), gone AS (
+  SELECT doc_id, list(DISTINCT i) AS i
+  FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM runs) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(by_start), 0)::BIGINT AS n_runs, best.s AS start, best.n AS length, best.q AS period,
+  1000 * best.n // best.q AS exponent_milli,
+  sha256(coalesce(list_aggregate(list_transform(by_start, lambda r: r.s || ',' || r.n || ',' || r.q || chr(10)),
+    'string_agg', ''), '')) AS runs_sha256,
+  sha256(coalesce(array_to_string(CASE WHEN gone.i IS NULL THEN w
+    ELSE list_filter(w, lambda x, k: NOT list_contains(gone.i, k - 1)) END, ' '), '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+# Cuts by running bytes over the order (hash of the text, doc_id); see the splitter rule of the operator.
+HISTOGRAM_SHARDS = f"""
+WITH {CRC_TABLE}, docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    ('0x' || md5(coalesce(text, ''))[1:15])::BIGINT AS h FROM documents
+), ordered AS (
+  SELECT *, sum(size) OVER w - size AS before, row_number() OVER w AS n, sum(size) OVER () AS total
+  FROM docs WINDOW w AS (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)
+), groups AS (SELECT h, min(before) AS b0, max(before + size) AS b1, any_value(total) AS total FROM ordered GROUP BY h),
+cuts AS (
+  SELECT CASE WHEN least(t - b0, b1 - t) > floor(total * {TOLERANCE} / {SHARDS}) THEN t
+    WHEN t - b0 <= b1 - t THEN b0 ELSE b1 END AS cut
+  FROM (SELECT *, i * total // {SHARDS} AS t FROM groups, range(1, {SHARDS}) r(i)) WHERE t >= b0 AND t < b1
+), placed AS (
+  SELECT *, (SELECT count(*) FROM cuts WHERE cut <= before) AS shard FROM ordered
+)
+SELECT doc_id, size::BIGINT AS size, {_crc32("text")} AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY n) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed, crc_table
+"""
+
+PREFIX_TRIE = f"""
+WITH {CRC_TABLE}, turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(struct_pack(r := r, t := t)
+    ORDER BY turn NULLS FIRST, sha256(octet_length(encode(r)) || ':' || r || t)) AS s FROM turns GROUP BY conv_id
+), led AS (SELECT *, conv_id - conv_id % 5 AS base, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM own, crc_table),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.s[1:a.h], []), a.s[a.h + 1:]) AS s FROM led a LEFT JOIN own b ON b.conv_id = a.base
+), nodes AS (
+  SELECT p, len(p) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs
+  FROM (SELECT conv_id, s[1:unnest(range(0, len(s) + 1))] AS p FROM rebuilt) GROUP BY p
+), children AS (SELECT p[1:len(p) - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+ends AS (SELECT s AS p, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS e FROM rebuilt GROUP BY s),
+above AS (
+  SELECT p[1:unnest(range(0, depth + 1))] AS p, NOT EXISTS (FROM children c WHERE c.p = nodes.p) AS leaf,
+    (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE octet_length(encode(p[depth].t)) END AS saved FROM nodes
+), under AS (SELECT p, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved FROM above GROUP BY p)
+SELECT nodes.conv_id, depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n_convs, coalesce(children.n, 0) AS n_children,
+  n_leaves, saved::BIGINT AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM nodes JOIN under USING (p) LEFT JOIN children USING (p) LEFT JOIN ends USING (p)
+LEFT JOIN (SELECT p, conv_id FROM nodes) up ON depth > 0 AND up.p = nodes.p[1:depth - 1]
+"""
+
 ORACLES = {
     "op10_benchmark_leaks": BENCHMARK_LEAKS,
+    "op11_periodic_runs": PERIODIC_RUNS,
+    "op12_prefix_trie": PREFIX_TRIE,
+    "op13_histogram_shards": HISTOGRAM_SHARDS,
     "op3_near_duplicates": NEAR_DUPLICATES,
     "op4_url_rules": _url_rules(),
     "op5_warc_records": WARC_RECORDS,

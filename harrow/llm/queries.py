@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm import (
-    decontamination, importance, language_id, line_dedup, lz_fingerprints, near_duplicates, packing, token_counts,
-    url_rules, warc_records,
+    decontamination, importance, language_id, line_dedup, lz_fingerprints, near_duplicates, packing,
+    periodic_runs, prefix_trie, shards, token_counts, url_rules, warc_records,
 )
 from harrow.llm.oracles import ORACLES  # noqa: F401
 from harrow.sources.tables import read_table
@@ -73,6 +73,18 @@ def op10_benchmark_leaks(spark, folder):
     return decontamination.leak_report(_documents(spark, folder), read_table(spark, folder, "benchmark"))
 
 
+def op11_periodic_runs(spark, folder):
+    return periodic_runs.run_report(_documents(spark, folder))
+
+
+def op12_prefix_trie(spark, folder):
+    return prefix_trie.trie_report(read_table(spark, folder, "conversations"))
+
+
+def op13_histogram_shards(spark, folder):
+    return shards.shard_report(_documents(spark, folder))
+
+
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_token_counts": op2_token_counts,
@@ -84,4 +96,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_lz_fingerprints": op9_lz_fingerprints,
     "op10_benchmark_leaks": op10_benchmark_leaks,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_histogram_shards": op13_histogram_shards,
 }
