@@ -69,10 +69,3 @@ def leading_int(item: Column) -> Column:
 
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
-
-
-def strip_accents(text: Column) -> Column:
-    """Latin letters with marks -> base letters."""
-    marked = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-    return F.translate(text, marked, plain)

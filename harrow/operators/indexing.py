@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions import text as tx
+from harrow.functions.folding import fold
 from harrow.operators.joins import spread_join
 from harrow.operators.order import numbered
 from harrow.session import broadcast_limit, fits_broadcast, hinted, stored
@@ -130,7 +131,7 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def folded_terms(documents: DataFrame, stop_words: DataFrame) -> DataFrame:
-    """Distinct terms after accent removal and a stop-word table `(term)`."""
-    folded = documents.select("doc_id", tx.strip_accents(F.col("text")).alias("text"))
+    """Distinct terms after accent and case folding and a stop-word table `(term)`."""
+    folded = documents.select("doc_id", fold(F.col("text")).alias("text"))
     terms = doc_terms(folded)
     return terms.join(hinted(stop_words.select("term").distinct()), "term", "left_anti")

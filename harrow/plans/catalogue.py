@@ -17,13 +17,13 @@ from harrow.functions import scoring
 from harrow.functions import text as tx
 from harrow.functions import warc_format as wf
 from harrow.operators import documents as docs
-from harrow.operators import extract, frontier, highlight, indexing, ranking, stats
+from harrow.operators import extract, frontier, handoff, highlight, indexing, ranking, stats
 from harrow.plans import search as plans
 from harrow.session import fits_broadcast, new_path, stored
-from harrow.sources import warc
+from harrow.sources import queue, warc
 from harrow.sources.index_store import SearchIndex, build_index, lookup
 from harrow.sources.tables import read_table
-from harrow.streaming import crawl
+from harrow.streaming import batches, crawl
 from harrow.streaming import index as stream_index
 
 QUERY = "the and tion tion"
@@ -522,12 +522,10 @@ def search_topk_tf(spark, folder):
 
 
 def merge_postings(spark, folder):
-    """Old postings of documents that had other texts then: these terms stay."""
+    """Old postings of all documents, which had other words then: these terms stay beside the new ones."""
     documents = _documents(spark, folder)
-    before = documents.withColumn("text", F.concat("lang", F.lit("lang "), "text")).filter(F.col("doc_id") % 3 == 0)
-    return indexing.merge_postings(
-        indexing.doc_terms(before), indexing.doc_terms(documents.filter(F.col("doc_id") % 4 > 0))
-    )
+    before = documents.withColumn("text", F.concat("lang", F.lit("lang "), F.translate("text", "aet", "eta")))
+    return indexing.merge_postings(indexing.doc_terms(before), indexing.doc_terms(documents))
 
 
 # --- text --------------------------------------------------------------------
@@ -585,18 +583,14 @@ def warc_headers(spark, folder):
 
 
 def stream_accept_urls(spark, folder):
-    queue, table = new_path(spark, "queue"), new_path(spark, "accepted")
-    # files in the order of `seq`, read in the order they were written
-    parts = _frontier(spark, folder).repartitionByRange(6, "seq").withColumn("part", F.spark_partition_id())
-    for number in range(6):
-        parts.filter(F.col("part") == number).drop("part").coalesce(1).write.mode("append").parquet(queue)
-    source = (
-        spark.readStream.schema("seq long, url string").option("maxFilesPerTrigger", 2).parquet(queue)
-    )
-    crawl.accept_stream(
-        source, table, new_path(spark, "stream"), _known(spark, folder)
-    ).awaitTermination()
-    return spark.read.schema(crawl.ACCEPTED).parquet(table).select("doc_id", "url", "status")
+    """The queue published in two parts; the stream runs after each, the second time from its checkpoint."""
+    path, table, checkpoint = (new_path(spark, label) for label in ("queue", "accepted", "stream"))
+    rows = stored(_frontier(spark, folder), "frontier")
+    size = max(1, rows.count() // 7)
+    for part in (rows.filter(F.col("seq") < 10 ** 9), rows.filter(F.col("seq") >= 10 ** 9)):
+        queue.publish(part, path, segment_rows=size)
+        crawl.accept_queue(spark, path, table, checkpoint, _known(spark, folder), rows_per_batch=2 * size)
+    return batches.read_table(spark, table, crawl.ACCEPTED).select("doc_id", "url", "status")
 
 
 def _streamed(spark, folder) -> stream_index.StreamedIndex:
@@ -681,6 +675,37 @@ def not_indexed(spark, folder):
     return docs.not_indexed(state, _indexed(spark, folder))
 
 
+def _handed_over(spark, folder) -> DataFrame:
+    """Archived pages handed to the index, with hand-offs that fail: a read goes wrong at the first
+    try for a seventh of the pages, at the first two for an eleventh, and always for a thirteenth."""
+    def make():
+        def deliver(items, attempt):
+            failures = (
+                F.when(F.col("doc_id") % 13 == 0, 99).when(F.col("doc_id") % 11 == 0, 2)
+                .when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
+            )
+            spoilt = items.withColumn(
+                "length", F.when(failures >= attempt, F.col("length") - 1).otherwise(F.col("length")))
+            return warc.read_records(spoilt, _archive(spark, folder)).select("doc_id", "reason")
+        return handoff.hand_over(_manifest(spark, folder), deliver, new_path(spark, "hand-over"))
+    return _once(spark, folder, "handed-over", make)
+
+
+def hand_over(spark, folder):
+    return handoff.hand_over_state(_handed_over(spark, folder))
+
+
+def hand_over_attempts(spark, folder):
+    return _handed_over(spark, folder)
+
+
+def dead_letters(spark, folder):
+    """What the documents table says after hand-offs that failed for good."""
+    crawled = docs.crawled_rows(_manifest(spark, folder), seq=2)
+    dead = handoff.dead_letter_rows(handoff.hand_over_state(_handed_over(spark, folder)), seq=3)
+    return docs.document_state(crawled.unionByName(dead)).select("doc_id", "url", "status")
+
+
 def index_from_ids(spark, folder):
     """Queue items name ids; positions are looked up, records read and indexed."""
     state = docs.document_state(docs.crawled_rows(warc.read_manifest(spark, _crawl(spark, folder)), seq=2))
@@ -715,6 +740,17 @@ def fold_and_stop(spark, folder):
     return indexing.folded_terms(_documents(spark, folder), words)
 
 
+def fold_marked(spark, folder):
+    """The documents spelt with marks, composed and combining, and in capitals: the terms of the plain texts."""
+    marked = F.replace(F.translate("text", "aeioucsz", "ảệīőűčșž"), F.lit("n"), F.lit("n\u0303"))
+    capital = F.replace(F.translate(F.upper("text"), "AEOC", "ẤỀỎĆ"), F.lit("T"), F.lit("T\u0323\u0301"))
+    documents = _documents(spark, folder)
+    both = documents.withColumn("text", marked).unionByName(
+        documents.withColumns({"doc_id": -F.col("doc_id") - 1, "text": capital}))
+    words = spark.createDataFrame([(w,) for w in STOP_WORDS], "term string")
+    return indexing.folded_terms(both, words)
+
+
 def highlighted(spark, folder):
     queries = _benchmark(spark, folder)
     results = stored(_page_results(spark, folder), "results")
@@ -787,9 +823,13 @@ QUERIES = {
     "recrawled_documents": recrawled_documents,
     "search_recrawled": search_recrawled,
     "not_indexed": not_indexed,
+    "hand_over": hand_over,
+    "hand_over_attempts": hand_over_attempts,
+    "dead_letters": dead_letters,
     "index_from_ids": index_from_ids,
     "index_rejects": index_rejects,
     "exact_duplicates": exact_duplicates,
     "fold_and_stop": fold_and_stop,
+    "fold_marked": fold_marked,
     "highlight": highlighted,
 }

@@ -22,7 +22,7 @@ from harrow import schemas
 from harrow.functions import text as tx
 from harrow.operators import indexing
 from harrow.operators.stats import corpus_stats, term_statistics
-from harrow.session import new_path
+from harrow.session import new_path, stored
 
 
 BUCKET_TEXT_BYTES = 256 * 1024 * 1024
@@ -89,7 +89,9 @@ def build_index(
     spark = documents.sparkSession
     path = path or new_path(spark, "index")
     if not buckets:
-        text_bytes = text_bytes or documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if not text_bytes:  # measured on a copy, as the input may be dear to evaluate
+            documents = stored(documents.select("doc_id", "url", "title", "text"), "documents")
+            text_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = default_buckets(spark, text_bytes)
     tag = "harrow_" + uuid.uuid4().hex[:12]
 
@@ -102,14 +104,14 @@ def build_index(
         ),
         f"{tag}_documents", f"{path}/documents", "doc_id", ["doc_id"], buckets,
     )
-    stored = spark.table(f"{tag}_documents")
+    kept = spark.table(f"{tag}_documents")
     if postings is None:
-        rows = indexing.count_terms(stored, "doc_length")
+        rows = indexing.count_terms(kept, "doc_length")
     else:
         latest = F.max_by("tf", "batch_id") if "batch_id" in postings.columns else F.max("tf")
         rows = (
             postings.repartition(buckets, "doc_id").groupBy("term", "doc_id").agg(latest.alias("tf"))
-            .join(stored.select("doc_id", "doc_length"), "doc_id", "left")
+            .join(kept.select("doc_id", "doc_length"), "doc_id", "left")
             .select("term", "doc_id", "tf", "doc_length")
         )
     _save(
@@ -120,7 +122,7 @@ def build_index(
     few = min(buckets, TERM_BUCKETS)
     _save(terms.repartition(few, "term"), f"{tag}_terms", f"{path}/term_stats", "term", ["term"], few)
     (
-        corpus_stats(stored).withColumn("buckets", F.lit(buckets))
+        corpus_stats(kept).withColumn("buckets", F.lit(buckets))
         .coalesce(1).write.parquet(f"{path}/stats")
     )
     return _opened(spark, path, tag)

@@ -79,7 +79,3 @@ def test_fallbacks(spark):
     rows = spark.createDataFrame([("", "u"), (None, "u"), ("t", "u")], "title string, url string")
     got = rows.select(tx.filled(F.col("title"), F.col("url")).alias("r")).collect()
     assert [r["r"] for r in got] == ["u", "u", "t"]
-
-
-def test_strip_accents(spark):
-    assert one(spark, "Étions àçê ÿ ß", tx.strip_accents) == "Etions ace y ß"
