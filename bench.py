@@ -69,6 +69,12 @@ def main() -> None:
     index = timed("index_build_documents", lambda: build_index(texts))
     timed("index_build_pages", lambda: build_index(extract.extract_pages(pages)))
 
+    size = documents.agg(F.max("doc_id")).first()[0] + 1
+    grown = new_path(spark, "grown")
+    part = F.floor(F.col("doc_id") * BATCHES / size)
+    timed("index_grow_10_batches", lambda: [
+        grown_index.grow(texts.filter(part == number), grown, batch=number) for number in range(BATCHES)])
+
     archive = new_path(spark, "warc")
     timed("warc_write", lambda: warc.write_archive(pages.repartition(int(CPUS)), archive))
     manifest = warc.read_manifest(spark, archive)

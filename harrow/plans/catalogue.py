@@ -20,7 +20,7 @@ from harrow.operators import documents as docs
 from harrow.operators import extract, frontier, handoff, highlight, indexing, ranking, stats
 from harrow.plans import search as plans
 from harrow.session import fits_broadcast, new_path, stored
-from harrow.sources import queue, warc
+from harrow.sources import grown_index, queue, warc
 from harrow.sources.index_store import SearchIndex, build_index, lookup
 from harrow.sources.tables import read_table
 from harrow.streaming import batches, crawl
@@ -652,6 +652,39 @@ def search_recrawled(spark, folder):
     return _rounded(plans.search_batch(index, _benchmark(spark, folder), bounded=True, use_tf=True))
 
 
+def _grown(spark, folder) -> SearchIndex:
+    """The three fetches published one by one."""
+    def make():
+        path = new_path(spark, "grown-index")
+        index = _recrawled(spark, folder)
+        for number in range(3):
+            index.grow(spark, number, path)
+        return grown_index.open_grown(spark, path)
+    return _once(spark, folder, "grown-index", make)
+
+
+def grown_postings(spark, folder):
+    return _grown(spark, folder).postings.select("term", "doc_id", "tf")
+
+
+def grown_terms(spark, folder):
+    return _grown(spark, folder).term_stats.select("term", "df")
+
+
+def grown_documents(spark, folder):
+    return _grown(spark, folder).documents.select("doc_id", "url", "doc_length", "title", "snippet")
+
+
+def grown_stats(spark, folder):
+    index = _grown(spark, folder)
+    return spark.createDataFrame([(index.n_docs, round(index.avgdl, 6))], "n_docs long, avgdl double")
+
+
+def search_grown(spark, folder):
+    """Bounded search over segments."""
+    return _rounded(plans.search_batch(_grown(spark, folder), _benchmark(spark, folder), bounded=True, use_tf=True))
+
+
 def streamed_postings(spark, folder):
     return _streamed(spark, folder).postings(spark).select("term", "doc_id")
 
@@ -822,6 +855,11 @@ QUERIES = {
     "recrawled_postings": recrawled_postings,
     "recrawled_documents": recrawled_documents,
     "search_recrawled": search_recrawled,
+    "grown_postings": grown_postings,
+    "grown_terms": grown_terms,
+    "grown_documents": grown_documents,
+    "grown_stats": grown_stats,
+    "search_grown": search_grown,
     "not_indexed": not_indexed,
     "hand_over": hand_over,
     "hand_over_attempts": hand_over_attempts,

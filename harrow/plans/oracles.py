@@ -364,6 +364,13 @@ SELECT term, doc_id FROM before UNION SELECT term, doc_id FROM now""",
         f"WITH {RECRAWLED} SELECT doc_id, url, doc_length, title, snippet FROM metadata JOIN lengths USING (doc_id)"
     ),
     "search_recrawled": f"WITH {RECRAWLED}, {BENCHMARK}, {QUERY_TERMS}, {scoring('tf')} {RESULTS}",
+    "grown_postings": f"WITH {RECRAWLED} SELECT term, doc_id, tf FROM postings",
+    "grown_terms": f"WITH {RECRAWLED} SELECT term, count(*) AS df FROM postings GROUP BY term",
+    "grown_documents": (
+        f"WITH {RECRAWLED} SELECT doc_id, url, doc_length, title, snippet FROM metadata JOIN lengths USING (doc_id)"
+    ),
+    "grown_stats": f"WITH {RECRAWLED} SELECT count(*) AS n_docs, round(avg(doc_length), 6) AS avgdl FROM lengths",
+    "search_grown": f"WITH {RECRAWLED}, {BENCHMARK}, {QUERY_TERMS}, {scoring('tf')} {RESULTS}",
     "not_indexed": f"{WITH_STATE} SELECT doc_id, status FROM state WHERE status = 'crawled_not_queued'",
     "index_from_ids": f"""{WITH_STATE} SELECT doc_id, doc_length, title, snippet FROM metadata
 WHERE doc_id IN (SELECT doc_id FROM pages_read WHERE fetched) AND doc_id IN (SELECT doc_id FROM documents)""",

@@ -49,7 +49,7 @@ def _columns(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
-def _attach(spark, name, schema, path, key, sort, buckets) -> DataFrame:
+def attach(spark, name, schema, path, key, sort, buckets) -> DataFrame:
     """Declare the bucketed layout of files already in place."""
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({_columns(schema)}) USING parquet "
@@ -58,7 +58,7 @@ def _attach(spark, name, schema, path, key, sort, buckets) -> DataFrame:
     return spark.table(name)
 
 
-def _save(df: DataFrame, name: str, path: str, key: str, sort: list[str], buckets: int) -> None:
+def save(df: DataFrame, name: str, path: str, key: str, sort: list[str], buckets: int) -> None:
     (
         df.write.format("parquet").bucketBy(buckets, key).sortBy(*sort)
         .option("path", path).saveAsTable(name)
@@ -97,7 +97,7 @@ def build_index(
 
     placed = documents.select("doc_id", "url", "title", "text").repartition(buckets, "doc_id")
     text = F.col("text")
-    _save(
+    save(
         placed.select(
             "doc_id", "url", "title", tx.snippet(text).alias("snippet"),
             tx.token_count(text).alias("doc_length"), "text",
@@ -114,13 +114,13 @@ def build_index(
             .join(kept.select("doc_id", "doc_length"), "doc_id", "left")
             .select("term", "doc_id", "tf", "doc_length")
         )
-    _save(
+    save(
         rows, f"{tag}_postings", f"{path}/postings", "doc_id", ["term", "doc_id"], buckets,
     )
     indexed = spark.table(f"{tag}_postings")
     terms = term_statistics(indexed)
     few = min(buckets, TERM_BUCKETS)
-    _save(terms.repartition(few, "term"), f"{tag}_terms", f"{path}/term_stats", "term", ["term"], few)
+    save(terms.repartition(few, "term"), f"{tag}_terms", f"{path}/term_stats", "term", ["term"], few)
     (
         corpus_stats(kept).withColumn("buckets", F.lit(buckets))
         .coalesce(1).write.parquet(f"{path}/stats")
@@ -138,11 +138,11 @@ def _opened(spark: SparkSession, path: str, tag: str) -> SearchIndex:
     n = stats["buckets"]
     return SearchIndex(
         path=path,
-        documents=_attach(spark, f"{tag}_documents", schemas.INDEXED_DOCUMENTS,
+        documents=attach(spark, f"{tag}_documents", schemas.INDEXED_DOCUMENTS,
                           f"{path}/documents", "doc_id", "doc_id", n),
-        postings=_attach(spark, f"{tag}_postings", schemas.POSTINGS,
+        postings=attach(spark, f"{tag}_postings", schemas.POSTINGS,
                          f"{path}/postings", "doc_id", "term, doc_id", n),
-        term_stats=_attach(spark, f"{tag}_terms", schemas.TERM_STATS,
+        term_stats=attach(spark, f"{tag}_terms", schemas.TERM_STATS,
                            f"{path}/term_stats", "term", "term", min(n, TERM_BUCKETS)),
         n_docs=stats["n_docs"],
         avgdl=stats["avgdl"],

@@ -15,7 +15,7 @@ from harrow.operators import documents as docs
 from harrow.operators import indexing
 from harrow.operators.extract import page_content
 from harrow.session import hinted
-from harrow.sources import warc
+from harrow.sources import grown_index, warc
 from harrow.sources.index_store import SearchIndex, build_index
 from harrow.streaming import batches
 
@@ -80,6 +80,11 @@ class StreamedIndex:
         size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         return build_index(documents, path, postings=self.all_postings(spark), text_bytes=size)
 
+    def grow(self, spark: SparkSession, batch_id: int, path: str) -> SearchIndex:
+        """Publish one batch as the next version of the grown index at `path`, at the batch's cost."""
+        rows = batches.read_batch(spark, self.table("extracted"), EXTRACTED, batch_id)
+        return grown_index.grow(rows.filter(F.col("reason").isNull()), path, batch=batch_id)
+
     def rejects(self, spark: SparkSession) -> DataFrame:
         rows = batches.read_table(spark, self.table("extracted"), EXTRACTED)
         return rows.filter(F.col("reason").isNotNull()).select("doc_id", "reason")
@@ -132,13 +137,18 @@ def index_batch(
 
 
 def index_stream(
-    manifest: DataFrame, archive: str, index: StreamedIndex, checkpoint: str
+    manifest: DataFrame, archive: str, index: StreamedIndex, checkpoint: str, grown: str | None = None
 ) -> StreamingQuery:
-    """Index a stream of manifest rows through what is available, then stop."""
+    """Index a stream of manifest rows through what is available, then stop.
+
+    `grown` names a grown index of which every batch becomes a version.
+    """
     index.prepare(manifest.sparkSession)
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         index_batch(batch, archive, index, batch_id)
+        if grown:
+            index.grow(batch.sparkSession, batch_id, grown)
 
     return (
         manifest.writeStream.foreachBatch(one_batch)
