@@ -1,16 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network reads the UTF-8 bytes of a word (a run of letters, lower case; pieces of 24
-bytes of a longer one) from both ends and gives language probabilities at every byte.
+bytes of a longer one, cut between characters) from both ends and gives language probabilities at every byte.
 A document's probabilities are the mean over all bytes of all its words, so the whole
 text counts. Repeated words are computed once per task.
 
-Training is numpy backpropagation through time on a bounded sample: the words of
+Training is numpy backpropagation through time on a bounded sample: all pieces of the words of
 `SAMPLE_DOCUMENTS` training documents per language. Only `text` and `lang` of documents
 with crc32(doc_id) mod 5 other than 0 are learned from.
 
 `lang_pred` is `und`, with score 0, where text is NULL or has no letter, or where
-nothing was learned. A NULL doc_id is not held out. Rows keep their number.
+nothing was learned; of equally likely languages the first by name is taken. A NULL doc_id is not
+held out. Rows keep their number.
 
 Rejection goes by certainty: the mean over all bytes of the probability of each word's
 own best language, so that texts in two learned languages are as certain as others. Bytes
@@ -26,6 +27,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +46,13 @@ WINDOW = 24
 STEPS = 700
 BATCH = 256
 RATE = 0.01
-MEMO_WORDS = 150_000
-HELD_CHARS = 1_000_000
+MEMO_BYTES = 16_000_000
+WORD_BYTES = 250  # of a remembered word beside its letters
+HELD_CHARS = 500_000
+SLICE_ROWS = 500
 FLOOR_SHARE = 0.01
 _RUN = re.compile(r"[^\W\d_]+")
-_NET_WORDS = 4096
+_NET_PIECES = 1024
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,6 +66,18 @@ def letter_runs(text: str) -> list[str]:
 # --- the network -------------------------------------------------------------
 
 
+def pieces_of(word: bytes) -> list[bytes]:
+    """The word in pieces of at most `WINDOW` bytes, cut between characters."""
+    pieces = []
+    while len(word) > WINDOW:
+        cut = WINDOW
+        while cut > 1 and word[cut] & 0xC0 == 0x80:
+            cut -= 1
+        pieces.append(word[:cut])
+        word = word[cut:]
+    return [*pieces, word]
+
+
 def _sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -122,10 +138,10 @@ class Network:
     def word_sums(self, words: list[bytes]) -> np.ndarray:
         """Per word, the sums of its positions' probabilities and, last, its positions."""
         out = np.zeros((len(words), len(self.languages) + 1), np.float32)
-        pieces = [(at, word[i:i + WINDOW]) for at, word in enumerate(words) for i in range(0, len(word), WINDOW)]
+        pieces = [(at, piece) for at, word in enumerate(words) for piece in pieces_of(word)]
         pieces.sort(key=lambda pair: len(pair[1]))
-        for start in range(0, len(pieces), _NET_WORDS):
-            part = pieces[start:start + _NET_WORDS]
+        for start in range(0, len(pieces), _NET_PIECES):
+            part = pieces[start:start + _NET_PIECES]
             codes, inside = padded([word for _, word in part])
             forward, _ = self._run("f", codes, inside, False)
             backward, _ = self._run("b", codes, inside, False)
@@ -178,6 +194,8 @@ def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def fit(words: list[bytes], labels: list[str], counts: list[int], seed: int = 0, steps: int = STEPS) -> Network:
     """Adam on batches of words drawn by the square root of their count, languages evenly."""
     languages = sorted(set(labels))
+    cut = [(piece, label, n) for word, label, n in zip(words, labels, counts) for piece in pieces_of(word)]
+    words, labels, counts = ([row[at] for row in cut] for at in range(3))
     net = Network.fresh(languages, seed)
     if len(languages) < 2:
         return net
@@ -191,7 +209,7 @@ def fit(words: list[bytes], labels: list[str], counts: list[int], seed: int = 0,
     second = {name: np.zeros_like(value) for name, value in net.weights.items()}
     for step in range(1, steps + 1):
         drawn = rng.choice(len(words), BATCH, p=share)
-        codes, inside = padded([words[i][:WINDOW] for i in drawn])
+        codes, inside = padded([words[i] for i in drawn])
         rate = RATE * min(1.0, 2 * (1 - (step - 1) / steps))
         for name, grad in net.gradients(codes, inside, label[drawn]).items():
             first[name] = 0.9 * first[name] + 0.1 * grad
@@ -250,62 +268,89 @@ def train(documents: DataFrame, seed: int = 0) -> Network:
     return _fitted(training_words(documents), seed)[0]
 
 
+class Judgement(NamedTuple):
+    lang: str
+    score: float
+    certainty: float
+    words: int
+    learned: bool  # whether no more than half of the letters are of a kind that no training word has
+
+
+NOTHING = Judgement(UNKNOWN, 0.0, 0.0, 0, False)
+
+
 class _Words:
-    """Word sums by row number, for the words seen so far in this task."""
+    """Sums of each word seen lately in this task: by language, bytes, certainty, strange letters, letters.
+
+    All that is asked of a text are sums over its words. What is held is bounded by bytes, beside
+    the words of the texts that are judged together.
+    """
 
-    def __init__(self, net: Network):
+    def __init__(self, net: Network, letters: frozenset[str] = frozenset()):
         self.net = net
+        self.letters = letters
         self.clear()
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.sums = np.zeros((0, len(self.net.languages) + 1), np.float32)
+        self.held = 0
+        self.sums = np.zeros((0, len(self.net.languages) + 4))
 
     def learn(self, words: set[str]) -> None:
-        if len(self.rows) > MEMO_WORDS:
+        if self.held > MEMO_BYTES:
             self.clear()
         new = [word for word in words if word not in self.rows]
-        if new:
-            self.rows.update(zip(new, range(len(self.sums), len(self.sums) + len(new))))
-            self.sums = np.concatenate([self.sums, self.net.word_sums([w.encode("utf-8", "surrogatepass") for w in new])])
-
-
-def judged(memo: _Words, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Language and score of each text; the words of a few texts at a time are held."""
-    langs, scores = [], []
+        if not new:
+            return
+        first = len(self.rows)
+        if first + len(new) > len(self.sums):
+            self.sums = np.resize(self.sums, (2 * (first + len(new)), self.sums.shape[1]))
+        found = self.net.word_sums([word.encode("utf-8", "surrogatepass") for word in new]).astype(np.float64)
+        strange = [[c for c in word if c not in self.letters] if not self.letters.issuperset(word) else [] for word in new]
+        missing = np.array([len("".join(some).encode("utf-8", "surrogatepass")) for some in strange])
+        sure = found[:, :-1].max(axis=1, initial=0) * (1 - missing / found[:, -1]) + missing / max(1, len(self.net.languages))
+        self.sums[first:first + len(new)] = np.column_stack(
+            [found, sure, [len(some) for some in strange], [len(word) for word in new]])
+        self.rows.update(zip(new, range(first, first + len(new))))
+        self.held += sum(map(len, new)) * 2 + len(new) * WORD_BYTES
+
+
+def judged(memo: _Words, texts: list[str | None]) -> Iterator[Judgement]:
+    """What the network says of each text; the words of a few texts at a time are held.
+
+    Of languages that are equally likely the first by name is taken.
+    """
     start = 0
     while start < len(texts):
         stop, size = start, 0
         while stop < len(texts) and size < HELD_CHARS:
             size += len(texts[stop] or "")
             stop += 1
-        for lang, score in _judged_together(memo, texts[start:stop]):
-            langs.append(lang)
-            scores.append(score)
+        yield from _judged_together(memo, texts[start:stop])
         start = stop
-    return langs, scores
 
 
-def _judged_together(memo: _Words, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+def _judged_together(memo: _Words, texts: list[str | None]) -> Iterator[Judgement]:
     found = [letter_runs(text or "") for text in texts]
-    memo.learn(set().union(*found))
+    if memo.net.languages:
+        memo.learn(set().union(*found))
     for words in found:
         if not words or not memo.net.languages:
-            yield UNKNOWN, 0.0
+            yield NOTHING._replace(words=len(words))
             continue
-        total = memo.sums[[memo.rows[word] for word in words]].sum(axis=0, dtype=np.float64)
-        pooled = total[:-1] / total[-1]
-        best = int(np.argmax(pooled))
-        yield memo.net.languages[best], float(min(1.0, pooled[best]))
+        *langs, size, sure, strange, letters = memo.sums[[memo.rows[word] for word in words]].sum(axis=0).tolist()
+        best = int(np.argmax(langs))
+        yield Judgement(memo.net.languages[best], min(1.0, langs[best] / size), sure / size, len(words), 2 * strange <= letters)
 
 
 def _predictor(net: Network):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words(net)
         for batch in in_slices(batches):
-            langs, scores = judged(memo, batch.column(2).to_pylist())
+            found = list(judged(memo, batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                [batch.column(0), batch.column(1), pa.array([one.lang for one in found], pa.string()),
+                 pa.array([one.score for one in found], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
     return predict
@@ -331,39 +376,26 @@ class Rejection:
     letters: frozenset[str]
     floors: dict[str, float] = field(default_factory=dict)
 
-    def certainties(self, memo: _Words, texts: list[str | None]) -> Iterator[tuple[str, float, int, bool]]:
-        """Per text language, certainty, words, and whether most of its letters were learned."""
-        undecided = 1 / len(self.net.languages)
-        for text in texts:
-            words = letter_runs(text or "")
-            if not words:
-                yield UNKNOWN, 0.0, 0, False
-                continue
-            memo.learn(set(words))
-            sums = memo.sums[[memo.rows[word] for word in words]].astype(np.float64)
-            sizes = sums[:, -1]
-            strange = [[c for c in word if c not in self.letters] for word in words]
-            missing = np.array([len("".join(some).encode("utf-8", "surrogatepass")) for some in strange])
-            best = sums[:, :-1].max(axis=1) * (1 - missing / sizes) + missing * undecided
-            lang = self.net.languages[int(np.argmax(sums[:, :-1].sum(axis=0)))]
-            learned = 2 * sum(map(len, strange)) <= sum(map(len, words))
-            yield lang, float(best.sum() / sizes.sum()), len(words), learned
-
-    def keeps(self, memo: _Words, texts: list[str | None]) -> list[bool]:
+    def memo(self) -> _Words:
+        return _Words(self.net, self.letters)
+
+    def keeps(self, found: Judgement) -> bool:
+        if not self.net.languages:
+            return found.words > 0
+        if found.lang == UNKNOWN or not found.learned or len(self.net.languages) < 2:
+            return found.learned
         spread = (1 - 1 / len(self.net.languages)) * math.sqrt(math.log(1 / FLOOR_SHARE) / 2)
-        return [
-            learned and (len(self.net.languages) < 2 or certainty >= self.floors[lang] - spread / math.sqrt(words))
-            for lang, certainty, words, learned in self.certainties(memo, texts)
-        ]
+        return found.certainty >= self.floors[found.lang] - spread / math.sqrt(found.words)
 
 
 def _certain(rule: Rejection):
     def certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words(rule.net)
+        memo = rule.memo()
         for batch in in_slices(batches):
-            found = list(rule.certainties(memo, batch.column(1).to_pylist()))
+            found = list(judged(memo, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.int64())],
+                [batch.column(0), pa.array([one.certainty for one in found], pa.float64()),
+                 pa.array([one.words for one in found], pa.int64())],
                 names=["lang", "certainty", "words"])
     return certain
 
@@ -391,20 +423,20 @@ def with_language(documents: DataFrame, least_score: float = 0.0, by_certainty:
     `by_certainty` also rejects what no learned language explains (see the module).
     If nothing could be learned, rows with a letter stay.
     """
-    rule = learned_rejection(documents) if by_certainty else None
-    net = rule.net if rule else train(documents)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words(net)
-        for batch in in_slices(batches):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            if net.languages:
-                langs, scores = judged(memo, texts)
-                good = [lang != UNKNOWN and score >= least_score for lang, score in zip(langs, scores)]
-                if rule:
-                    good = [one and sure for one, sure in zip(good, rule.keeps(memo, texts))]
-            else:
-                good = [bool(letter_runs(text or "")) for text in texts]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return documents.mapInArrow(keep, documents.schema)
+    rule = learned_rejection(documents) if by_certainty else Rejection(train(documents), frozenset())
+
+    def good(found: Judgement) -> bool:
+        if by_certainty or not rule.net.languages:
+            return rule.keeps(found) and (found.score >= least_score or not rule.net.languages)
+        return found.lang != UNKNOWN and found.score >= least_score
+
+    @F.arrow_udf("boolean")  # only texts go to Python, and an answer comes back
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo = rule.memo()
+        for texts in batches:
+            answers = []
+            for start in range(0, len(texts), SLICE_ROWS):
+                answers += [good(one) for one in judged(memo, texts.slice(start, SLICE_ROWS).to_pylist())]
+            yield pa.array(answers, pa.bool_())
+
+    return documents.filter(kept(F.col("text").cast("string")))

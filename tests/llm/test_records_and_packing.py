@@ -216,17 +216,86 @@ def test_held_out_accuracy(spark, trained):
 
 def test_words_one_by_one(trained):
     words = ["theron", "größe", "été" * 30, "a"]
-    langs, scores = language_id.judged(language_id._Words(trained), [" ".join(words)])
+    found, blank = language_id.judged(language_id._Words(trained), [" ".join(words), " 12 "])
+    assert blank == language_id.NOTHING
     total, positions = np.zeros(len(trained.languages)), 0
     for word in words:
-        data = word.encode()
-        for at in range(0, len(data), language_id.WINDOW):
-            codes, inside = language_id.padded([data[at:at + language_id.WINDOW]])
-            found = trained.probabilities(codes, inside)[0][:, 0]
-            total += found.sum(axis=0)
-            positions += len(found)
-    assert langs == [trained.languages[int(np.argmax(total))]]
-    assert scores[0] == pytest.approx((total / positions).max(), abs=1e-4)
+        for piece in language_id.pieces_of(word.encode()):
+            codes, inside = language_id.padded([piece])
+            each = trained.probabilities(codes, inside)[0][:, 0]
+            total += each.sum(axis=0)
+            positions += len(each)
+    assert found.lang == trained.languages[int(np.argmax(total))]
+    assert found.score == pytest.approx((total / positions).max(), abs=1e-4)
+
+
+def test_pieces_are_cut_between_characters():
+    for word in ("a", "a" * 24, "a" * 25, "é" * 30, "北" * 100, "a" + "\U0001f600" * 40):
+        pieces = language_id.pieces_of(word.encode())
+        assert "".join(piece.decode() for piece in pieces) == word
+        assert all(20 < len(piece) <= 24 for piece in pieces[:-1]) and 0 < len(pieces[-1]) <= 24
+
+
+def test_remembered_words_are_bounded(trained, monkeypatch):
+    """Text after text of new words, short and long: what is held stays under the bound and results do not change."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdeé", k=rng.choice([3, 9, 300]))) for _ in range(40)) for _ in range(60)]
+    whole = list(language_id.judged(language_id._Words(trained), texts))
+    monkeypatch.setattr(language_id, "MEMO_BYTES", 20_000)
+    monkeypatch.setattr(language_id, "HELD_CHARS", 1_000)
+    memo = language_id._Words(trained)
+    again = []
+    for text in texts:
+        again += language_id.judged(memo, [text])
+        assert memo.held < 20_000 + 40 * (600 + language_id.WORD_BYTES)
+    assert [one.lang for one in whole] == [one.lang for one in again]
+    assert [one.score for one in whole] == pytest.approx([one.score for one in again])
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("documents, attention", [(2048, 2048 ** 2), (5, 2048 ** 2), (2048, 900_000)])
+def test_placement_against_a_plain_loop(rule, documents, attention):
+    rng = random.Random(documents)
+    longest = int(min(2048, attention ** 0.5))
+    lengths = sorted([min(longest, int(rng.expovariate(1 / 500)) + 1) for _ in range(1500)], reverse=True)
+    capacity = (2048, documents, attention)
+    fast = packing.VectorBestFit(*capacity, rule)
+    sequences = []  # what is left, as shares, and the tokens used
+    for number, length in enumerate(lengths):
+        if number % 100 == 0:
+            fast.close_below(lengths[-1])
+        need = [length / capacity[0], 1 / capacity[1], length * length / capacity[2]]
+        costs = {}
+        for at, (left, _) in enumerate(sequences):
+            after = [x - y for x, y in zip(left, need)]
+            if min(after) > -1e-9:
+                costs[at] = (sum(w * x * x for w, x in zip(packing.WEIGHTS, after)) if rule == "norm"
+                             else -sum(w * y * x for w, x, y in zip(packing.WEIGHTS, left, need)))
+        chosen, offset = fast.place(length)
+        if not costs:
+            assert chosen == len(sequences)
+            sequences.append(([1.0, 1.0, 1.0], 0))
+        else:
+            assert costs[chosen] <= min(costs.values()) + 1e-12  # sums of floats may part equal ones
+        left, used = sequences[chosen]
+        assert offset == used
+        sequences[chosen] = [x - y for x, y in zip(left, need)], used + length
+
+
+def test_tokens_of_odd_texts():
+    """Texts learned together, one by one, and by the tokenizer itself."""
+    from tokenizers import Tokenizer
+    path = tokenizer_file(WORD_BPE)
+    whole = Tokenizer.from_file(path)
+    rng = random.Random(1)
+    texts = ["", " ", "don't WE'LL straße ÉTÉ 12,345 x_y", "<|endoftext|> a", "北京 text", "a" * 500 + " " + "b!" * 300,
+             *["".join(rng.choices("abcABCéÉß '!?._-0123456789\n\t", k=400)) for _ in range(60)]]
+    tokens = packing.WordTokens(path)
+    assert tokens.direct
+    expected = [whole.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in tokens.ids(texts)] == expected
+    assert [np.frombuffer(tokens.ids([text])[0], "<u4").tolist() for text in texts] == expected
+    assert max(map(len, tokens.known)) <= packing.LONG_WORD
 
 
 def test_language_of_odd_rows(spark, trained, odd_documents, odd_rows, no_documents):
