@@ -8,11 +8,12 @@ document and item are laid side by side: a question asked anew with other number
 names replaces each value by one other value throughout, so a value with two
 replacements refutes the match.
 
-All of it is column functions, explodes and joins. A document leaks an item if on one
-line at least 6 windows match (all, of an item with fewer) and the slots agree. Windows
-with less than half literal words are too common to prove anything and are left out;
-items shorter than a window are one window of their own length, from 5 tokens on (of
-plain tokens from 3 on).
+All of it is column functions, explodes and joins. A text is cut into tokens once per reading, the
+tokens are hashed, and windows are hashes of these numbers. A document leaks an item if within
+`DRIFT` places of one line at least 6 windows match (all, of an item with fewer) and the slots agree:
+a few words put in or left out move what follows to a near line. Windows with less than half
+literal words are too common to prove anything and are left out; items shorter than a window
+are one window of their own length, from 5 tokens on (of plain tokens from 3 on).
 
 Texts are read in three ways, and a document leaks an item that it leaks in any of them
 (the row is of the first way that finds the pair):
@@ -22,11 +23,14 @@ Texts are read in three ways, and a document leaks an item that it leaks in any
             break, so that a question with other names at sentence starts has one template;
 * `PLAIN`   lower-case words and numbers as they are, without slots: verbatim copies, in any
             case and behind any words. No share of literal words is asked for, operators
-            are tokens, too, and scripts without spaces are read by character; items from
-            3 such tokens on are matched.
+            are tokens, too, and scripts without spaces are read by character.
 
-NULL texts match nothing. Rows without doc_id and repeated rows are judged by their
-own text; equal rows give one result row.
+In the first two, numbers may be written as words. Items of one or two plain tokens are too short to
+tell from common words: a document leaks one (`SHORT`) that has a line of its own with just these tokens.
+Items without any token match nothing.
+
+NULL texts match nothing. Very long texts are read whole. Rows without doc_id and repeated rows are
+judged by their own text; equal rows give one result row.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 
 from harrow.llm.common import only, without
 from harrow.operators.joins import spread_join
-from harrow.session import fits_broadcast, stored
+from harrow.session import fits_broadcast, hinted, stored
 
 WINDOW = 8
 LEAST_WINDOWS = 6
@@ -48,11 +52,17 @@ UNITS = (
     "% $ € £ ° km cm mm kg mg lb lbs oz ml kwh mph kmh usd eur gbp meter meters metre metres mile miles "
     "gram grams litre litres liter liters dollar dollars euro euros percent degrees"
 ).split()
-OPEN, CLOSE = "\ue000", "\ue001"
-NAMES = r"([\p{Ll}0-9,;]) (\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
-ALL_NAMES = r"(?<![\p{L}\p{M}])(\p{Lu}[\p{Ll}\p{M}]+(?: \p{Lu}[\p{Ll}\p{M}]+)*)(?![\p{L}\p{M}])"
-TYPED, NAMED, PLAIN = 0, 1, 2
-TOKENS = f"{OPEN}[^{CLOSE}]*{CLOSE}|[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*|[%$€£°]"
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
+    "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
+TYPED, NAMED, PLAIN, SHORT = 0, 1, 2, 3
+_WORD_OR_VALUE = r"[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[%$€£°]"
+_NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:\s+\p{Lu}[\p{Ll}\p{M}]+)*"
+# A name behind a word begins with the space before it.
+TYPED_TOKENS = rf"(?<=[\p{{Ll}}0-9,;]) \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*|{_WORD_OR_VALUE}"
+NAMED_TOKENS = rf"{_NAME}(?![\p{{L}}\p{{M}}])|{_WORD_OR_VALUE}"
+DRIFT = 4
 
 # Read by character: scripts that put no spaces between words.
 UNSPACED = "".join(f"\\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
@@ -62,32 +72,37 @@ PLAIN_TOKENS = (
 
 
 def raw_tokens(text: Column, way: int = TYPED) -> Column:
-    if way == TYPED:
-        text = F.regexp_replace(text, NAMES, f"$1 {OPEN}$2{CLOSE}")
-    elif way == NAMED:
-        text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), ALL_NAMES, f"{OPEN}$1{CLOSE}")
-    return F.regexp_extract_all(text, F.lit(PLAIN_TOKENS if way == PLAIN else TOKENS), F.lit(0))
+    pattern = {TYPED: TYPED_TOKENS, NAMED: NAMED_TOKENS}.get(way, PLAIN_TOKENS)
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def template_token(token: Column) -> Column:
+def template_token(token: Column, way: int) -> Column:
+    """The placeholder or lower-case word of a token."""
     lower = F.lower(token)
+    if way == PLAIN:
+        return lower
+    is_name = token.startswith(" ") if way == TYPED else (lower != token) & token.rlike(f"^{_NAME}$")
     return (
-        F.when(token.startswith(OPEN), F.lit(NAME))
-        .when((F.substring(token, 1, 1) >= "0") & (F.substring(token, 1, 1) <= "9"), F.lit(NUMBER))
-        .when(lower.isin(UNITS), F.lit(UNIT)).otherwise(lower)
+        F.when(is_name, F.lit(NAME)).when((token >= "0") & (token < ":"), F.lit(NUMBER))
+        .when(lower.isin(NUMBER_WORDS), F.lit(NUMBER)).when(lower.isin(UNITS), F.lit(UNIT)).otherwise(lower)
     )
 
 
+def slot_value(token: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(token, r"\s+", " ")))
+
+
 def with_templates(rows: DataFrame, way: int = TYPED) -> DataFrame:
     """Adds `raw` and `template`, token by token."""
     return rows.withColumn("raw", raw_tokens(F.col("text"), way)).withColumn(
-        "template", F.transform("raw", F.lower if way == PLAIN else template_token))
+        "template", F.transform("raw", lambda token: template_token(token, way)))
 
 
-def window_hashes(template: Column, length: int) -> Column:
-    places = F.sequence(F.lit(1), F.size(template) - length + 1)
-    hashes = F.transform(places, lambda at: F.xxhash64(F.slice(template, at, length)))
-    return F.when(F.size(template) >= length, hashes).otherwise(F.array().cast("array<bigint>"))
+def window_hashes(hashes: Column, length: int) -> Column:
+    """One hash for each run of `length` hashed tokens."""
+    places = F.sequence(F.lit(1), F.size(hashes) - length + 1)
+    windows = F.transform(places, lambda at: F.xxhash64(F.slice(hashes, at, length)))
+    return F.when(F.size(hashes) >= length, windows).otherwise(F.array().cast("array<bigint>"))
 
 
 def is_literal(token: Column) -> Column:
@@ -102,27 +117,43 @@ def item_windows(items: DataFrame, way: int = TYPED) -> DataFrame:
     window = placed.withColumn("_w", F.slice("template", F.col("item_at"), F.col("length")))
     if way != PLAIN:
         window = window.filter(F.size(F.filter("_w", is_literal)) * 2 >= F.col("length"))
-    return window.select(
-        "item_id", "item_key", "length", "item_at", F.xxhash64("_w").alias("hash"))
-
-
-def window_matches(documents: DataFrame, index: DataFrame, lengths: list[int]) -> DataFrame:
-    """`(doc_id, doc_key, item_id, item_key, item_at, line)` for every equal window."""
-    parts = documents.select("doc_id", F.xxhash64("text").alias("doc_key"), "template")
-    found = None
-    for length in lengths:
-        own = parts.select("doc_id", "doc_key", F.posexplode(window_hashes(F.col("template"), length)).alias("at", "hash"))
-        wanted = index.filter(F.col("length") == length).drop("length")
-        if fits_broadcast(wanted):
-            met = own.join(F.broadcast(wanted), "hash")
-        else:
-            held = own.join(wanted.select("hash").distinct(), "hash", "left_semi")
-            uses = held.groupBy("hash").agg(F.count(F.lit(1)).alias("uses"))
-            met = spread_join(own, wanted.join(uses, "hash"), "hash", "uses", "doc_key", fits=False)
-        met = met.select("doc_id", "doc_key", "item_id", "item_key", "item_at",
-                         (F.col("at") + 1 - F.col("item_at")).alias("line"))
-        found = met if found is None else found.unionByName(met)
-    return found
+    hashed = F.xxhash64(F.transform("_w", lambda token: F.xxhash64(token)))
+    return window.select("item_id", "item_key", "length", "item_at", hashed.alias("hash"))
+
+
+def window_matches(documents: DataFrame, index: DataFrame, lengths: list[int], way: int) -> DataFrame:
+    """`(doc_id, doc_key, item_id, item_key, item_at, line)` for every equal window; each text is read once."""
+    tokens = F.transform(raw_tokens(F.col("text"), way), lambda token: F.xxhash64(template_token(token, way)))
+    parts = documents.select("doc_id", F.xxhash64("text").alias("doc_key"), tokens.alias("tokens"))
+    # windows of all lengths in a row: those of one length are padded to the number of tokens
+    n = F.size("tokens")
+    padded = [
+        F.concat(window_hashes(F.col("tokens"), length),
+                 F.array_repeat(F.lit(None).cast("long"), F.least(n, F.lit(length - 1)))) for length in lengths
+    ]
+    own = parts.select("doc_id", "doc_key", n.alias("n"), F.posexplode(F.concat(*padded)).alias("at", "hash"))
+    own = own.filter("hash IS NOT NULL").select(
+        "doc_id", "doc_key", "hash", (F.col("at") % F.col("n")).alias("at"))
+    wanted = index.drop("length")
+    if fits_broadcast(wanted):
+        met = own.join(F.broadcast(wanted), "hash")
+    else:
+        held = own.join(wanted.select("hash").distinct(), "hash", "left_semi")
+        uses = held.groupBy("hash").agg(F.count(F.lit(1)).alias("uses"))
+        met = spread_join(own, wanted.join(uses, "hash"), "hash", "uses", "doc_key", fits=False)
+    return met.select("doc_id", "doc_key", "item_id", "item_key", "item_at",
+                      (F.col("at") + 1 - F.col("item_at")).alias("line"))
+
+
+def near_lines(matches: DataFrame, pair: list[str]) -> DataFrame:
+    """`places(item_at, line)` of the windows on lines that lie near one another, each window once.
+
+    Lines are taken in overlapping bands, twice as wide as the drift that is always bridged.
+    """
+    band = F.floor(F.col("line") / DRIFT)
+    banded = matches.withColumn("band", F.explode(F.array(band, band - 1)))
+    places = banded.groupBy(*pair, "band", "item_at").agg(F.min("line").alias("line"))
+    return places.groupBy(*pair, "band").agg(F.collect_list(F.struct("item_at", "line")).alias("places"))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -139,6 +170,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     for way in (TYPED, NAMED, PLAIN):
         own = leaks_read(texts, asked, way).withColumn("way", F.lit(way))
         found = own if found is None else found.unionByName(own)
+    found = found.unionByName(short_leaks(texts, asked).withColumn("way", F.lit(SHORT)))
     pair = ["doc_id", "doc_key", "item_id"]
     counts = [name for name in found.columns if name not in (*pair, "way")]
     return found.groupBy(*pair).agg(F.min_by(F.struct(*counts), "way").alias("b")).select(
@@ -152,8 +184,7 @@ def leaks_read(texts: DataFrame, asked: DataFrame, way: int) -> DataFrame:
     sizes = index.groupBy("item_id", "item_key", "length").agg(F.count(F.lit(1)).alias("n_windows"))
     lengths = sorted(row["length"] for row in index.select("length").distinct().collect())  # WINDOW values at most
     pair = ["doc_id", "doc_key", "item_id", "item_key"]
-    matches = window_matches(with_templates(texts, way), index, lengths or [WINDOW])
-    lines = matches.groupBy(*pair, "line").agg(F.collect_set("item_at").alias("places"))
+    lines = near_lines(window_matches(texts, index, lengths or [WINDOW], way), pair)
     if fits_broadcast(sizes):
         sizes = F.broadcast(sizes)
     strong = lines.join(sizes, ["item_id", "item_key"]).withColumn("n_matched", F.size("places"))
@@ -165,6 +196,22 @@ def leaks_read(texts: DataFrame, asked: DataFrame, way: int) -> DataFrame:
                        F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed"))
 
 
+def short_leaks(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of `leaks` of items with fewer plain tokens than a window needs: lines that are the item."""
+    def plain(text):
+        return F.lower(F.array_join(raw_tokens(text, PLAIN), " "))
+
+    items = stored(asked.select("item_id", plain(F.col("text")).alias("line"), F.size(raw_tokens(F.col("text"), PLAIN)).alias("n"))
+                   .filter((F.col("n") > 0) & (F.col("n") < LEAST_PLAIN)).select("item_id", "line"), "short-items")
+    if items.isEmpty():
+        texts = texts.limit(0)  # no text need be read
+    lines = texts.select("doc_id", F.xxhash64("text").alias("doc_key"), F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.select("doc_id", "doc_key", plain(F.col("line")).alias("line")).filter("line <> ''")
+    met = lines.join(hinted(items), "line").select("doc_id", "doc_key", "item_id").distinct()
+    one, none = F.lit(1), F.lit(0)
+    return met.select("*", one.alias("n_matched"), one.cast("long").alias("n_windows"), none.alias("n_slots"), none.alias("n_changed"))
+
+
 def slots_agree(lines: DataFrame, texts: DataFrame, items: DataFrame, way: int = TYPED) -> DataFrame:
     """The lines on which no slot value of the item has two replacements, best line per pair."""
     keyed = texts.select(F.xxhash64("text").alias("doc_key"), "text")
@@ -172,18 +219,19 @@ def slots_agree(lines: DataFrame, texts: DataFrame, items: DataFrame, way: int =
     own = only(keyed, uses, "doc_key").dropDuplicates(["doc_key"]).join(uses, "doc_key")
     rows = spread_join(
         lines, stored(own.select("doc_key", "uses", raw_tokens(F.col("text"), way).alias("doc_raw")), "leaking-tokens"),
-        "doc_key", "uses", "line",
+        "doc_key", "uses", "band",
     )
     asked = items.select("item_id", "item_key", F.col("raw").alias("item_raw"), "template")
     if fits_broadcast(asked):
         asked = F.broadcast(asked)
     rows = rows.join(asked, ["item_id", "item_key"])
-    covered = F.array_distinct(F.flatten(F.transform(
-        "places", lambda at: F.sequence(at, at + F.col("length") - 1))))
-    slots = F.filter(covered, lambda at: ~is_literal(F.get("template", at - 1)))
-    rows = rows.withColumn("_slots", slots).withColumn("_pairs", F.transform("_slots", lambda at: F.struct(
-        F.lower(F.get("item_raw", at - 1)).alias("asked"),
-        F.lower(F.get("doc_raw", (at + F.col("line") - 1).cast("int"))).alias("found"))))
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform(
+        F.sequence(p["item_at"], p["item_at"] + F.col("length") - 1),
+        lambda at: F.struct(at.alias("at"), p["line"].alias("line"))))))
+    slots = F.filter(covered, lambda slot: ~is_literal(F.get("template", slot["at"] - 1)))
+    rows = rows.withColumn("_slots", slots).withColumn("_pairs", F.transform("_slots", lambda slot: F.struct(
+        slot_value(F.get("item_raw", slot["at"] - 1)).alias("asked"),
+        slot_value(F.get("doc_raw", (slot["at"] + slot["line"] - 1).cast("int"))).alias("found"))))
     one_each = F.size(F.array_distinct("_pairs")) == F.size(F.array_distinct(F.transform("_pairs", lambda p: p["asked"])))
     changed = F.size(F.filter("_pairs", lambda p: p["asked"] != p["found"]))
     return rows.filter(one_each).groupBy("doc_id", "doc_key", "item_id").agg(

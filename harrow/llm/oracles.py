@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from harrow.llm.decontamination import (
-    CLOSE, LEAST_TOKENS, LEAST_WINDOWS, NAME, NAMES, NUMBER, OPEN, TOKENS, UNIT, UNITS, WINDOW,
+    DRIFT, LEAST_PLAIN, LEAST_TOKENS, LEAST_WINDOWS, NAME, NUMBER, NUMBER_WORDS, UNIT, UNITS, WINDOW,
 )
 from harrow.llm.shards import SHARDS, TOLERANCE
 from harrow.llm.url_rules import PATTERNS, RULES
@@ -80,50 +80,107 @@ FROM marked GROUP BY doc_id
 _PLACEHOLDERS = f"('{NUMBER}', '{NAME}', '{UNIT}')"
 
 
-def _templates(table: str, key: str) -> str:
-    units = ", ".join(f"'{unit}'" for unit in UNITS)
-    marked = f"regexp_replace(text, '{NAMES}', '\\1 {OPEN}\\2{CLOSE}', 'g')"
+def _in(words: list[str]) -> str:
+    return ", ".join(f"'{word}'" for word in words)
+
+
+def _template(name: str) -> str:
+    """The placeholder or word of token `x`."""
+    return f"""CASE WHEN {name} THEN '{NAME}' WHEN x[1] BETWEEN '0' AND '9' THEN '{NUMBER}'
+      WHEN lower(x) IN ({_in(NUMBER_WORDS)}) THEN '{NUMBER}' WHEN lower(x) IN ({_in(UNITS)}) THEN '{UNIT}' ELSE lower(x) END"""
+
+
+_WORD = "[\\p{L}\\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[%$€£°]"
+_UNSPACED = "[\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Thai}\\p{Lao}\\p{Khmer}\\p{Myanmar}]\\p{M}*"
+
+
+def _typed(table: str, key: str) -> str:
+    """Names behind a word, a digit or a comma are marked in the text first."""
+    names = "([\\p{Ll}0-9,;]) (\\p{Lu}\\p{Ll}+(?: \\p{Lu}\\p{Ll}+)*)"
     return f"""
-  SELECT {key}, raw, list_transform(raw, lambda t: CASE WHEN starts_with(t, '{OPEN}') THEN '{NAME}'
-    WHEN t[1] BETWEEN '0' AND '9' THEN '{NUMBER}' WHEN lower(t) IN ({units}) THEN '{UNIT}' ELSE lower(t) END) AS t
-  FROM (SELECT {key}, regexp_extract_all({marked}, '{TOKENS}') AS raw
-        FROM (SELECT DISTINCT {key}, text FROM {table} WHERE text IS NOT NULL))"""
+  SELECT {key}, list_transform(o, lambda x: trim(x, '\ue000\ue001')) AS raw,
+    list_transform(o, lambda x: {_template("x[1] = '\ue000'")}) AS t
+  FROM (SELECT {key}, regexp_extract_all(regexp_replace(text, '{names}', '\\1 \ue000\\2\ue001', 'g'),
+    '\ue000[^\ue001]*\ue001|{_WORD}') AS o FROM (SELECT DISTINCT {key}, text FROM {table} WHERE text IS NOT NULL))"""
 
 
-BENCHMARK_LEAKS = f"""
-WITH docs AS ({_templates("documents", "doc_id")}),
-items AS (SELECT *, least(len(t), {WINDOW}) AS size FROM ({_templates("benchmark", "item_id")})),
-item_windows AS (
-  SELECT item_id, size, place, w FROM (
-    SELECT item_id, size, place, t[place:place + size - 1] AS w
-    FROM (SELECT *, unnest(range(1, len(t) - size + 2)) AS place FROM items WHERE size >= {LEAST_TOKENS}))
-  WHERE 2 * len(list_filter(w, lambda x: x NOT IN {_PLACEHOLDERS})) >= size
-), sizes AS (SELECT item_id, count(*) AS n_windows FROM item_windows GROUP BY item_id),
-lengths AS (SELECT DISTINCT size FROM item_windows),
-doc_windows AS (
-  SELECT doc_id, size, place, t[place:place + size - 1] AS w
-  FROM (SELECT *, unnest(range(1, len(t) - size + 2)) AS place FROM docs, lengths WHERE len(t) >= size)
-), matched AS (
-  SELECT doc_id, item_id, size, i.place AS place, d.place - i.place AS line
-  FROM doc_windows d JOIN item_windows i USING (size, w)
-), lines AS (
-  SELECT doc_id, item_id, size, line, list(DISTINCT place) AS places FROM matched GROUP BY ALL
-), strong AS (
-  SELECT lines.*, n_windows, list_filter(list_distinct(flatten(list_transform(places, lambda p: range(p, p + lines.size)))),
-    lambda n: items.t[n] IN {_PLACEHOLDERS}) AS slots, items.raw AS item_raw, docs.raw AS doc_raw
-  FROM lines JOIN sizes USING (item_id) JOIN items USING (item_id) JOIN docs USING (doc_id)
-  WHERE len(places) >= least(n_windows, {LEAST_WINDOWS})
-), paired AS (
-  SELECT *, list_transform(slots, lambda n: {{'asked': lower(item_raw[n]), 'found': lower(doc_raw[n + line])}}) AS pairs
-  FROM strong
-), agreeing AS (
+def _named(table: str, key: str) -> str:
+    """Capitalised words with nothing but white space between them are put together, row by row."""
+    return f"""
+  SELECT {key}, list(x ORDER BY pos) AS raw, list({_template("named")} ORDER BY pos) AS t FROM (
+    SELECT {key}, n, run, min(pos) AS pos, string_agg(x, ' ' ORDER BY pos) AS x, bool_or(named) AS named FROM (
+      SELECT *, sum(CASE WHEN (named AND apart AND before) OR regexp_full_match(x, '\\s+') THEN 0 ELSE 1 END) OVER (PARTITION BY n ORDER BY pos) AS run FROM (
+        SELECT *, lag(regexp_full_match(x, '\\s+')) OVER w AS apart, lag(named, 2) OVER w AS before FROM (
+          SELECT *, regexp_full_match(x, '\\p{{Lu}}[\\p{{Ll}}\\p{{M}}]+') AS named FROM (
+            SELECT {key}, n, unnest(o) AS x, generate_subscripts(o, 1) AS pos FROM (
+              SELECT {key}, row_number() OVER () AS n, regexp_extract_all(text, '{_WORD}|\\s+|.') AS o
+              FROM (SELECT DISTINCT {key}, text FROM {table} WHERE text IS NOT NULL)))) WINDOW w AS (PARTITION BY n ORDER BY pos)))
+    WHERE regexp_full_match(x, '{_WORD}') GROUP BY {key}, n, run) GROUP BY {key}, n"""
+
+
+def _plain(table: str, key: str) -> str:
+    spaced = f"regexp_replace(text, '({_UNSPACED})', ' \\1 ', 'g')"
+    return f"""
+  SELECT {key}, o AS raw, list_transform(o, lambda x: lower(x)) AS t
+  FROM (SELECT {key}, regexp_extract_all({spaced},
+    '{_UNSPACED}|[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*|\\p{{Nd}}+|[-%*/^]|\\p{{Sm}}|\\p{{Sc}}|°') AS o
+    FROM (SELECT DISTINCT {key}, text FROM {table} WHERE text IS NOT NULL))"""
+
+
+def _reading(name: str, tokens, least: int, slots: bool) -> str:
+    provable = f"WHERE 2 * len(list_filter(w, lambda x: x NOT IN {_PLACEHOLDERS})) >= size" if slots else ""
+    placeholder = f"items.t[n] IN {_PLACEHOLDERS}" if slots else "FALSE"
+    return f"""
+{name} AS (
+  WITH docs AS ({tokens("documents", "doc_id")}),
+  items AS (SELECT *, least(len(t), {WINDOW}) AS size FROM ({tokens("benchmark", "item_id")})),
+  item_windows AS (
+    SELECT item_id, size, place, w FROM (
+      SELECT item_id, size, place, t[place:place + size - 1] AS w
+      FROM (SELECT *, unnest(range(1, len(t) - size + 2)) AS place FROM items WHERE size >= {least})) {provable}
+  ), sizes AS (SELECT item_id, count(*) AS n_windows FROM item_windows GROUP BY item_id),
+  lengths AS (SELECT DISTINCT size FROM item_windows),
+  doc_windows AS (
+    SELECT doc_id, size, place, t[place:place + size - 1] AS w
+    FROM (SELECT *, unnest(range(1, len(t) - size + 2)) AS place FROM docs, lengths WHERE len(t) >= size)
+  ), matched AS (
+    SELECT doc_id, item_id, size, i.place AS place, d.place - i.place AS line
+    FROM doc_windows d JOIN item_windows i USING (size, w)
+  ), placed AS (
+    SELECT doc_id, item_id, size, band, place, min(line) AS line
+    FROM (SELECT *, unnest([floor(line / {DRIFT}.0), floor(line / {DRIFT}.0) - 1]) AS band FROM matched) GROUP BY doc_id, item_id, size, band, place
+  ), near AS (
+    SELECT doc_id, item_id, size, band, list(struct_pack(place := place, line := line)) AS places FROM placed GROUP BY ALL
+  ), strong AS (
+    SELECT near.*, n_windows, list_filter(list_distinct(flatten(list_transform(places, lambda p: list_transform(
+      range(p.place, p.place + near.size), lambda n: struct_pack(n := n, line := p.line))))),
+      lambda s: {placeholder.replace("[n]", "[s.n]")}) AS slots, items.raw AS item_raw, docs.raw AS doc_raw
+    FROM near JOIN sizes USING (item_id) JOIN items USING (item_id) JOIN docs USING (doc_id)
+    WHERE len(places) >= least(n_windows, {LEAST_WINDOWS})
+  ), paired AS (
+    SELECT *, list_transform(slots, lambda s: {{'asked': lower(item_raw[s.n]), 'found': lower(doc_raw[s.n + s.line])}}) AS pairs
+    FROM strong
+  )
   SELECT doc_id, item_id, len(places) AS n_matched, n_windows, len(slots) AS n_slots,
     len(list_filter(pairs, lambda p: p.asked <> p.found)) AS n_changed
   FROM paired WHERE len(list_distinct(pairs)) = len(list_distinct(list_transform(pairs, lambda p: p.asked)))
+  QUALIFY row_number() OVER (
+    PARTITION BY doc_id, item_id ORDER BY n_matched DESC, n_changed, n_windows DESC, n_slots DESC) = 1
+)"""
+
+
+BENCHMARK_LEAKS = f"""
+WITH {_reading("typed", _typed, LEAST_TOKENS, True)}, {_reading("named", _named, LEAST_TOKENS, True)},
+{_reading("plain", _plain, LEAST_PLAIN, False)}, short AS (
+  SELECT DISTINCT doc_id, item_id FROM ({_plain("benchmark", "item_id")}) i JOIN ({_plain(
+    "(SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)", "doc_id")}) d ON d.t = i.t
+  WHERE len(i.t) BETWEEN 1 AND {LEAST_PLAIN - 1}
+), every AS (
+  SELECT *, 0 AS way FROM typed UNION ALL SELECT *, 1 FROM named UNION ALL SELECT *, 2 FROM plain
+  UNION ALL SELECT doc_id, item_id, 1, 1, 0, 0, 3 FROM short
 )
 SELECT doc_id, item_id, n_matched::INTEGER AS n_matched, n_windows, n_slots::INTEGER AS n_slots, n_changed::INTEGER AS n_changed
-FROM agreeing QUALIFY row_number() OVER (
-  PARTITION BY doc_id, item_id ORDER BY n_matched DESC, n_changed, n_windows DESC, n_slots DESC) = 1
+FROM every QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY way) = 1
 """
 
 # CRC-32 by its table: needs `crc_table` in FROM

@@ -1,6 +1,9 @@
 """Leaks that depend on what stands before a name, on case, on lines and on numbers."""
 
+import duckdb
+
 from harrow.llm import decontamination
+from harrow.llm.oracles import BENCHMARK_LEAKS
 
 ITEMS = [
     (1, "Alice buys 5 apples and 3 pears. Alice eats 2 of them before lunch. How many are left?"),
@@ -18,12 +21,27 @@ TEXTS = [
 ]
 
 
+def twin(texts, items):
+    """What the SQL finds; slot counts and windows as well."""
+    connection = duckdb.connect()
+    for table, key, rows in (("documents", "doc_id", [row[:2] for row in texts]), ("benchmark", "item_id", items)):
+        connection.execute(f"CREATE TABLE {table} ({key} BIGINT, text VARCHAR)")
+        connection.executemany(f"INSERT INTO {table} VALUES (?, ?)", rows)
+    cursor = connection.execute(BENCHMARK_LEAKS)
+    columns = [column[0] for column in cursor.description]
+    return sorted(tuple(dict(zip(columns, row))[name] for name in NAMES) for row in cursor.fetchall())
+
+
+NAMES = ["doc_id", "item_id", "n_matched", "n_windows", "n_slots", "n_changed"]
+
+
 def found(spark, texts, items):
     documents = spark.createDataFrame([row[:2] for row in texts], "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     rows = decontamination.leak_report(documents, benchmark).collect()
     pairs = {(r["doc_id"], r["item_id"]) for r in rows}
     assert len(rows) == len(pairs)
+    assert sorted(tuple(row[name] for name in NAMES) for row in rows) == twin(texts, items)
     kept = {r["doc_id"] for r in decontamination.without_leaks(documents, benchmark).collect()}
     assert kept == {row[0] for row in texts} - {doc_id for doc_id, _ in pairs}
     return pairs
@@ -48,3 +66,20 @@ SHORT_TEXTS = [
 
 def test_numbers_and_scripts_without_spaces(spark):
     assert found(spark, SHORT_TEXTS, SHORT) == {(doc_id, item) for doc_id, _, item in SHORT_TEXTS if item}
+
+
+NEW = [
+    (30, "How many legs do two spiders and three horses and one small dog have when they stand together"),
+    (31, "The quick river runs slowly past seven old broken stone bridges before it meets the cold sea near a quiet harbour town"),
+    (32, "Photosynthesis?"), (33, "!!!"), (34, "Hamlet's"),
+]
+NEW_TEXTS = [
+    (40, "How many legs do five spiders and nine horses and four small dog have when they stand together", 30),
+    (41, "How many legs do 5 spiders and 9 horses and 4 small dog have when they stand together", 30),
+    (42, "The quick river runs slowly past seven old broken stone bridges just shortly before it meets the cold sea near a quiet harbour town", 31),
+    (43, "we learn what photosynthesis is", None), (44, "1)\nPHOTOSYNTHESIS!\nend", 32), (45, "!!!", None),
+]
+
+
+def test_number_words_inserted_words_and_short_items(spark):
+    assert found(spark, NEW_TEXTS, NEW) == {(doc_id, item) for doc_id, _, item in NEW_TEXTS if item}

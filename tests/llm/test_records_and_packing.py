@@ -399,7 +399,7 @@ TEXTS = [
     (None, ITEMS[1][1]), (11, ITEMS[1][1] + " . " + ITEMS[1][1]), (11, ITEMS[1][1] + " . " + ITEMS[1][1]),
     (12, "filler " * 30_000 + ITEMS[1][1]), (13, "the the the the the the the the 1 2 3 4 5 6 7 8 9"),
 ]
-LEAKING = {(1, 1), (2, 1), (3, 2), (5, 3), (9, 7), (None, 2), (11, 2), (12, 2)}
+LEAKING = {(1, 1), (2, 1), (3, 2), (5, 3), (6, 4), (9, 7), (None, 2), (11, 2), (12, 2)}  # 6: a line of its own
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
@@ -415,7 +415,7 @@ def test_leaks(spark, request, broadcast):
     assert changed[(1, 1)] == 0 and changed[(2, 1)] >= 4 and changed[(9, 7)] == 3
     kept = decontamination.without_leaks(documents, benchmark)
     assert kept.columns == documents.columns
-    assert {r["doc_id"] for r in kept.collect()} == {4, 6, 7, 8, 10, 13}
+    assert {r["doc_id"] for r in kept.collect()} == {4, 7, 8, 10, 13}
     assert decontamination.leak_report(documents.limit(0), benchmark).count() == 0
     assert decontamination.leak_report(documents, benchmark.limit(0)).count() == 0
 
