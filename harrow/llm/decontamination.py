@@ -46,6 +46,8 @@ WINDOW = 8
 LEAST_WINDOWS = 6
 LEAST_TOKENS = 5
 LEAST_PLAIN = 3
+# Openings of windows that the plan may hold as literals; with more, every place of a text is looked up.
+MAX_OPENINGS = 50_000
 # Placeholders, unit words, and the shape of tokens and names.
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 UNITS = (
@@ -57,7 +59,12 @@ NUMBER_WORDS = (
     "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 ).split()
 TYPED, NAMED, PLAIN, SHORT = 0, 1, 2, 3
-_WORD_OR_VALUE = r"[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[%$€£°]"
+# Letters of the usual alphabets first: the classes of all letters are slow to ask.
+_USUAL = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+_OTHER = r"(?=[^\x00-\x7F])"
+_WORD_OR_VALUE = (
+    rf"[{_USUAL}]++(?:{_OTHER}[\p{{L}}\p{{M}}]++)?|[0-9]+(?:[.,][0-9]+)*|[%$]|{_OTHER}(?:[\p{{L}}\p{{M}}]+|[€£°])"
+)
 _NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:\s+\p{Lu}[\p{Ll}\p{M}]+)*"
 # A name behind a word begins with the space before it.
 TYPED_TOKENS = rf"(?<=[\p{{Ll}}0-9,;]) \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*|{_WORD_OR_VALUE}"
@@ -66,8 +73,10 @@ DRIFT = 4
 
 # Read by character: scripts that put no spaces between words.
 UNSPACED = "".join(f"\\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+_SPACED = f"[\\p{{L}}\\p{{M}}&&[^{UNSPACED}]]"
 PLAIN_TOKENS = (
-    f"[{UNSPACED}&&[\\p{{L}}\\p{{N}}]]\\p{{M}}*|[\\p{{L}}\\p{{M}}&&[^{UNSPACED}]]+|[0-9]+(?:[.,][0-9]+)*|\\p{{Nd}}+|[-%*/^]|\\p{{Sm}}|\\p{{Sc}}|°"
+    rf"[{_USUAL}]++(?:{_OTHER}{_SPACED}++)?|[0-9]+(?:[.,][0-9]+)*|[-%*/^+<=>|~$]"
+    rf"|{_OTHER}(?:[{UNSPACED}&&[\p{{L}}\p{{N}}]]\p{{M}}*|{_SPACED}+|\p{{Nd}}+|\p{{Sm}}|\p{{Sc}}|°)"
 )
 
 
@@ -98,11 +107,18 @@ def with_templates(rows: DataFrame, way: int = TYPED) -> DataFrame:
         "template", F.transform("raw", lambda token: template_token(token, way)))
 
 
-def window_hashes(hashes: Column, length: int) -> Column:
-    """One hash for each run of `length` hashed tokens."""
-    places = F.sequence(F.lit(1), F.size(hashes) - length + 1)
-    windows = F.transform(places, lambda at: F.xxhash64(F.slice(hashes, at, length)))
-    return F.when(F.size(hashes) >= length, windows).otherwise(F.array().cast("array<bigint>"))
+def window_hash(tokens: Column, at: Column, length: int) -> Column:
+    """The hash of the run of `length` hashed tokens from `at` on; NULL where the text ends before."""
+    run = F.xxhash64(*[F.get(tokens, at + (step - 1)) for step in range(length)])
+    return F.when(F.size(tokens) >= at + (length - 1), run)
+
+
+def begins(tokens: Column, openings: list[int] | None) -> Column:
+    """The places where a window may begin: of those whose two first tokens open a window of the benchmark."""
+    places = F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+    if openings is None:
+        return places
+    return F.filter(places, lambda at: F.xxhash64(F.get(tokens, at - 1), F.get(tokens, at)).isin(openings))
 
 
 def is_literal(token: Column) -> Column:
@@ -117,24 +133,26 @@ def item_windows(items: DataFrame, way: int = TYPED) -> DataFrame:
     window = placed.withColumn("_w", F.slice("template", F.col("item_at"), F.col("length")))
     if way != PLAIN:
         window = window.filter(F.size(F.filter("_w", is_literal)) * 2 >= F.col("length"))
-    hashed = F.xxhash64(F.transform("_w", lambda token: F.xxhash64(token)))
-    return window.select("item_id", "item_key", "length", "item_at", hashed.alias("hash"))
+    # like `window_hash`: the tokens of shorter windows are followed by NULL, which changes no hash
+    tokens = window.withColumn("_t", F.transform("_w", lambda token: F.xxhash64(token)))
+    run = F.xxhash64(*[F.get("_t", F.lit(step)) for step in range(WINDOW)])
+    return tokens.select("item_id", "item_key", "length", "item_at", run.alias("hash"),
+                         F.xxhash64(F.get("_t", F.lit(0)), F.get("_t", F.lit(1))).alias("opening"))
 
 
 def window_matches(documents: DataFrame, index: DataFrame, lengths: list[int], way: int) -> DataFrame:
     """`(doc_id, doc_key, item_id, item_key, item_at, line)` for every equal window; each text is read once."""
     tokens = F.transform(raw_tokens(F.col("text"), way), lambda token: F.xxhash64(template_token(token, way)))
     parts = documents.select("doc_id", F.xxhash64("text").alias("doc_key"), tokens.alias("tokens"))
-    # windows of all lengths in a row: those of one length are padded to the number of tokens
-    n = F.size("tokens")
-    padded = [
-        F.concat(window_hashes(F.col("tokens"), length),
-                 F.array_repeat(F.lit(None).cast("long"), F.least(n, F.lit(length - 1)))) for length in lengths
-    ]
-    own = parts.select("doc_id", "doc_key", n.alias("n"), F.posexplode(F.concat(*padded)).alias("at", "hash"))
-    own = own.filter("hash IS NOT NULL").select(
-        "doc_id", "doc_key", "hash", (F.col("at") % F.col("n")).alias("at"))
-    wanted = index.drop("length")
+    openings = index.select("opening").distinct().limit(MAX_OPENINGS + 1).collect()
+    known = [row["opening"] for row in openings] if len(openings) <= MAX_OPENINGS else None
+    # explode_outer: the filter that an inner explode implies would be evaluated below, tokens and all, once more
+    placed = parts.withColumn("places", begins(F.col("tokens"), known))
+    windows = F.flatten(F.transform("places", lambda at: F.array(*[
+        F.struct(at.alias("at"), window_hash(F.col("tokens"), at, length).alias("hash")) for length in lengths])))
+    own = placed.select("doc_id", "doc_key", F.explode_outer(windows).alias("w")).select(
+        "doc_id", "doc_key", "w.hash", "w.at").filter("hash IS NOT NULL")
+    wanted = index.drop("length", "opening")
     if fits_broadcast(wanted):
         met = own.join(F.broadcast(wanted), "hash")
     else:
@@ -142,7 +160,7 @@ def window_matches(documents: DataFrame, index: DataFrame, lengths: list[int], w
         uses = held.groupBy("hash").agg(F.count(F.lit(1)).alias("uses"))
         met = spread_join(own, wanted.join(uses, "hash"), "hash", "uses", "doc_key", fits=False)
     return met.select("doc_id", "doc_key", "item_id", "item_key", "item_at",
-                      (F.col("at") + 1 - F.col("item_at")).alias("line"))
+                      (F.col("at") - F.col("item_at")).alias("line"))
 
 
 def near_lines(matches: DataFrame, pair: list[str]) -> DataFrame:
