@@ -378,12 +378,11 @@ def line_report(documents: DataFrame, index: LineIndex | None = None) -> DataFra
 def without_common_lines(documents: DataFrame, index: LineIndex | None = None) -> DataFrame:
     """The rows with their text cleaned; other columns and row count as they were."""
     index = index or line_index(documents)
-    marked = _marked(index, documents, index.reference_rows())
     others = [name for name in documents.columns if name != "text"]
-    packed = marked.select(
-        F.col("doc_id").cast("long").alias("_i"), F.col("text").cast("string").alias("_t"), "_keys",
-        F.struct(*others).alias("_row"),
-    )
+    packed = documents.select(  # no column of the input may meet one of ours
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.struct(*others).alias("_row"))
+    packed = _marked(index, packed, index.reference_rows()).select("doc_id", "text", "_keys", "_row")
     layout = f"_row {packed.schema['_row'].dataType.simpleString()}, text string"
     cleaned = packed.mapInArrow(_cleaner(index.min_chars, True), layout)
     return cleaned.select(*[F.col("text") if name == "text" else F.col("_row")[name].alias(name) for name in documents.columns])

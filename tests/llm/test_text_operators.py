@@ -264,3 +264,14 @@ def test_cuckoo_filter():
 
 def test_weights_are_finite():
     assert all(math.isfinite(x) for x in importance.gumbel([None, 0, -1, 2**62]))
+
+
+def test_clean_rows_with_clashing_names(spark):
+    line = "this very line stands in many documents of the table"
+    rows = [(n, f"own {n}\n{line}") for n in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {name: F.lit(f"x-{name}") for name in ("_id", "_keys", "_row", "_i", "_t", "keys", "key")})
+    found = line_dedup.without_common_lines(frame)
+    assert found.columns == frame.columns
+    got = {row["doc_id"]: (row["text"], row["_id"], row["_keys"], row["_row"]) for row in found.collect()}
+    assert got == {n: (text if n == 5 else f"own {n}", "x-_id", "x-_keys", "x-_row") for n, text in rows}
