@@ -13,6 +13,8 @@ it, so a text is shuffled once and no range needs another.
 
 NULL text is empty. Rows without doc_id come first; rows of one doc_id are ordered by
 text. A single row is its own next document. Two empty fingerprints are alike (1.0).
+Texts of any length are parsed whole; a task holds the phrases of one text at a time,
+some 30 bytes for each byte of it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 64
+RANGE_BYTES = 16 * 1024 * 1024  # text of a range, as far as documents are about equally long
+MOST_RANGES = 100_000  # beyond that, ranges grow; their rows are streamed
 _LOWEST = -(2**63)
 
 OUT = (
@@ -187,12 +191,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(documents: DataFrame) -> DataFrame:
-    """One row per document, see `OUT`."""
-    spark = documents.sparkSession
+    """One row per document, see `OUT`.
+
+    The number of ranges follows the bytes of the texts, and each range is a task of its own.
+    """
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MOST_RANGES, 1 + size // RANGE_BYTES)
     shares = [n / ranges for n in range(1, ranges)] or [0.5]
-    found = rows.agg(F.percentile_approx("doc_id", shares, 100 * ranges).alias("s")).first()["s"]
+    found = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * ranges)).alias("s")).first()["s"]
     splits = np.unique(np.array(found or [], np.int64))
     starts = rows.select("doc_id").mapInArrow(_range_starts(splits), "part int, first long").groupBy("part").agg(
         F.min("first").alias("first")).collect()  # a row per range
@@ -200,5 +207,5 @@ def compared(documents: DataFrame) -> DataFrame:
     filled = sorted(firsts)
     before = {part: filled[at - 1] for at, part in enumerate(filled)}  # the first range follows the last
     dealt = rows.mapInArrow(_dealer(splits, firsts, before), "part int, tail int, doc_id long, text string")
-    placed = dealt.repartition(max(1, len(filled)), "part").sortWithinPartitions("part", "tail", "doc_id", "text")
+    placed = dealt.repartitionById(len(splits) + 1, F.col("part")).sortWithinPartitions("part", "tail", "doc_id", "text")
     return placed.mapInArrow(_compare, OUT)
