@@ -9,7 +9,10 @@ The reader goes through a file once: bytes are fed to one decompressor per membe
 the header ends at the first blank line, the block is as long as its Content-Length
 says, and both digests are recomputed. A record that breaks a rule is returned with
 its `problem` and nothing else that was not read; after a broken member, reading goes
-on at the next member that starts a record.
+on at the next member that starts a record. A header of more than `HEAD_BYTES` without
+a blank line is none. What a revisit says of its payload is held against what was read of
+the response it names (`verified`); if no response has that id, digest and size, the
+revisit keeps what it states and its `problem` says so.
 
 NULL html is an empty payload. NULL page_ids sort last, are written without an id
 and read back as NULL; if only NULL ids share a payload they are all responses. Rows
@@ -36,6 +39,8 @@ MIN_SHARED_BYTES = 100
 ROLL_BYTES = 64 * 1024 * 1024
 CHUNK = 256 * 1024
 BATCH_BYTES = 16 * 1024 * 1024
+HEAD_BYTES = 1024 * 1024
+UNPROVED = "no such response"
 # The record format.
 GZIP = 31
 MAGIC = b"\x1f\x8b\x08"
@@ -222,7 +227,7 @@ class _Member:
             if end >= 0:
                 head, self.ready = self.ready[:end], self.ready[end + len(BLANK):]
                 return head
-            if not self.pull():
+            if len(self.ready) > HEAD_BYTES or not self.pull():
                 return None
 
     def take(self, count: int) -> Iterator[bytes]:
@@ -235,8 +240,10 @@ class _Member:
             yield piece
 
     def rest(self) -> bytes:
+        """Go to the end of the member; the first bytes passed, enough to tell them from a blank line."""
+        self.ready = self.ready[:len(BLANK) + 1]
         while self.pull():
-            pass
+            self.ready = self.ready[:len(BLANK) + 1]
         return self.ready
 
 
@@ -340,8 +347,39 @@ def read_archive(files: DataFrame, path: str, payloads: bool = True) -> DataFram
     return dealt.mapInArrow(_reader(path, payloads), RECORD_SCHEMA)
 
 
+def _unproved(records: DataFrame) -> DataFrame:
+    """`(claim, uses)`: id, digest and size that revisits name and no response has."""
+    claims = records.filter("record_type = 'revisit' AND problem IS NULL").groupBy(
+        "refers_to", "payload_digest", "payload_bytes").agg(F.count(F.lit(1)).alias("uses"))
+    responses = records.filter("record_type = 'response' AND problem IS NULL").select(
+        F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    return claims.join(responses, ["refers_to", "payload_digest", "payload_bytes"], "left_anti").select(
+        _claim().alias("claim"), "uses")
+
+
+def _claim():
+    return F.to_json(F.struct("refers_to", "payload_digest", "payload_bytes"))
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """The records, with a `problem` where a revisit names a response that is not there as it says.
+
+    Revisits are counted by what they claim before they meet the responses, so one response may
+    have any number of them. `records` is read more than once: give a stored table.
+    """
+    unproved = stored(_unproved(records), "unproved-revisits")
+    if unproved.isEmpty():
+        return records
+    revisits = records.filter("record_type = 'revisit' AND problem IS NULL").withColumn("claim", _claim())
+    others = records.filter("NOT (record_type <=> 'revisit' AND problem IS NULL)")
+    bad = spread_join(revisits, unproved, "claim", "uses", "offset", fits=fits_broadcast(unproved))
+    bad = bad.withColumn("problem", F.lit(UNPROVED))
+    good = without(revisits, unproved, "claim")
+    return others.unionByName(good.select(*records.columns)).unionByName(bad.select(*records.columns))
+
+
 def archived(pages: DataFrame) -> DataFrame:
-    """Write the pages to an archive in the shared folder and read it back."""
+    """Write the pages to an archive in the shared folder, read it back and verify the revisits."""
     path = new_path(pages.sparkSession, "pages-warc")
     files = write_archive(pages, path)
-    return read_archive(files, path, payloads=False)
+    return verified(stored(read_archive(files, path, payloads=False).drop("payload"), "warc-records"))

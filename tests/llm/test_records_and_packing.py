@@ -52,6 +52,40 @@ def test_round_trip(spark, request, broadcast):
     assert warc_records.archived(pages.limit(0)).count() == 0
 
 
+CLAIMS = [
+    # id, type, size, digest, refers to, problem
+    (1, "response", 200, "aa", None, None), (1, "response", 200, "aa", None, None), (2, "response", 300, "bb", None, None),
+    (3, "response", 400, "cc", None, "block too short"), (None, "response", 500, "dd", None, None),
+    (11, "revisit", 200, "aa", 1, None), (12, "revisit", 200, "bb", 1, None), (13, "revisit", 201, "aa", 1, None),
+    (14, "revisit", 300, "bb", 9, None), (15, "revisit", 400, "cc", 3, None), (16, "revisit", 500, "dd", None, None),
+    (17, "revisit", None, None, 1, None), (18, "revisit", 300, "bb", 2, "block digest differs"), (19, None, None, None, None, "bad gzip member"),
+    *[(100 + n, "revisit", 300, "bb", 2, None) for n in range(30)], *[(200 + n, "revisit", 300, "bc", 2, None) for n in range(30)],
+]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_revisits_are_held_against_their_responses(spark, request, broadcast):
+    if not broadcast:
+        request.getfixturevalue("no_broadcast")
+    records = spark.createDataFrame(
+        CLAIMS, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, problem string"
+    ).withColumn("offset", F.col("page_id"))
+    got = {r["page_id"]: r["problem"] for r in warc_records.verified(records).filter("record_type = 'revisit'").collect()}
+    wrong = {12, 13, 14, 15, 16, 17, *range(200, 230)}
+    assert got == {row[0]: "block digest differs" if row[0] == 18 else warc_records.UNPROVED if row[0] in wrong else None
+                   for row in CLAIMS if row[1] == "revisit"}
+    assert warc_records.verified(records).count() == len(CLAIMS)
+    assert warc_records.verified(records.filter("page_id = 11 OR page_id = 1")).filter("problem IS NOT NULL").count() == 0
+    assert warc_records.verified(records.limit(0)).count() == 0
+
+
+def test_a_header_without_end_is_not_inflated_whole():
+    member = gzip.compress(b"WARC/1.1\r\n" + b"x" * 30_000_000)
+    good = gzip.compress(b"WARC/1.1\r\nContent-Length: 2\r\nWARC-Type: response\r\n\r\nab\r\n\r\n")
+    rows = list(warc_records.records_of(io.BytesIO(member + good)))
+    assert [r.get("problem") for r in rows] == ["no record header", None] and rows[1]["payload"] == b"ab"
+
+
 def test_files_roll_and_payloads_return(spark, folder):
     pages = read_table(spark, folder, "pages").coalesce(1)
     path = new_path(spark, "test-warc")
@@ -356,7 +390,9 @@ def plain_rows(rows):
 
 
 @pytest.mark.parametrize("partitions", ["1", "3", "8"])
-def test_fingerprints(spark, odd_documents, odd_rows, no_documents, partitions):
+def test_fingerprints(spark, odd_documents, odd_rows, no_documents, partitions, monkeypatch):
+    size = sum(len((text or "").encode()) for _, text in odd_rows)
+    monkeypatch.setattr(lz_fingerprints, "RANGE_BYTES", size // int(partitions) + 1)
     kept = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
