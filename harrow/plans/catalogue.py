@@ -20,7 +20,7 @@ from harrow.operators import documents as docs
 from harrow.operators import extract, frontier, handoff, highlight, indexing, ranking, stats
 from harrow.plans import search as plans
 from harrow.session import fits_broadcast, new_path, stored
-from harrow.sources import grown_index, queue, warc
+from harrow.sources import grown_index, log_state, queue, warc
 from harrow.sources.index_store import SearchIndex, build_index, lookup
 from harrow.sources.tables import read_table
 from harrow.streaming import batches, crawl
@@ -464,15 +464,48 @@ def result_counts(spark, folder):
     return ranking.result_counts(_benchmark(spark, folder), _page_results(spark, folder))
 
 
-def document_state(spark, folder):
+def _with_bodies(spark, folder, state: DataFrame) -> DataFrame:
     """Positions differ from run to run; what is read at them does not."""
-    state = stored(docs.document_state(_doc_log(spark, folder)), "state")
+    state = stored(state, "state")
     records = warc.read_records(state.filter("file_path IS NOT NULL"), _crawl(spark, folder))
     bodies = records.select("doc_id", F.md5(F.encode("body", "UTF-8")).alias("body_md5"))
     return state.join(bodies, "doc_id", "left").select(
         "doc_id", "url", "status", "doc_length", "title", "snippet", "body_md5")
 
 
+def document_state(spark, folder):
+    return _with_bodies(spark, folder, docs.document_state(_doc_log(spark, folder)))
+
+
+def _log_segments(spark, folder) -> str:
+    """The log in four batches, the fetched positions after what was indexed; one batch comes twice."""
+    def make():
+        path = new_path(spark, "log-state")
+        log = stored(_doc_log(spark, folder), "log")
+        for batch, seq in enumerate((1, 3, 2, 4)):
+            for _ in range(2 if seq == 3 else 1):
+                log_state.append_log(log.filter(F.col("seq") == seq), path, batch, fanout=3)
+        return path
+    return _once(spark, folder, "log-state", make)
+
+
+def state_from_segments(spark, folder):
+    return _with_bodies(spark, folder, log_state.current_state(spark, _log_segments(spark, folder)))
+
+
+def state_of_version(spark, folder):
+    """The state when the positions had not come yet."""
+    state = log_state.current_state(spark, _log_segments(spark, folder), number=2)
+    return state.select("doc_id", "url", "status", "doc_length", "title", "snippet", F.col("file_path").isNull().alias("no_file"))
+
+
+def state_of_ids(spark, folder):
+    """Looked up by id: the pages whose id is a document's, too."""
+    ids = _documents(spark, folder).select("doc_id")
+    state = log_state.current_state(spark, _log_segments(spark, folder), ids=ids)
+    return state.select("doc_id", "url", "status", "doc_length", "title")
+
+
 # --- ranking -----------------------------------------------------------------
 
 
@@ -829,6 +862,9 @@ QUERIES = {
     "candidate_set": candidate_set,
     "result_counts": result_counts,
     "document_state": document_state,
+    "state_from_segments": state_from_segments,
+    "state_of_version": state_of_version,
+    "state_of_ids": state_of_ids,
     "search_topk": search_topk,
     "search_failed_downloads": search_failed_downloads,
     "search_deep": search_deep,

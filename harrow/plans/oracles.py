@@ -319,6 +319,14 @@ CAST(sum(first_pos * doc_id) AS BIGINT) AS first_sum FROM scored GROUP BY qid"""
         "FROM asked LEFT JOIN (SELECT qid, doc_id FROM ranked JOIN metadata USING (doc_id)) USING (qid) GROUP BY qid"
     ),
     "document_state": f"{WITH_STATE} SELECT * FROM state",
+    "state_from_segments": f"{WITH_STATE} SELECT * FROM state",
+    "state_of_version": (
+        f"{WITH_STATE} SELECT doc_id, url, 'processing' AS status, doc_length, title, snippet, TRUE AS no_file FROM state"
+    ),
+    "state_of_ids": (
+        f"{WITH_STATE} SELECT doc_id, url, status, doc_length, title FROM state "
+        "WHERE doc_id IN (SELECT doc_id FROM documents)"
+    ),
     "search_topk": one_result(PAGES),
     "search_failed_downloads": results(HALF_FETCHED, BENCHMARK),
     "search_deep": one_result(DOCUMENTS).replace(f"rank <= {DEFAULT_K}", "TRUE"),

@@ -32,7 +32,7 @@ from harrow.functions import text as tx
 from harrow.operators import indexing
 from harrow.session import hinted, stored
 from harrow.sources.index_store import TERM_BUCKETS, SearchIndex, attach, default_buckets, save
-from harrow.sources.storage import list_files, located
+from harrow.sources.storage import list_files, located, publish
 
 FANOUT = 4
 IDS = T.StructType([T.StructField("doc_id", T.LongType())])
@@ -78,12 +78,7 @@ def read_version(path: str, number: int | None = None) -> Version:
 
 
 def _write_version(path: str, version: Version) -> None:
-    fs, place = located(_version_file(path, version.number))
-    fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
-    unfinished = f"{place}.{uuid.uuid4().hex[:8]}"
-    with fs.open_output_stream(unfinished, compression=None) as out:
-        out.write(json.dumps(asdict(version)).encode())
-    fs.move(unfinished, place)
+    publish(_version_file(path, version.number), json.dumps(asdict(version)).encode())
 
 
 class _Tables:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow.fs as pafs
 
 
@@ -22,3 +24,13 @@ def list_files(path: str, suffix: str) -> list[tuple[str, int]]:
         (info.base_name, info.size) for info in found
         if info.type == pafs.FileType.File and info.base_name.endswith(suffix)
     )
+
+
+def publish(path: str, content: bytes) -> None:
+    """Write a small file so that readers see all of it or nothing."""
+    fs, place = located(path)
+    fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    unfinished = f"{place}.{uuid.uuid4().hex[:8]}"
+    with fs.open_output_stream(unfinished, compression=None) as out:
+        out.write(content)
+    fs.move(unfinished, place)

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from pyspark.sql.datasource import (
 
 from harrow import schemas
 from harrow.functions import warc_format as wf
-from harrow.session import hinted
+from harrow.session import hinted, stored
 from harrow.sources.storage import list_files, located
 
 # Fixed values.
@@ -42,6 +43,8 @@ SPLIT_BYTES = 128 * 1024 * 1024
 BATCH_BYTES = 32 * 1024 * 1024
 READ_BYTES = 1024 * 1024
 FEED_BYTES = 64 * 1024
+LISTED_ROWS = 10_000
+MOST_TASKS = 100_000
 
 SCAN_SCHEMA = (
     "file_path string, offset long, length long, headers map<string,string>, body string, reason string"
@@ -245,7 +248,26 @@ def _headers(raw: bytes) -> list[tuple[str, str]]:
     return list(fields.items())
 
 
+def _split_batches(fs, root: str, split: FileSplit, most: int | None) -> Iterator[pa.RecordBatch]:
+    with fs.open_input_file(f"{root}/{split.name}") as source:
+        rows, held = [], 0
+        for offset, length, head, body, reason in _records(source, split, most):
+            rows.append({
+                "file_path": split.name, "offset": offset, "length": length,
+                "headers": None if head is None else _headers(head),
+                "body": None if body is None else body.decode("utf-8", "replace"), "reason": reason,
+            })
+            held += len(body or b"")
+            if held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, _SCAN_ARROW)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _SCAN_ARROW)
+
+
 class _ArchiveReader(DataSourceReader):
+    """Plans its splits on the driver; `scan_archive` does so in tasks, for archives of very many files."""
+
     def __init__(self, path: str, split_bytes: int, most: int | None):
         self.path = path
         self.split_bytes = split_bytes
@@ -270,23 +292,8 @@ class _ArchiveReader(DataSourceReader):
         return splits or [FileSplit("", 0, 0)]
 
     def read(self, split: FileSplit):
-        if not split.name:
-            return
-        fs, root = located(self.path)
-        with fs.open_input_file(f"{root}/{split.name}") as source:
-            rows, held = [], 0
-            for offset, length, head, body, reason in _records(source, split, self.most):
-                rows.append({
-                    "file_path": split.name, "offset": offset, "length": length,
-                    "headers": None if head is None else _headers(head),
-                    "body": None if body is None else body.decode("utf-8", "replace"), "reason": reason,
-                })
-                held += len(body or b"")
-                if held >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, _SCAN_ARROW)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _SCAN_ARROW)
+        if split.name:
+            yield from _split_batches(*located(self.path), split, self.most)
 
 
 class WarcDataSource(DataSource):
@@ -347,15 +354,75 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return named.join(names, "manifest", "left_semi").drop("manifest")
 
 
+def _listing(base: str):
+    """Files right under a folder, listed by the one task that gets the row."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = list_files(base, ".warc.gz")
+                for start in range(0, len(found), LISTED_ROWS):
+                    yield _sized(found[start:start + LISTED_ROWS])
+    return listed
+
+
+def _sizes(base: str):
+    """The sizes of files known by name; one that is gone has none."""
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = located(base)
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            infos = fs.get_file_info([f"{root}/{name}" for name in names])
+            yield _sized([(name, info.size) for name, info in zip(names, infos)])
+    return sized
+
+
+def _sized(files: list[tuple[str, int | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([name for name, _ in files], pa.string()), pa.array([size for _, size in files], pa.int64())],
+        names=["file_path", "bytes"])
+
+
+def archive_splits(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """`(file_path, start, stop)`: what is to be scanned, as rows that no driver holds.
+
+    Of an archive written here only published files count: their names come from the commits and their
+    sizes are asked for in tasks. Any other folder is listed by one task. A published file that
+    is gone makes a scan fail when it is read.
+    """
+    fs, root = located(f"{path}/commits")
+    if fs.get_file_info(root).type == pafs.FileType.Directory:
+        names = spark.read.schema("files array<string>").json(f"{path}/commits").select(
+            F.explode("files").alias("file_path")).distinct()
+        files = names.mapInArrow(_sizes(path), "file_path string, bytes long")
+    else:
+        files = spark.range(0, 1, 1, 1).mapInArrow(_listing(path), "file_path string, bytes long")
+    last = F.greatest(F.coalesce("bytes", F.lit(1)) - 1, F.lit(0))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(split_bytes).cast("long")))
+    return files.filter("bytes IS NULL OR bytes > 0").withColumn("start", starts).select(
+        "file_path", "start",
+        F.least(F.col("start") + split_bytes, F.coalesce("bytes", F.lit(split_bytes))).alias("stop"))
+
+
+def _split_reader(base: str, most: int | None):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = located(base)
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _split_batches(fs, root, FileSplit(row["file_path"], row["start"], row["stop"]), most)
+    return read
+
+
 def scan_archive(
     spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, max_record_bytes: int | None = None
 ) -> DataFrame:
-    """Every record of the archive; `max_record_bytes` refuses larger ones with a reason."""
-    spark.dataSource.register(WarcDataSource)
-    reader = spark.read.format("warc").option("splitBytes", split_bytes)
-    if max_record_bytes:
-        reader = reader.option("maxRecordBytes", max_record_bytes)
-    return reader.load(path)
+    """Every record of the archive; `max_record_bytes` refuses larger ones with a reason.
+
+    The splits are fixed when this is called: a table of them is written, counted (one number
+    comes to the driver) and dealt evenly, one split to a task up to `MOST_TASKS`.
+    """
+    splits = stored(archive_splits(spark, path, split_bytes), "splits")
+    tasks = min(MOST_TASKS, max(1, splits.count()))
+    return splits.repartition(tasks).mapInArrow(_split_reader(path, max_record_bytes), SCAN_SCHEMA)
 
 
 def _range_reader(base: str, inflate: bool, most: int | None = None):

@@ -2,6 +2,8 @@ import gzip
 import io
 import os
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from harrow.functions import warc_format as wf
@@ -128,6 +130,32 @@ def test_scan_reports_what_is_no_record(spark, tmp_path):
     assert whole.count() == 3
 
 
+def test_splits_are_planned_in_tasks(spark, tmp_path, monkeypatch):
+    sizes = {"a.warc.gz": 0, "b.warc.gz": 1, "c.warc.gz": 100, "d.warc.gz": 101, "no": 50}
+    for name, size in sizes.items():
+        (tmp_path / name).write_bytes(b"x" * size)
+    monkeypatch.setattr(warc, "LISTED_ROWS", 2)
+    got = [tuple(r) for r in warc.archive_splits(spark, str(tmp_path), 50).orderBy("file_path", "start").collect()]
+    assert got == [("b.warc.gz", 0, 1), ("c.warc.gz", 0, 50), ("c.warc.gz", 50, 100), ("d.warc.gz", 0, 50),
+                   ("d.warc.gz", 50, 100), ("d.warc.gz", 100, 101)]
+    assert warc.scan_archive(spark, str(tmp_path / "absent")).count() == 0
+
+    path, manifest = archive(spark, pages_of(spark, [(n, "http://a.example", "x" * n) for n in range(40)]).repartition(4))
+    warc.write_archive(pages_of(spark, []), path)  # a commit without files
+    monkeypatch.setattr(warc, "list_files", None)  # published files are not listed
+    splits = warc.archive_splits(spark, path, 100)
+    spans = {r["file_path"]: r["stop"] for r in splits.groupBy("file_path").agg(F.max("stop").alias("stop")).collect()}
+    assert spans == {r["file_path"]: r["n"] for r in manifest.groupBy("file_path").agg(F.sum("length").alias("n")).collect()}
+    assert warc.scan_archive(spark, path, 100).join(manifest, ["file_path", "offset", "length"]).count() == 40
+
+
+def test_a_lost_file_fails_the_scan(spark):
+    path, manifest = archive(spark, pages_of(spark, [(1, "http://a.example", "x")]).coalesce(1))
+    os.rename(f"{path}/{manifest.first()['file_path']}", f"{path}/elsewhere")
+    with pytest.raises(PySparkException):
+        warc.scan_archive(spark, path).count()
+
+
 class Counted:
     def __init__(self, data):
         self.file, self.read_bytes = io.BytesIO(data), 0
