@@ -3,7 +3,7 @@
 `search`        one query string, terms pushed into the postings scan.
 `search_batch`  a table of queries. Two exact ways to the same rows:
 
-* exhaustive: score every posting of every query term;
+* exhaustive: score every posting of every query term, in blocks of documents;
 * bounded:    score the rare terms first, take each query's k-th partial score as
   a floor, and drop documents whose upper bound stays under it before the
   frequent terms are looked at. Nothing that could reach the top k is dropped.
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from harrow.functions import scoring
 from harrow.functions import text as tx
-from harrow.operators import ranking
+from harrow.operators import blocks, ranking
 from harrow.operators.joins import spread_join
 from harrow.operators.order import numbered
 from harrow.session import broadcast_limit, fits_broadcast, measured_bytes, stored
@@ -28,8 +28,8 @@ RESULT_ROW_BYTES = 64
 MAX_PUSHED_IDS = 1000
 # Postings of a query's rarest terms that are scored to find its floor.
 SEED_POSTINGS = 2000
-# Hits up to which scoring everything beats the extra steps of bounding.
-EXHAUSTIVE_HITS = 20_000_000
+# Results of a query up to which blocks of documents are scored; more are grouped by Spark.
+BLOCK_RESULTS = 1000
 # Share of the floor that left-out terms may add up to: more would leave fewer
 # postings to sum but many more documents to score exactly.
 LEFT_OUT_SHARE = 0.1
@@ -100,8 +100,8 @@ def search_batch(
 ) -> DataFrame:
     """`(qid, rank, id, url, title, snippet, score)` for a table `(qid, q)`.
 
-    `bounded` picks the plan; by default it is used where the query terms have
-    more postings than the exhaustive plan scores quickly.
+    `bounded` picks the plan. The default is the exhaustive one: it makes no row per
+    query and document, of which the bounded one writes those that may reach the top k.
 
     Queries with the same token list are scored once, under their smallest qid.
     """
@@ -122,11 +122,11 @@ def search_batch(
     weighted = stored(
         ranking.weighted_terms(terms, index.term_stats, index.n_docs, fits), "query-terms"
     )
-    if bounded is None:
-        hits = weighted.agg(F.sum("df").alias("n")).first()["n"] or 0
-        bounded = hits > EXHAUSTIVE_HITS
-    scored = (bounded_scores if bounded else exhaustive_scores)(index, weighted, k, use_tf, fits)
-    ranked = ranking.top_k(scored, k)
+    if not bounded and 0 < k <= BLOCK_RESULTS:
+        ranked = blocks.best_documents(index.postings, weighted, index.avgdl, k, use_tf)
+    else:
+        scored = (bounded_scores if bounded else exhaustive_scores)(index, weighted, k, use_tf, fits)
+        ranked = ranking.top_k(scored, k)
     few = fits and size["n"] * k * RESULT_ROW_BYTES <= broadcast_limit(spark)
     results = ranking.with_metadata(ranked, index.documents, fits=few)
     if size["n"] == (size["queries"] or 0):

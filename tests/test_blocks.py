@@ -1,0 +1,56 @@
+"""Scoring in blocks against the operators over rows of hits."""
+
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from harrow.operators import blocks, ranking
+from harrow.sources.index_store import build_index
+
+WORDS = [f"word{n}" for n in range(40)]
+
+
+@pytest.fixture(scope="module")
+def index(spark):
+    rng = random.Random(3)
+    rows = [(n, f"u{n}", "", " ".join(rng.choices(WORDS, range(40, 0, -1), k=rng.choice([0, 3, 9, 30])))) for n in range(300)]
+    rows += [(n, f"u{n}", "", rows[1][3]) for n in range(300, 340)]  # copies, so ties
+    rows += [(7, "again", "", "word1 word2 word3"), (None, "none", "", "word1 word5")]
+    return build_index(spark.createDataFrame(rows, "doc_id long, url string, title string, text string"), buckets=3)
+
+
+def asked(spark, index):
+    rng = random.Random(5)
+    rows = [(n, " ".join(rng.choices(WORDS + ["absent"], k=rng.choice([1, 2, 7, 25])))) for n in range(30)] + [(None, "word1 word9")]
+    terms = ranking.query_terms(spark.createDataFrame(rows, "qid long, q string"))
+    return ranking.weighted_terms(terms, index.term_stats, index.n_docs)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.select("qid", "rank", "doc_id", "score").collect()), key=str)
+
+
+@pytest.mark.parametrize("cells, k, use_tf", [(4_000_000, 10, False), (200, 3, True), (200, 100, False)])
+def test_blocks_equal_rows_of_hits(spark, index, monkeypatch, cells, k, use_tf):
+    monkeypatch.setattr(blocks, "CELLS", cells)
+    weighted = asked(spark, index)
+    hits = ranking.candidates(index.postings, weighted, True)
+    wanted = ranking.top_k(ranking.scores(ranking.with_contributions(hits, index.avgdl, use_tf)), k)
+    assert rows_of(blocks.best_documents(index.postings, weighted, index.avgdl, k, use_tf)) == rows_of(wanted)
+
+
+def test_blocks_of_queries_in_parts(spark, index, no_broadcast, monkeypatch):
+    weighted = asked(spark, index)
+    whole = rows_of(blocks.best_documents(index.postings, weighted, index.avgdl, 5))
+    monkeypatch.setattr(blocks, "LEAST_PART_BYTES", 5000)
+    assert rows_of(blocks.best_documents(index.postings, weighted, index.avgdl, 5)) == whole
+
+
+def test_negative_weights(spark, index):
+    weighted = asked(spark, index).withColumn("idf", F.when(F.col("pos") % 2 == 0, -F.col("idf")).otherwise(F.col("idf")))
+    weighted = weighted.withColumn("idf", F.first("idf").over(Window.partitionBy("term").orderBy("idf")))
+    hits = ranking.candidates(index.postings, weighted, True)
+    wanted = ranking.top_k(ranking.scores(ranking.with_contributions(hits, index.avgdl)), 4)
+    assert rows_of(blocks.best_documents(index.postings, weighted, index.avgdl, 4)) == rows_of(wanted)
