@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 
 from harrow.session import stored
 
+# Rows that one task sorts.
+RANGE_ROWS = 1_000_000
+
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add `name`, 1 for the first row of the order. The order must leave no ties open.
 
-    Rows are dealt by ranges of the order; each range is counted (one number per
-    range comes to the driver) and numbered from where the ranges before it end.
+    Rows are dealt by ranges of the order, some `RANGE_ROWS` to a range; each range is counted
+    (one number per range comes to the driver) and numbered from where the ranges before it end.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    rows = stored(rows, "unnumbered")
+    ranges = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
+    dealt = rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
     dealt = stored(dealt, "ranges")
     counts = sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect())
-    starts, total = {}, 0
+    starts, total = [], 0
     for part, count in counts:
-        starts[part] = total
+        starts.append((part, total))
         total += count
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    begin = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("_range")) \
-        if starts else F.lit(0)
-    return dealt.withColumn(name, (within + begin).cast("long")).drop("_range")
+    begins = rows.sparkSession.createDataFrame(starts, "_range int, _begin long")
+    placed = dealt.withColumn(name, within).join(F.broadcast(begins), "_range")
+    return placed.withColumn(name, F.col(name) + F.col("_begin")).select(*rows.columns, name)
