@@ -7,6 +7,7 @@ import string
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from harrow.llm import language_id
 from harrow.sources.tables import read_table
 
 FOLDER = "/root/testdata/sf0.01"
@@ -35,3 +36,27 @@ def test_language_stage_rejects(spark):
     kept = {str(r["doc_id"]) for r in corpus_pipeline.in_a_language(spark, both, FOLDER).select("doc_id").collect()}
     clean = {str(r["doc_id"]) for r in docs.select("doc_id").collect()}
     assert kept == clean
+
+
+def test_floors_are_of_all_training_documents(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), rng.choice([rng.random(), 0.25, 0.5]), rng.choice([0, 1, 50, 900])) for _ in range(3000)]
+    wanted = {}
+    for lang in "ab":
+        found = sorted((c, n) for one, c, n in rows if one == lang and n)
+        total, so_far = sum(n for _, n in found), 0
+        for certainty, n in found:
+            so_far += n
+            if so_far >= language_id.FLOOR_SHARE * total:
+                wanted[lang] = certainty
+                break
+    table = spark.createDataFrame(rows, "lang string, certainty double, words long")
+    assert language_id.learned_floors(table) == wanted
+
+
+def test_words_are_counted_in_all_training_documents(spark):
+    rows = [(n, "en", "again") for n in range(2000)] + [(2001, None, "again"), (2002, "de", "wieder again")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    own = docs.filter(~language_id.held_out(F.col("doc_id")))
+    found = {(r["lang"], r["word"]): r["n"] for r in language_id.training_words(docs).collect()}
+    assert found[("en", "again")] == own.filter("lang = 'en'").count() > 1000
