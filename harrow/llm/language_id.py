@@ -42,6 +42,7 @@ from harrow.session import stored
 UNKNOWN = "und"
 FOLDS = 5
 VOCABULARY = 5_000
+WORD_SLICES = 32
 HIDDEN = 24
 WINDOW = 24
 STEPS = 700
@@ -251,8 +252,12 @@ def training_words(documents: DataFrame) -> DataFrame:
     """`(lang, word, n)`: the `VOCABULARY` most frequent words of each language in all training documents."""
     found = training_documents(documents).mapInArrow(_counted_words, "lang string, word string, n long")
     counted = found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    frequent = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.xxhash64("word"), "word")
-    return counted.withColumn("nth", F.row_number().over(frequent)).filter(F.col("nth") <= VOCABULARY).drop("nth")
+    order = [F.col("n").desc(), F.xxhash64("word"), "word"]
+    # first within slices of a language, so that no task sorts all of its words
+    for keys in (["lang", F.pmod(F.xxhash64("word", F.lit("slice")), F.lit(WORD_SLICES))], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        counted = counted.withColumn("nth", nth).filter(F.col("nth") <= VOCABULARY).drop("nth")
+    return counted
 
 
 def _fitted(words: DataFrame, seed: int) -> tuple[Network, frozenset[str]]:

@@ -60,3 +60,10 @@ def test_words_are_counted_in_all_training_documents(spark):
     own = docs.filter(~language_id.held_out(F.col("doc_id")))
     found = {(r["lang"], r["word"]): r["n"] for r in language_id.training_words(docs).collect()}
     assert found[("en", "again")] == own.filter("lang = 'en'").count() > 1000
+
+
+def test_vocabulary_is_the_most_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "VOCABULARY", 3)
+    text = " ".join("ab" + chr(97 + n) for n in range(26) for _ in range(n + 1))
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit(text).alias("text"))
+    assert {r["word"] for r in language_id.training_words(docs).collect()} == {"abx", "aby", "abz"}
