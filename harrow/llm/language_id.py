@@ -48,7 +48,7 @@ WINDOW = 24
 STEPS = 700
 BATCH = 256
 RATE = 0.01
-MEMO_BYTES = 16_000_000
+MEMO_BYTES = 64_000_000
 WORD_BYTES = 250  # of a remembered word beside its letters
 HELD_CHARS = 500_000
 SLICE_ROWS = 500
@@ -139,19 +139,53 @@ class Network:
         np.exp(scores, out=scores)
         return scores / scores.sum(axis=-1, keepdims=True)
 
+    def _final_states(self, way: str, codes: np.ndarray, active: list[int]) -> np.ndarray:
+        """The states of `_run` for words sorted from long to short: `active[t]` of them have a byte at `t`."""
+        w = self.weights
+        given_by = w[f"in_{way}"] + w[f"bias_{way}"]
+        state = np.zeros((codes.shape[1], HIDDEN), np.float32)
+        states = np.zeros((len(active), codes.shape[1], HIDDEN), np.float32)
+        for t in range(len(active)) if way == "f" else range(len(active) - 1, -1, -1):
+            n = active[t]
+            given, before = given_by[codes[t, :n]], state[:n]
+            gates = before @ w[f"gates_{way}"]
+            gates += given[:, :2 * HIDDEN]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            fresh = (gates[:, :HIDDEN] * before) @ w[f"new_{way}"]
+            fresh += given[:, 2 * HIDDEN:]
+            np.tanh(fresh, out=fresh)
+            update = gates[:, HIDDEN:]
+            before *= update
+            fresh *= 1 - update
+            before += fresh
+            states[t, :n] = before
+        return states
+
     def word_sums(self, words: list[bytes]) -> np.ndarray:
         """Per word, the sums of its positions' probabilities and, last, its positions."""
         out = np.zeros((len(words), len(self.languages) + 1), np.float32)
-        pieces = [(at, piece) for at, word in enumerate(words) for piece in pieces_of(word)]
-        pieces.sort(key=lambda pair: len(pair[1]))
-        for start in range(0, len(pieces), _NET_PIECES):
-            part = pieces[start:start + _NET_PIECES]
-            codes, inside = padded([word for _, word in part])
-            forward, _ = self._run("f", codes, inside, False)
-            backward, _ = self._run("b", codes, inside, False)
-            found = self._softmax(np.concatenate([forward, backward], axis=2))
-            sums = (found * inside.T[:, :, None]).sum(axis=0)
-            np.add.at(out, [at for at, _ in part], np.column_stack([sums, inside.sum(axis=1)]).astype(np.float32))
+        pieces, owner = list(words), np.arange(len(words))
+        if max(map(len, words), default=0) > WINDOW:
+            cut = [pieces_of(word) for word in words]
+            pieces, owner = [piece for own in cut for piece in own], np.repeat(owner, list(map(len, cut)))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts, joined = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pieces) + bytes(WINDOW), np.uint8)
+        order = np.argsort(-sizes, kind="stable")
+        for start in range(0, len(order), _NET_PIECES):
+            part = order[start:start + _NET_PIECES]
+            steps = np.arange(sizes[part[0]])
+            codes = joined[starts[part] + steps[:, None]]
+            active = np.searchsorted(-sizes[part], -steps).tolist()  # words longer than each step
+            found = self._softmax(np.concatenate([self._final_states(way, codes, active) for way in "fb"], axis=2))
+            inside = steps[:, None] < sizes[part]
+            sums = np.column_stack([(found * inside[:, :, None]).sum(axis=0), sizes[part]]).astype(np.float32)
+            if len(pieces) == len(words):
+                out[part] = sums
+            else:
+                np.add.at(out, owner[part], sums)
         return out
 
     def gradients(self, codes: np.ndarray, inside: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
@@ -286,36 +320,55 @@ class _Words:
     """Sums of each word seen lately in this task: by language, bytes, certainty, strange letters, letters.
 
     All that is asked of a text are sums over its words. What is held is bounded by bytes, beside
-    the words of the texts that are judged together.
+    the words of the texts that are judged together. When half of that is full, the words met since stay
+    and those before are forgotten, but for the ones that come again.
     """
 
     def __init__(self, net: Network, letters: frozenset[str] = frozenset()):
         self.net = net
         self.letters = letters
-        self.clear()
-
-    def clear(self) -> None:
         self.rows: dict[str, int] = {}
+        self.sums = np.zeros((0, len(net.languages) + 4))
         self.held = 0
-        self.sums = np.zeros((0, len(self.net.languages) + 4))
+        self.older: tuple[dict[str, int], np.ndarray] = {}, self.sums
 
     def learn(self, words: set[str]) -> None:
-        if self.held > MEMO_BYTES:
-            self.clear()
-        new = [word for word in words if word not in self.rows]
+        if self.held > MEMO_BYTES // 2:
+            self.older, self.rows, self.held = (self.rows, self.sums), {}, 0
+            self.sums = np.zeros((0, self.sums.shape[1]))
+        new = list(words.difference(self.rows))
         if not new:
             return
+        rows, sums = self.older
+        again = [word for word in new if word in rows] if rows else []
+        if again:
+            self._keep(again, sums[[rows[word] for word in again]])
+            new = list(words.difference(self.rows))
+        if new:
+            self._keep(new, self._computed(new))
+
+    def _keep(self, words: list[str], sums: np.ndarray) -> None:
         first = len(self.rows)
-        if first + len(new) > len(self.sums):
-            self.sums = np.resize(self.sums, (2 * (first + len(new)), self.sums.shape[1]))
-        found = self.net.word_sums([word.encode("utf-8", "surrogatepass") for word in new]).astype(np.float64)
-        strange = [[c for c in word if c not in self.letters] if not self.letters.issuperset(word) else [] for word in new]
-        missing = np.array([len("".join(some).encode("utf-8", "surrogatepass")) for some in strange])
+        if first + len(words) > len(self.sums):
+            self.sums = np.resize(self.sums, (2 * (first + len(words)), self.sums.shape[1]))
+        self.sums[first:first + len(words)] = sums
+        self.rows.update(zip(words, range(first, first + len(words))))
+        self.held += sum(map(len, words)) * 2 + len(words) * WORD_BYTES
+
+    def _computed(self, words: list[str]) -> np.ndarray:
+        found = self.net.word_sums([word.encode("utf-8", "surrogatepass") for word in words]).astype(np.float64)
+        sizes = np.fromiter(map(len, words), np.float64, len(words))
+        missing, strange = np.zeros(len(words)), np.zeros(len(words))
+        if self.letters:
+            for at, word in enumerate(words):
+                if not self.letters.issuperset(word):
+                    others = [c for c in word if c not in self.letters]
+                    missing[at] = len("".join(others).encode("utf-8", "surrogatepass"))
+                    strange[at] = len(others)
+        else:
+            missing, strange = found[:, -1], sizes
         sure = found[:, :-1].max(axis=1, initial=0) * (1 - missing / found[:, -1]) + missing / max(1, len(self.net.languages))
-        self.sums[first:first + len(new)] = np.column_stack(
-            [found, sure, [len(some) for some in strange], [len(word) for word in new]])
-        self.rows.update(zip(new, range(first, first + len(new))))
-        self.held += sum(map(len, new)) * 2 + len(new) * WORD_BYTES
+        return np.column_stack([found, sure, strange, sizes])
 
 
 def judged(memo: _Words, texts: list[str | None]) -> Iterator[Judgement]:
@@ -341,7 +394,7 @@ def _judged_together(memo: _Words, texts: list[str | None]) -> Iterator[Judgemen
         if not words or not memo.net.languages:
             yield NOTHING._replace(words=len(words))
             continue
-        *langs, size, sure, strange, letters = memo.sums[[memo.rows[word] for word in words]].sum(axis=0).tolist()
+        *langs, size, sure, strange, letters = memo.sums[np.fromiter(map(memo.rows.__getitem__, words), np.int64, len(words))].sum(axis=0).tolist()
         best = int(np.argmax(langs))
         yield Judgement(memo.net.languages[best], min(1.0, langs[best] / size), sure / size, len(words), 2 * strange <= letters)
 

@@ -286,6 +286,29 @@ def test_remembered_words_are_bounded(trained, monkeypatch):
     assert [one.score for one in whole] == pytest.approx([one.score for one in again])
 
 
+def test_words_that_come_again_are_computed_once(trained, monkeypatch):
+    """However many other words pass through the memory, those of every text stay in it."""
+    monkeypatch.setattr(language_id, "MEMO_BYTES", 40_000)
+    rng, computed = random.Random(5), []
+    compute = language_id.Network.word_sums
+    monkeypatch.setattr(language_id.Network, "word_sums", lambda net, words: computed.extend(words) or compute(net, words))
+    common = ["theron", "größe", "maison"]
+    memo = language_id._Words(trained)
+    for _ in range(40):
+        text = " ".join(common + ["".join(rng.choices("abcdefgh", k=9)) for _ in range(30)])
+        list(language_id.judged(memo, [text]))
+        assert memo.held < 20_000 + 40 * (20 + language_id.WORD_BYTES)
+    assert len(computed) > 1000 and all(computed.count(word.encode()) == 1 for word in common)
+
+
+def test_words_of_all_lengths_together(trained):
+    """Words computed side by side are as when computed alone, long ones in pieces."""
+    words = [word.encode() for word in ("a", "été" * 30, "größe", "x" * 24, "y" * 25, "ab", "theron")]
+    alone = np.concatenate([trained.word_sums([word]) for word in words])
+    assert np.allclose(trained.word_sums(words), alone, atol=1e-4)
+    assert alone[:, -1].tolist() == list(map(len, words)) and trained.word_sums([]).shape == (0, alone.shape[1])
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 @pytest.mark.parametrize("documents, attention", [(2048, 2048 ** 2), (5, 2048 ** 2), (2048, 900_000)])
 def test_placement_against_a_plain_loop(rule, documents, attention):
