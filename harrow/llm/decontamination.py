@@ -59,23 +59,23 @@ NUMBER_WORDS = (
     "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 ).split()
 TYPED, NAMED, PLAIN, SHORT = 0, 1, 2, 3
-# Letters of the usual alphabets first: the classes of all letters are slow to ask.
-_USUAL = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+# ASCII is asked for first: the classes of all letters, and what looks behind or ahead, are slow to ask.
 _OTHER = r"(?=[^\x00-\x7F])"
 _WORD_OR_VALUE = (
-    rf"[{_USUAL}]++(?:{_OTHER}[\p{{L}}\p{{M}}]++)?|[0-9]+(?:[.,][0-9]+)*|[%$]|{_OTHER}(?:[\p{{L}}\p{{M}}]+|[€£°])"
+    rf"[a-zA-Z]++(?:{_OTHER}[\p{{L}}\p{{M}}]++)?|[0-9]+(?:[.,][0-9]+)*|[%$]|{_OTHER}(?:[\p{{L}}\p{{M}}]+|[€£°])"
 )
 _NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:\s+\p{Lu}[\p{Ll}\p{M}]+)*"
+_MAY_BE_CAPITAL = r"(?=[^\x00-@\[-\x7F])"
 # A name behind a word begins with the space before it.
-TYPED_TOKENS = rf"(?<=[\p{{Ll}}0-9,;]) \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*|{_WORD_OR_VALUE}"
-NAMED_TOKENS = rf"{_NAME}(?![\p{{L}}\p{{M}}])|{_WORD_OR_VALUE}"
+TYPED_TOKENS = rf" (?<=[\p{{Ll}}0-9,;] )\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*|{_WORD_OR_VALUE}"
+NAMED_TOKENS = rf"{_MAY_BE_CAPITAL}{_NAME}(?![\p{{L}}\p{{M}}])|{_WORD_OR_VALUE}"
 DRIFT = 4
 
 # Read by character: scripts that put no spaces between words.
 UNSPACED = "".join(f"\\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 _SPACED = f"[\\p{{L}}\\p{{M}}&&[^{UNSPACED}]]"
 PLAIN_TOKENS = (
-    rf"[{_USUAL}]++(?:{_OTHER}{_SPACED}++)?|[0-9]+(?:[.,][0-9]+)*|[-%*/^+<=>|~$]"
+    rf"[a-zA-Z]++(?:{_OTHER}{_SPACED}++)?|[0-9]+(?:[.,][0-9]+)*|[-%*/^+<=>|~$]"
     rf"|{_OTHER}(?:[{UNSPACED}&&[\p{{L}}\p{{N}}]]\p{{M}}*|{_SPACED}+|\p{{Nd}}+|\p{{Sm}}|\p{{Sc}}|°)"
 )
 
@@ -85,18 +85,27 @@ def raw_tokens(text: Column, way: int = TYPED) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def template_token(token: Column, way: int) -> Column:
-    """The placeholder or lower-case word of a token."""
-    lower = F.lower(token)
-    if way == PLAIN:
-        return lower
-    is_name = token.startswith(" ") if way == TYPED else (lower != token) & token.rlike(f"^{_NAME}$")
+def template_token(token: Column, lower: Column, way: int) -> Column:
+    """The placeholder or lower-case word of a token, which is given in lower case, too."""
+    is_name = lower.startswith(" ") if way == TYPED else (lower != token) & token.rlike(f"^{_NAME}$")
+    fixed = F.when(lower.isin(UNITS), F.lit(UNIT)).otherwise(F.lit(NUMBER))
     return (
-        F.when(is_name, F.lit(NAME)).when((token >= "0") & (token < ":"), F.lit(NUMBER))
-        .when(lower.isin(NUMBER_WORDS), F.lit(NUMBER)).when(lower.isin(UNITS), F.lit(UNIT)).otherwise(lower)
+        F.when(is_name, F.lit(NAME)).when(lower.isin(NUMBER_WORDS + UNITS), fixed)
+        .when((lower >= "0") & (lower < ":"), F.lit(NUMBER)).otherwise(lower)
     )
 
 
+def templates(raw: Column, way: int) -> Column:
+    """The placeholder or lower-case word of each token; every token is put in lower case once."""
+    if way == PLAIN:
+        return F.transform(raw, F.lower)
+    if way == TYPED:  # a name is told by the space before it, in lower case as well
+        return F.transform(F.transform(raw, F.lower), lambda word: template_token(word, word, way))
+    # one walk over the tokens: an expression named twice would be evaluated twice
+    both = F.transform(raw, lambda token: F.struct(token.alias("token"), F.lower(token).alias("lower")))
+    return F.transform(both, lambda pair: template_token(pair["token"], pair["lower"], way))
+
+
 def slot_value(token: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(token, r"\s+", " ")))
 
@@ -104,7 +113,7 @@ def slot_value(token: Column) -> Column:
 def with_templates(rows: DataFrame, way: int = TYPED) -> DataFrame:
     """Adds `raw` and `template`, token by token."""
     return rows.withColumn("raw", raw_tokens(F.col("text"), way)).withColumn(
-        "template", F.transform("raw", lambda token: template_token(token, way)))
+        "template", templates(F.col("raw"), way))
 
 
 def window_hash(tokens: Column, at: Column, length: int) -> Column:
@@ -142,7 +151,7 @@ def item_windows(items: DataFrame, way: int = TYPED) -> DataFrame:
 
 def window_matches(documents: DataFrame, index: DataFrame, lengths: list[int], way: int) -> DataFrame:
     """`(doc_id, doc_key, item_id, item_key, item_at, line)` for every equal window; each text is read once."""
-    tokens = F.transform(raw_tokens(F.col("text"), way), lambda token: F.xxhash64(template_token(token, way)))
+    tokens = F.transform(templates(raw_tokens(F.col("text"), way), way), lambda token: F.xxhash64(token))
     parts = documents.select("doc_id", F.xxhash64("text").alias("doc_key"), tokens.alias("tokens"))
     openings = index.select("opening").distinct().limit(MAX_OPENINGS + 1).collect()
     known = [row["opening"] for row in openings] if len(openings) <= MAX_OPENINGS else None

@@ -1,6 +1,9 @@
 """Leaks that depend on what stands before a name, on case, on lines and on numbers."""
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 from harrow.llm import decontamination
 from harrow.llm.oracles import BENCHMARK_LEAKS
@@ -83,3 +86,36 @@ NEW_TEXTS = [
 
 def test_number_words_inserted_words_and_short_items(spark):
     assert found(spark, NEW_TEXTS, NEW) == {(doc_id, item) for doc_id, _, item in NEW_TEXTS if item}
+
+
+WAYS = (decontamination.TYPED, decontamination.NAMED, decontamination.PLAIN)
+
+
+def test_tokens_are_lowered_once(spark):
+    """One walk over a text and one lower case per token, in each reading."""
+    text = spark.createDataFrame([("A",)], "text string")
+    for way in WAYS:
+        made = text.select(decontamination.templates(decontamination.raw_tokens(F.col("text"), way), way).alias("made"))
+        plan = made._jdf.queryExecution().optimizedPlan().expressions().toString()
+        assert plan.count("regexp_extract_all(") == 1 and plan.count("lower(") == 1
+
+
+def test_tokens_of_mixed_letters(spark):
+    """Words are the same runs of letters whichever alphabet they begin, go on or end in."""
+    other = r"(?=[^\x00-\x7F])"
+    latin = r"A-Za-zÀ-ÖØ-öø-ɏ"
+    value = rf"[{latin}]++(?:{other}[\p{{L}}\p{{M}}]++)?|[0-9]+(?:[.,][0-9]+)*|[%$]|{other}(?:[\p{{L}}\p{{M}}]+|[€£°])"
+    spaced = decontamination._SPACED
+    wide = {
+        decontamination.TYPED: rf"(?<=[\p{{Ll}}0-9,;]) \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*|{value}",
+        decontamination.NAMED: rf"{decontamination._NAME}(?![\p{{L}}\p{{M}}])|{value}",
+        decontamination.PLAIN: decontamination.PLAIN_TOKENS.replace(f"[a-zA-Z]++(?:{other}{spaced}++)?", f"[{latin}]++(?:{other}{spaced}++)?"),
+    }
+    rng = random.Random(3)
+    alphabet = "abzABZéÉßŠƀɏɐжЖ京日ไก́İİıΣσ×÷ªµ0159.,;%$€£° -*\n\U0001D400\U0001F600"
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(1500)] + ["in Berlin Mitte, two Ännchen; see Ärzte 3.5 km"]
+    rows = spark.createDataFrame([(text,) for text in texts], "text string")
+    for way in WAYS:
+        before = F.regexp_extract_all("text", F.lit(wide[way]), F.lit(0))
+        now = decontamination.raw_tokens(F.col("text"), way)
+        assert rows.filter(~before.eqNullSafe(now)).limit(3).collect() == []
