@@ -10,13 +10,19 @@ from pyspark.sql import types as T
 from harrow.functions import text as tx
 from harrow.functions.markup import read_page
 
+SLICE_ROWS = 100  # pages of a batch that are Python objects at once
 _PAGE = pa.struct([("text", pa.string()), ("title", pa.string())])
 
 
 @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("title", T.StringType())]))
 def _read_pages(html: pa.Array) -> pa.Array:
+    parts = [_read_some(html.slice(start, SLICE_ROWS).to_pylist()) for start in range(0, len(html), SLICE_ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], _PAGE)
+
+
+def _read_some(pages: list[str | None]) -> pa.Array:
     rows = []
-    for page in html.to_pylist():
+    for page in pages:
         if page is None:
             rows.append(None)
         else:

@@ -40,7 +40,8 @@ MAGIC = b"\x1f\x8b\x08"
 HEADER_END = b"\r\n\r\n"
 
 SPLIT_BYTES = 128 * 1024 * 1024
-BATCH_BYTES = 32 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
+SLICE_ROWS = 100  # pages of a batch that are Python objects at once
 READ_BYTES = 1024 * 1024
 FEED_BYTES = 64 * 1024
 LISTED_ROWS = 10_000
@@ -102,19 +103,20 @@ class _ArchiveWriter(DataSourceArrowWriter):
         out = manifest = None
         for batch in iterator:
             rows = []
-            for row in batch.to_pylist():
-                if out is None or out.tell() >= self.roll_bytes:
-                    if out is not None:
-                        out.close()
-                    files.append(f"part-{attempt}-{len(files):05d}.warc.gz")
-                    out = fs.open_output_stream(f"{root}/{files[-1]}", compression=None)
-                packer = zlib.compressobj(wbits=GZIP)
-                member = packer.compress(row["record"]) + packer.flush()
-                rows.append({
-                    "doc_id": row["doc_id"], "url": row["url"], "file_path": files[-1],
-                    "offset": out.tell(), "length": len(member),
-                })
-                out.write(member)
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                for row in batch.slice(start, SLICE_ROWS).to_pylist():
+                    if out is None or out.tell() >= self.roll_bytes:
+                        if out is not None:
+                            out.close()
+                        files.append(f"part-{attempt}-{len(files):05d}.warc.gz")
+                        out = fs.open_output_stream(f"{root}/{files[-1]}", compression=None)
+                    packer = zlib.compressobj(wbits=GZIP)
+                    member = packer.compress(row["record"]) + packer.flush()
+                    rows.append({
+                        "doc_id": row["doc_id"], "url": row["url"], "file_path": files[-1],
+                        "offset": out.tell(), "length": len(member),
+                    })
+                    out.write(member)
             if rows:
                 if manifest is None:
                     manifest = pq.ParquetWriter(
