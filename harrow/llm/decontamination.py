@@ -60,22 +60,26 @@ NUMBER_WORDS = (
 ).split()
 TYPED, NAMED, PLAIN, SHORT = 0, 1, 2, 3
 # ASCII is asked for first: the classes of all letters, and what looks behind or ahead, are slow to ask.
+# Groups are repeated possessively (`*+`): Java's matcher calls itself once for every other repetition, and a
+# long list of numbers or names would overflow its stack. Nothing is given back where a group ends like this.
 _OTHER = r"(?=[^\x00-\x7F])"
 _WORD_OR_VALUE = (
-    rf"[a-zA-Z]++(?:{_OTHER}[\p{{L}}\p{{M}}]++)?|[0-9]+(?:[.,][0-9]+)*|[%$]|{_OTHER}(?:[\p{{L}}\p{{M}}]+|[€£°])"
+    rf"[a-zA-Z]++(?:{_OTHER}[\p{{L}}\p{{M}}]++)?|[0-9]+(?:[.,][0-9]+)*+|[%$]|{_OTHER}(?:[\p{{L}}\p{{M}}]+|[€£°])"
 )
-_NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:\s+\p{Lu}[\p{Ll}\p{M}]+)*"
+# Capitalised words up to the first that goes on with other letters.
+_CAPITALISED = r"\p{Lu}[\p{Ll}\p{M}]++(?![\p{L}\p{M}])"
+_NAME = rf"{_CAPITALISED}(?:\s++{_CAPITALISED})*+"
 _MAY_BE_CAPITAL = r"(?=[^\x00-@\[-\x7F])"
 # A name behind a word begins with the space before it.
-TYPED_TOKENS = rf" (?<=[\p{{Ll}}0-9,;] )\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*|{_WORD_OR_VALUE}"
-NAMED_TOKENS = rf"{_MAY_BE_CAPITAL}{_NAME}(?![\p{{L}}\p{{M}}])|{_WORD_OR_VALUE}"
+TYPED_TOKENS = rf" (?=\p{{Lu}})(?<=[\p{{Ll}}0-9,;] )\p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)*+|{_WORD_OR_VALUE}"
+NAMED_TOKENS = rf"{_MAY_BE_CAPITAL}{_NAME}|{_WORD_OR_VALUE}"
 DRIFT = 4
 
 # Read by character: scripts that put no spaces between words.
 UNSPACED = "".join(f"\\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 _SPACED = f"[\\p{{L}}\\p{{M}}&&[^{UNSPACED}]]"
 PLAIN_TOKENS = (
-    rf"[a-zA-Z]++(?:{_OTHER}{_SPACED}++)?|[0-9]+(?:[.,][0-9]+)*|[-%*/^+<=>|~$]"
+    rf"[a-zA-Z]++(?:{_OTHER}{_SPACED}++)?|[0-9]+(?:[.,][0-9]+)*+|[-%*/^+<=>|~$]"
     rf"|{_OTHER}(?:[{UNSPACED}&&[\p{{L}}\p{{N}}]]\p{{M}}*|{_SPACED}+|\p{{Nd}}+|\p{{Sm}}|\p{{Sc}}|°)"
 )
 

@@ -119,3 +119,19 @@ def test_tokens_of_mixed_letters(spark):
         before = F.regexp_extract_all("text", F.lit(wide[way]), F.lit(0))
         now = decontamination.raw_tokens(F.col("text"), way)
         assert rows.filter(~before.eqNullSafe(now)).limit(3).collect() == []
+
+
+def test_long_runs_of_numbers_and_names(spark):
+    """Java's matcher calls itself once for each repetition of a plain group, which overflows its stack."""
+    rows = spark.createDataFrame([
+        ("in " + "Ab " * 50_000 + "now",), ("1" + ",2" * 50_000,), ("we met " + "Aé Ob\n" * 50_000,)], "text string")
+    counts = {
+        decontamination.TYPED: [(3, 150_000), (1, 100_001), (100_001, None)],
+        decontamination.NAMED: [(3, 150_000), (1, 100_001), (3, None)],
+        decontamination.PLAIN: [(50_002, 3), (1, 100_001), (100_002, None)],
+    }
+    for way, expected in counts.items():
+        raw = decontamination.raw_tokens(F.col("text"), way)
+        made = rows.select(F.size(decontamination.templates(raw, way)), F.array_max(F.transform(raw, F.length))).collect()
+        assert [row[0] for row in made] == [number for number, _ in expected]
+        assert all(longest is None or abs(row[1] - longest) <= 1 for row, (_, longest) in zip(made, expected))
