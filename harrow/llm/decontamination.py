@@ -110,6 +110,37 @@ def templates(raw: Column, way: int) -> Column:
     return F.transform(both, lambda pair: template_token(pair["token"], pair["lower"], way))
 
 
+def hashed_templates(raw: Column, way: int) -> Column:
+    """The hashes of `templates(raw, way)`, made in fewer walks over the tokens.
+
+    Names and numbers are told by how a token begins. Units and number words are told by their hashes,
+    which are cheaper to look up than words.
+    """
+    def word(token: Column) -> Column:
+        return F.xxhash64(F.lower(token))
+
+    if way == PLAIN:
+        return F.transform(raw, word)
+    name, number, unit = (F.xxhash64(F.lit(fixed)) for fixed in (NAME, NUMBER, UNIT))
+
+    def first_look(token: Column) -> Column:
+        is_number = (token >= "0") & (token < ":")
+        if way == TYPED:
+            return F.when(token.startswith(" "), name).when(is_number, number).otherwise(word(token))
+        is_name = (F.lower(token) != token) & token.rlike(f"^{_NAME}$")
+        return (
+            F.when((token >= "a") & (token < "{"), word(token)).when(is_number, number)
+            .when(is_name, name).otherwise(word(token))
+        )
+
+    units, words = ([F.xxhash64(F.lit(fixed)) for fixed in some] for some in (UNITS, UNITS + NUMBER_WORDS))
+
+    def fixed_words(hashed: Column) -> Column:
+        return F.when(hashed.isin(words), F.when(hashed.isin(units), unit).otherwise(number)).otherwise(hashed)
+
+    return F.transform(F.transform(raw, first_look), fixed_words)
+
+
 def slot_value(token: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(token, r"\s+", " ")))
 
@@ -126,14 +157,6 @@ def window_hash(tokens: Column, at: Column, length: int) -> Column:
     return F.when(F.size(tokens) >= at + (length - 1), run)
 
 
-def begins(tokens: Column, openings: list[int] | None) -> Column:
-    """The places where a window may begin: of those whose two first tokens open a window of the benchmark."""
-    places = F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    if openings is None:
-        return places
-    return F.filter(places, lambda at: F.xxhash64(F.get(tokens, at - 1), F.get(tokens, at)).isin(openings))
-
-
 def is_literal(token: Column) -> Column:
     return ~token.isin(NUMBER, NAME, UNIT)
 
@@ -155,14 +178,18 @@ def item_windows(items: DataFrame, way: int = TYPED) -> DataFrame:
 
 def window_matches(documents: DataFrame, index: DataFrame, lengths: list[int], way: int) -> DataFrame:
     """`(doc_id, doc_key, item_id, item_key, item_at, line)` for every equal window; each text is read once."""
-    tokens = F.transform(templates(raw_tokens(F.col("text"), way), way), lambda token: F.xxhash64(token))
+    tokens = hashed_templates(raw_tokens(F.col("text"), way), way)
     parts = documents.select("doc_id", F.xxhash64("text").alias("doc_key"), tokens.alias("tokens"))
+    # explode_outer: the filter that an inner explode implies would be evaluated below, tokens and all, once more.
+    # A row per token costs less than a function over the array: Spark compiles it, and only the rows kept are made.
+    placed = parts.select("doc_id", "doc_key", "tokens", F.posexplode_outer("tokens").alias("begin", "token"))
     openings = index.select("opening").distinct().limit(MAX_OPENINGS + 1).collect()
-    known = [row["opening"] for row in openings] if len(openings) <= MAX_OPENINGS else None
-    # explode_outer: the filter that an inner explode implies would be evaluated below, tokens and all, once more
-    placed = parts.withColumn("places", begins(F.col("tokens"), known))
-    windows = F.flatten(F.transform("places", lambda at: F.array(*[
-        F.struct(at.alias("at"), window_hash(F.col("tokens"), at, length).alias("hash")) for length in lengths])))
+    if len(openings) <= MAX_OPENINGS:
+        opening = F.xxhash64("token", F.get("tokens", F.col("begin") + 1))
+        placed = placed.filter(opening.isin([row["opening"] for row in openings]))
+    at = F.col("begin") + 1
+    windows = F.array(*[
+        F.struct(at.alias("at"), window_hash(F.col("tokens"), at, length).alias("hash")) for length in lengths])
     own = placed.select("doc_id", "doc_key", F.explode_outer(windows).alias("w")).select(
         "doc_id", "doc_key", "w.hash", "w.at").filter("hash IS NOT NULL")
     wanted = index.drop("length", "opening")

@@ -135,3 +135,27 @@ def test_long_runs_of_numbers_and_names(spark):
         made = rows.select(F.size(decontamination.templates(raw, way)), F.array_max(F.transform(raw, F.length))).collect()
         assert [row[0] for row in made] == [number for number, _ in expected]
         assert all(longest is None or abs(row[1] - longest) <= 1 for row, (_, longest) in zip(made, expected))
+
+
+def test_hashes_of_templates(spark):
+    """Hashes made in fewer walks are those of the templates, whatever a token begins with."""
+    rng = random.Random(7)
+    tokens = [*decontamination.UNITS, *decontamination.NUMBER_WORDS, "Km", "KM", "Twenty", "Foo", "Baz BarX", "éa", "aé",
+              "\U0001D400b", "ϒa", "ǅa", "3.5", "x1", "Straße", "İx", "ΑΣ", "京", "in Berlin Mitte"]
+    texts = ["".join(rng.choice(tokens) + rng.choice([" ", ". ", "\n", "", ", "]) for _ in range(30)) for _ in range(500)]
+    rows = spark.createDataFrame([(text,) for text in [*texts, ""]], "text string")
+    for way in WAYS:
+        raw = decontamination.raw_tokens(F.col("text"), way)
+        before = F.transform(decontamination.templates(raw, way), lambda token: F.xxhash64(token))
+        assert rows.filter(~before.eqNullSafe(decontamination.hashed_templates(raw, way))).limit(3).collect() == []
+
+
+def test_windows_are_looked_up_token_by_token(spark):
+    """Tokens are cut and hashed once; where windows begin is asked in compiled rows, not in functions over arrays."""
+    items = spark.createDataFrame([(number, text) for number, text in ITEMS], "item_id long, text string")
+    items = items.withColumn("item_key", F.xxhash64("text"))
+    texts = spark.createDataFrame([row[:2] for row in TEXTS], "doc_id long, text string")
+    for way in WAYS:
+        index = decontamination.item_windows(decontamination.with_templates(items, way), way).localCheckpoint()
+        plan = decontamination.window_matches(texts, index, [5, 8], way)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 1 and "sequence(" not in plan and "posexplode(tokens" in plan
