@@ -16,7 +16,7 @@ from harrow.operators import indexing
 from harrow.operators.extract import page_content
 from harrow.session import hinted
 from harrow.sources import grown_index, warc
-from harrow.sources.index_store import SearchIndex, build_index
+from harrow.sources.index_store import SearchIndex, build_index, default_buckets
 from harrow.streaming import batches
 
 EXTRACTED = T.StructType([
@@ -117,7 +117,8 @@ def index_batch(
     """Index one batch of manifest rows; doing it again gives the same folders.
 
     No earlier batch is read: a document met again adds its postings anew, and readers
-    take each posting once. A batch costs its own size, however many came before.
+    take each posting once. A batch costs its own size, however many came before. Texts are
+    dealt by document before their terms are counted, so a task counts those of some 8 MB.
     """
     spark = manifest.sparkSession
     batches.write_batch(
@@ -125,8 +126,10 @@ def index_batch(
     )
     extracted = batches.read_batch(spark, index.table("extracted"), EXTRACTED, batch_id)
     good = extracted.filter(F.col("reason").isNull())
+    size = good.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = good.select("doc_id", "text").repartition(default_buckets(spark, size), "doc_id")
     batches.write_batch(
-        indexing.count_terms(good).select("term", "doc_id", "tf"), index.table("postings"), batch_id
+        indexing.count_terms(dealt).select("term", "doc_id", "tf"), index.table("postings"), batch_id
     )
     batches.write_batch(
         docs.log_rows(good.select(

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from harrow.operators import extract, indexing
 from harrow.plans import search as plans
 from harrow.session import new_path
-from harrow.sources import warc
+from harrow.sources import index_store, warc
 from harrow.sources.index_store import build_index
 from harrow.sources.tables import read_table
 from harrow.streaming import crawl
@@ -131,3 +131,16 @@ def test_latest_counts_win_and_old_terms_stay(spark):
     published = index.publish(spark)
     assert published.documents.first()["doc_length"] == 0 and published.postings.count() == 3
     assert index.publish(spark).term_stats.filter("length_unknown").count() == 3
+
+
+def test_terms_of_a_batch_are_counted_by_document(spark, folder, monkeypatch):
+    """A task counts the terms of some documents, so many bytes of text, and not those of a whole file."""
+    monkeypatch.setattr(index_store, "BUCKET_TEXT_BYTES", 1000)
+    pages, path, manifest = archived(spark, folder)
+    index = StreamedIndex(new_path(spark, "streamed"))
+    index.prepare(spark)
+    index_batch(manifest, path, index, 0)
+    placed = index.all_postings(spark).select("doc_id", F.input_file_name().alias("file")).distinct()
+    assert placed.groupBy("doc_id").count().agg(F.max("count")).first()[0] == 1
+    assert placed.select("file").distinct().count() > spark.sparkContext.defaultParallelism
+    assert rows_of(index.postings(spark)) == rows_of(indexing.count_terms(extract.extract_pages(pages)))
