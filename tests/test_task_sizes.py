@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from harrow.operators import blocks, ranking
 from harrow.operators import order as ordering
-from harrow.operators import ranking
 from harrow.operators.order import numbered
+from harrow.plans import search as plans
 from harrow.sources.index_store import build_index, default_buckets
 
 
@@ -34,3 +35,25 @@ def test_ranges_follow_the_rows(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == [(x, x + 1) for x in range(5000)]
     ranges = dict(seen)["ranges"]
     assert ranges.groupBy("_range").count().agg(F.max("count")).first()[0] < 500
+
+
+def test_a_task_scores_one_bucket(spark):
+    index = build_index(spark.createDataFrame(
+        [(n, f"u{n}", "", f"the word{n % 7} some") for n in range(200)], "doc_id long, url string, title string, text string"),
+        buckets=40)
+    terms = ranking.query_terms(spark.createDataFrame([(1, "the word3"), (2, "some the")], "qid long, q string"))
+    weighted = ranking.weighted_terms(terms, index.term_stats, index.n_docs, fits=True).localCheckpoint()
+    hits = ranking.candidates(index.postings, weighted, True)
+    bounds = plans.term_bounds(weighted, index.avgdl, False).localCheckpoint()
+    for found in (
+        ranking.candidate_set(hits),
+        ranking.scores(ranking.with_contributions(hits, index.avgdl)),
+        plans._partial_sums(index, bounds, False, True),
+        plans.best_documents(index, "the word3", 10),
+        blocks.best_documents(index.postings, weighted, index.avgdl, 10),
+    ):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        scan = next(line for line in plan.splitlines() if "FileScan parquet" in line and "postings" in line)
+        assert "Bucketed: true" in scan and "SelectedBucketsCount: 40 out of 40" in scan
+        # what is hashed or sorted by document lies in its bucket: no exchange until the rows are digested or cut to k
+        assert "hashpartitioning(doc_id" not in plan and "hashpartitioning(qid#" not in plan.split("WindowGroupLimit")[-1]
