@@ -1,7 +1,10 @@
 """Scoring in blocks against the operators over rows of hits."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -54,3 +57,66 @@ def test_negative_weights(spark, index):
     hits = ranking.candidates(index.postings, weighted, True)
     wanted = ranking.top_k(ranking.scores(ranking.with_contributions(hits, index.avgdl)), 4)
     assert rows_of(blocks.best_documents(index.postings, weighted, index.avgdl, 4)) == rows_of(wanted)
+
+
+def test_a_query_is_taken_up_by_few_blocks(spark):
+    """A task gathers buckets to large blocks: the work per query and block is not done for each of them."""
+    index = build_index(spark.createDataFrame(
+        [(n, f"u{n}", "", f"the word{n % 7} some{n % 3}") for n in range(400)], "doc_id long, url string, title string, text string"),
+        buckets=40)
+    found = blocks.best_documents(index.postings, asked(spark, index), index.avgdl, 3)
+    assert f"Coalesce {spark.sparkContext.defaultParallelism}" in found._jdf.queryExecution().executedPlan().toString()
+    assert len(list(blocks._blocks(batches_of([(n, [(1, 0.5)]) for n in range(3000)]), 4_000_000))) == 1
+
+
+def batches_of(documents, rows=100):
+    kind = pa.list_(pa.struct([("no", pa.int32()), ("c", pa.float64())]))
+    for start in range(0, len(documents), rows):
+        part = documents[start:start + rows]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([d for d, _ in part], pa.int64()),
+            pa.array([[{"no": t, "c": c} for t, c in terms] for _, terms in part], kind)], names=["doc_id", "terms"])
+
+
+def summed(documents, queries, k):
+    """Every document and query, one token after the other."""
+    rows = []
+    for query, tokens in enumerate(queries):
+        found = []
+        for doc_id, terms in documents:
+            added = [(pos, c) for pos, t in enumerate(tokens) for c in sorted(c for no, c in terms if no == t)]
+            if added:
+                score = 0.0
+                for _, c in added:
+                    score += c
+                found.append((-score, added[0][0], "" if doc_id is None else str(doc_id), doc_id))
+        rows += [(query, *row) for row in sorted(found, key=lambda row: row[:3])[:k]]
+    return rows
+
+
+@pytest.mark.parametrize("sinking", [0.0, 0.3])
+@pytest.mark.parametrize("cells", [4_000_000, 3000, 200, 1])
+@pytest.mark.parametrize("k", [1, 3, 100])
+def test_scorer_equals_sums(cells, k, sinking):
+    """Copies, a term twice in a document, an id that is missing, weights that sink."""
+    rng = random.Random(7)
+    idf = [rng.uniform(0.1, 5) * (-1 if rng.random() < sinking else 1) for _ in WORDS]
+    documents = [
+        (n, [(t, idf[t] * rng.choice([0.3, 0.7, 1.1])) for t in rng.sample(range(40), rng.choice([1, 3, 9, 25]))])
+        for n in range(200)]
+    documents += [(200 + n, documents[1][1]) for n in range(30)] + [(None, [(1, 0.3), (1, 0.2), (5, 0.4)])]
+    rng.shuffle(documents)
+    queries = [[rng.randrange(40) for _ in range(rng.choice([1, 2, 7, 25]))] for _ in range(30)]
+    lengths = np.array([len(q) for q in queries])
+    signed = np.array([any(idf[t] < 0 for t in q) for q in queries])
+    order = np.lexsort((lengths, signed))
+    coded = blocks._Queries(
+        pa.array(order), np.append(0, np.cumsum(lengths[order])),
+        np.array([t for q in order for t in queries[q]], np.int32),
+        np.array([pos for q in order for pos in range(lengths[q])], np.int32), signed[order])
+    found = {}
+    for batch in blocks._scorer(SimpleNamespace(value=coded), k, cells)(batches_of(documents)):
+        for query, doc_id, score, first in zip(*(column.to_pylist() for column in batch.columns)):
+            found.setdefault(query, []).append((-score, first, "" if doc_id is None else str(doc_id), doc_id))
+    best = [(q, *row) for q in sorted(found) for row in sorted(found[q], key=lambda row: row[:3])[:k]]
+    assert best == summed(documents, queries, k)
