@@ -27,8 +27,8 @@ from harrow.session import broadcast_limit, fits_broadcast, stored
 
 # Postings of one block, and numbers in the table of a batch of queries.
 CELLS = 4_000_000
-# What a token and a query (with its `k` best scores) take in a task.
-TOKEN_BYTES = 8
+# What a token (places take two bytes below 65,536) and a query (with its `k` best scores) take in a task.
+TOKEN_BYTES = 6
 QUERY_BYTES = 16
 LEAST_PART_BYTES = 1 << 20
 # A term is multiplied if this share of a batch's pairs of query and document have it.
@@ -98,7 +98,7 @@ class _Queries:
         tokens = _spans(first[order], lengths[order])
         return cls(
             qids.take(pa.array(first[order])), np.append(0, np.cumsum(lengths[order])), number[tokens].astype(np.int32),
-            pos[tokens].astype(np.int32), signed[order])
+            pos[tokens].astype(np.min_scalar_type(int(pos.max(initial=0)))), signed[order])
 
     def __len__(self) -> int:
         return len(self.qids)
